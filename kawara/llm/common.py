@@ -87,6 +87,19 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
+def filtered(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:
+    """The rows of docs, unchanged, whose text (null as empty) make()'s function keeps. Nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(keep(texts), pa.bool_()))
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 class WordHashes(dict):
     """xxhash of a word's bytes, remembered for the words seen lately."""
 

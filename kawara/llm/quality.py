@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kawara.llm.common import BROADCAST_IDS, Rolling, WordHashes, bounded_batches, covered, hashed_text, map_rows
+from kawara.llm.common import BROADCAST_IDS, Rolling, WordHashes, bounded_batches, covered, filtered, hashed_text, map_rows
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -107,6 +107,13 @@ def statistics(text: bytes, words: WordHashes, rolling: Rolling) -> tuple[int, i
     return n, sum(map(len, found)) - follow, int(np.count_nonzero(_SYMBOL[data])), again, repeated, failed
 
 
+def verdict(text: bytes, ratio: np.ndarray | None, failed: bool, threshold: float) -> tuple[bool, float]:
+    """Kept or not, and the score."""
+    found = trigrams(np.frombuffer(text, np.uint8))
+    score = float(ratio[found].mean()) if ratio is not None and len(found) else 0.0
+    return not failed and score >= threshold, score
+
+
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The statistics, score and verdict of each document. labels: doc_id and quality."""
     ratio = weights(docs, labels)
@@ -118,9 +125,7 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = statistics(text, words, rolling)
-                found = trigrams(np.frombuffer(text, np.uint8))
-                score = float(ratio[found].mean()) if ratio is not None and len(found) else 0.0
-                rows.append((doc_id, *own, not own[-1] and score >= threshold, score))
+                rows.append((doc_id, *own, *verdict(text, ratio, own[-1], threshold)))
             return dict(zip(names, map(list, zip(*rows, strict=True)) if rows else [[]] * len(names), strict=True))
 
         return step
@@ -128,3 +133,14 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
     names = [x.split()[0] for x in schema.split(", ")]
     return map_rows(hashed_text(docs), schema, make)
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    ratio = weights(docs, labels)
+
+    def make():
+        words, rolling = WordHashes(), Rolling(REPEAT)
+        return lambda texts: [verdict(t, ratio, statistics(t, words, rolling)[-1], threshold)[0] for t in texts]
+
+    return filtered(docs, make)

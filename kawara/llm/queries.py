@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kawara.llm import bpe, fingerprints, minhash, packing, quality, substrings, toxicity
+from kawara.llm import bpe, chat, fingerprints, html, minhash, packing, quality, substrings, toxicity, warc
 from kawara.llm.common import table
 
 
@@ -34,13 +35,41 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql("SELECT -7L AS conv_id, inline(array(struct(0L AS turn, 'user' AS role), struct(1L AS turn, 'assistant' AS role)))")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.report(rows.unionByName(extra.withColumn("text", F.lit(said))))
+
+
+QUERIES = (
+    op1_minhash_dedup,
+    op2_bpe,
+    op3_substring_dedup,
+    op4_quality,
+    op5_fingerprints,
+    op6_toxicity,
+    op7_html,
+    op8_packing,
+    op9_warc,
+    op10_chat,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash_dedup, op2_bpe, op3_substring_dedup, op4_quality, op5_fingerprints, op6_toxicity, op8_packing)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

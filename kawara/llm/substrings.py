@@ -153,7 +153,7 @@ def _answers(groups: int):
 
 
 def _texts(groups: int):
-    """Texts as rows of their own, compressed; hashes is the text, docs the id."""
+    """Texts as rows of their own, compressed: hashes is texts and what they carry; docs is ids and both lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -161,15 +161,16 @@ def _texts(groups: int):
         def flush(at: int) -> tuple:
             texts = held.pop(at)
             size.pop(at)
-            sizes = np.array([len(t) for _, t in texts], np.int64)
-            return TEXT, at, np.concatenate([np.array([i for i, _ in texts], np.int64), sizes]).tobytes(), pack.compress(b"".join(t for _, t in texts))
+            numbers = np.array([(i, len(t), len(c)) for i, t, c in texts], np.int64)
+            return TEXT, at, numbers.tobytes(), pack.compress(b"".join(x for _, t, c in texts for x in (t, c)))
 
         held: dict[int, list] = {}
         size: dict[int, int] = {}
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            for doc, at, text in zip(ids, _group(ids, groups).tolist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(at, []).append((doc, text))
+            rest = batch.column(2).to_pylist() if batch.num_columns > 2 else [b""] * len(ids)
+            for doc, at, text, carry in zip(ids, _group(ids, groups).tolist(), batch.column(1).to_pylist(), rest, strict=True):
+                held.setdefault(at, []).append((doc, text, carry))
                 size[at] = size.get(at, 0) + len(text) + 64
             if sum(size.values()) > 32 << 20:
                 yield _batch([flush(at) for at in list(held)])
@@ -206,21 +207,23 @@ def _finish(target: pa.Schema, row):
         doc, h = doc[order], h[order]
         words, rolling = WordHashes(), Rolling(LENGTH)
         for d, data in texts:
-            numbers = np.frombuffer(d, np.int64)
-            owners, sizes = numbers[: len(numbers) // 2], numbers[len(numbers) // 2 :]
+            owners, sizes, carried = np.frombuffer(d, np.int64).reshape(-1, 3).T
             whole, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
             lows, highs = np.searchsorted(doc, owners), np.searchsorted(doc, owners, side="right")
-            for owner, size, a, b in zip(owners.tolist(), sizes.tolist(), lows, highs, strict=True):
-                text = whole[at : at + size]
-                at += size
-                out.append(row(None if owner == NO_ID else owner, *kept_words(text, h[a:b], words, rolling)))
+            for owner, size, more, a, b in zip(owners.tolist(), sizes.tolist(), carried.tolist(), lows, highs, strict=True):
+                text, carry = whole[at : at + size], whole[at + size : at + size + more]
+                at += size + more
+                out.append(row(None if owner == NO_ID else owner, *kept_words(text, h[a:b], words, rolling), carry))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
 
     return run
 
 
-def deduplicated(docs: DataFrame, schema: str, row) -> DataFrame:
-    """row(doc_id, n_words, n_removed, kept words) for each document: tuples of schema."""
+def deduplicated(docs: DataFrame, schema: str, row, carry=None) -> DataFrame:
+    """row(doc_id, n_words, n_removed, kept words, carried bytes) for each document: tuples of schema.
+
+    carry: a binary column that travels with each text.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -229,6 +232,8 @@ def deduplicated(docs: DataFrame, schema: str, row) -> DataFrame:
     texts = hashed_text(docs)
     asked = texts.mapInArrow(_questions(ranges, groups), PART)
     answered = asked.groupBy("key").applyInArrow(_answers(groups), PART)
+    if carry is not None:
+        texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), carry.alias("carry"))
     rows = answered.unionByName(texts.mapInArrow(_texts(groups), PART))
     return rows.groupBy("key").applyInArrow(_finish_with(schema, row), schema)
 
@@ -245,7 +250,7 @@ def _finish_with(schema: str, row):
     return finish
 
 
-def _digest(doc, n, removed, words):
+def _digest(doc, n, removed, words, _):
     return doc, n, removed, hashlib.sha256(b" ".join(words)).hexdigest()
 
 
@@ -253,10 +258,16 @@ def digests(docs: DataFrame) -> DataFrame:
     return deduplicated(docs, "doc_id long, n_words long, n_removed long, kept_sha256 string", _digest)
 
 
-def _text(doc, n, removed, words):
-    return doc, n, removed, b" ".join(words).decode()
+def _text(doc, _, removed, words, carry):
+    return doc, b" ".join(words).decode(), carry.decode()
 
 
-def cut_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, text): the words kept, joined by one space."""
-    return deduplicated(docs, "doc_id long, n_words long, n_removed long, text string", _text)
+def cut(docs: DataFrame) -> DataFrame:
+    """docs with all their columns; text is the words kept, joined by one space, and n_chars, if there, its length."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    carry = F.to_json(F.struct(*others), {"ignoreNullFields": "false"}) if others else F.lit("")
+    rows = deduplicated(docs, "doc_id long, text string, carry string", _text, carry.cast("binary"))
+    kind = docs.select(*others).schema
+    rows = rows.withColumn("carry", F.from_json("carry", kind)) if others else rows
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*(columns[c].alias(c) if c in columns else F.col("carry")[c].alias(c) for c in docs.columns))

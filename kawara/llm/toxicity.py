@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kawara.llm.common import hashed_text, map_rows
+from kawara.llm.common import filtered, hashed_text, map_rows
 
 #: Training rows at most; the model stops improving well before.
 SAMPLE = 12_000
@@ -174,26 +174,37 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     return chosen[used], w[used], bias
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score and predicted for each document."""
-    model = train(docs, labels)
+def scorer(model: tuple[np.ndarray, np.ndarray, float] | None):
+    """What makes a scorer of texts, once for each task."""
 
     def make():
         words = Features()
 
-        def score(text: str) -> float:
+        def score(text: bytes) -> float:
             if model is None:
                 return 0.0
             chosen, w, bias = model
-            found = words.of(text)
+            found = words.of(text.decode())
             gap = bias
             if len(found) and len(chosen):
                 at = np.minimum(np.searchsorted(chosen, found), len(chosen) - 1)
                 gap += w[at[chosen[at] == found]].sum()
             return float(1 / (1 + np.exp(-np.clip(gap, -30, 30))))
 
+        return score
+
+    return make
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, score and predicted for each document."""
+    scorers = scorer(train(docs, labels))
+
+    def make():
+        score = scorers()
+
         def step(batch: pa.RecordBatch) -> dict:
-            scores = [score(x.decode()) for x in batch.column(1).to_pylist()]
+            scores = list(map(score, batch.column(1).to_pylist()))
             return {"doc_id": batch.column(0), "score": scores, "predicted": [int(s >= 0.5) for s in scores]}
 
         return step
@@ -201,6 +212,17 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return map_rows(hashed_text(docs), "doc_id long, score double, predicted int", make)
 
 
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not predicted toxic, with all their columns."""
+    scorers = scorer(train(docs, labels))
+
+    def make():
+        score = scorers()
+        return lambda texts: [score(t) < 0.5 for t in texts]
+
+    return filtered(docs, make)
+
+
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = scored(docs, labels)
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
