@@ -43,47 +43,87 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Coder:
     """One vocabulary file, with the tokens of words seen lately."""
 
-    REMEMBER = 500_000
+    #: Words of each of two generations: what the older one holds is found again, what nobody asks for is forgotten.
+    REMEMBER = 250_000
+    #: Words encoded as one text.
+    TOGETHER = 300
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        # the same merges for words that the other steps leave as they are
+        self.words = Tokenizer(self.tokenizer.model)
+        parts = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self.words.pre_tokenizer = pre_tokenizers.Sequence(parts)
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.odd: set[str] = set()
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        self.ends = np.array([t.endswith("</w>") for t in self.tokens])
 
-    # A leaf is encoded by its words: in this vocabulary's pre-tokenizer a space or line feed always ends a word,
-    # and no normaliser step reaches across one.
+    # A leaf is encoded by its words: in this vocabulary's pre-tokenizer a space or line feed always ends a word, and
+    # no normaliser step reaches across one. In Latin-1 lower-casing is one character for one, and a comma or full
+    # stop between a letter or digit and a space is a word of its own, so most words come down to few stems. Added
+    # tokens are matched before lower-casing, so texts that may hold one take the general way.
     def leaf(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        words = _SPACE.split(text)
-        known = self.known
-        missing = {w for w in words if w not in known}
-        if missing:
-            if len(known) + len(missing) > self.REMEMBER:
-                known.clear()
-                missing = set(words)
-            self._learn(missing)
-        return b"".join(map(known.__getitem__, words))
-
-    def _learn(self, words: set[str]) -> None:
-        known, stems = self.known, {}
-        for word in words:
-            # "word," is "word" and ",": a letter run ends before it, and so does a token
-            stem, end = (word[:-1], word[-1]) if word[-1:] in (",", ".") and word[:-1].isascii() and word[:-1].isalpha() else (word, "")
-            stem = stem.lower() if stem.isascii() and "|" not in stem else stem
-            stems[word] = stem, end
-        need = list({s for pair in stems.values() for s in pair if s not in known})
-        for s, e in zip(need, self.tokenizer.encode_batch_fast(need, add_special_tokens=False), strict=True):
-            known[s] = np.array(e.ids, "<u4").tobytes()
-        for word, (stem, end) in stems.items():
-            known[word] = known[stem] + known[end]
+        text = text.replace("\n", " ")
+        if _latin(text) and not any(x in text for x in ("<|", ",,", ",.", ".,", "..")):
+            words = f"{text} ".lower().replace(", ", " , ").replace(". ", " . ").split(" ")
+            found = set(words)
+            if missing := found.difference(self.known):
+                self._learn(missing, found)
+            # after other punctuation the comma belongs to one word with it
+            if self.odd.isdisjoint(found):
+                return b"".join(map(self.known.__getitem__, words))
+        words = text.split(" ")
+        found = set(words)
+        if missing := found.difference(self.known):
+            self._learn(missing, found)
+        return b"".join(map(self.known.__getitem__, words))
+
+    def _learn(self, missing: set[str], found: set[str]) -> None:
+        if len(self.known) + len(missing) > self.REMEMBER:
+            self.older, self.known, self.odd = self.known, {"": b""}, set()
+            missing = found.difference(self.known)
+        known, older = self.known, self.older
+        if older:
+            again = [w for w in missing if w in older]
+            known.update(zip(again, map(older.__getitem__, again), strict=True))
+            self.odd.update(w for w in again if not w[-1].isalnum() and w not in (",", "."))
+            missing = missing.difference(again)
+        # Lower-case letters of Latin-1 stay as they are in every normaliser step, and a run of them is one word of the
+        # pre-tokenizer: many are encoded as one text, and cut after the tokens that end a word.
+        plain = [w for w in missing if w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0100")]
+        rest = missing.difference(plain)
+        self.odd.update(w for w in rest if w and not w[-1].isalnum() and w not in (",", "."))
+        texts = [" ".join(plain[k : k + self.TOGETHER]) for k in range(0, len(plain), self.TOGETHER)]
+        parts = [e.ids for e in self.words.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        ids = np.array([i for part in parts for i in part], "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(plain):
+            data, stops = ids.tobytes(), (4 * cuts).tolist()
+            known.update(zip(plain, [data[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+        else:
+            rest = missing
+        rest = list(rest)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
 
     def spans(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids and the code points that each stands for."""
