@@ -11,8 +11,10 @@ Bands of the signature give candidates. Candidates are checked with their whole
 Jaccard similarity of THRESHOLD. Classes are the connected components of the links.
 
 In a band's bucket the smallest document is compared with each other member (a star, never all pairs). Buckets that
-still hold more than one component afterwards are worked off exactly: members outside the bucket's largest component
-meet all its members, in blocks, by their signatures, and what agrees is verified too.
+still hold more than one component afterwards are worked off exactly, in blocks: members outside the bucket's largest
+component meet all its members by their signatures, and partners in other components that agree are verified with
+their texts on the spot, in the first band that a pair shares. A pair whose components have been linked meanwhile is
+passed over, so a block gives out fewer links than it has components.
 
 Defined results: a null text counts as empty; equal texts always share a class; a text of fewer than five words is
 one shingle of all its words; a text without words joins equal texts only. Repeated rows share their class. An
@@ -122,8 +124,7 @@ def _judge():
             x = elements(left, words, rolling)
             if right != last[0]:
                 last = right, elements(right, words, rolling)
-            common = len(np.intersect1d(x, last[1], assume_unique=True))
-            out["similarity"].append(common / max(1, len(x) + len(last[1]) - common))
+            out["similarity"].append(similarity(x, last[1]))
         return out
 
     return step
@@ -139,22 +140,75 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return judged.where(F.col("similarity") >= THRESHOLD)
 
 
-def _agreeing(strays: pa.Table, members: pa.Table) -> pa.Table:
-    """Pairs of a stray and a member of another component whose signatures agree."""
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _settled(strays: pa.Table, members: pa.Table) -> pa.Table:
+    """Links that join the components of one block of a bucket."""
     if not len(strays) or not len(members):
-        return kind.empty_table()
-    read = lambda t: np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u2").reshape(len(t), K)
+        return _LINK.empty_table()
+    words, rolling = WordHashes(), Rolling(SHINGLE)
+    made: dict[int, np.ndarray] = {}
+    top: dict[int, int] = {}
+
+    def find(comp: int) -> int:
+        while (up := top.get(comp, comp)) != comp:
+            comp = up
+        return comp
+
+    def bag(side: tuple, i: int) -> np.ndarray:
+        if (own := side[0][i]) not in made:
+            made[own] = elements(side[4][i].as_py(), words, rolling)
+        return made[own]
+
+    def read(t: pa.Table) -> tuple:
+        wide = lambda name, kind, n: np.frombuffer(b"".join(t.column(name).to_pylist()), kind).reshape(len(t), n)
+        keys = np.array(t.column("bands").to_pylist(), np.int64)
+        return t.column("id").to_numpy(), t.column("comp").to_numpy(), wide("signature", "<u2", K), keys, t.column("text")
+
     x, y = read(strays), read(members)
-    ids, cx = strays.column("id").to_numpy(), strays.column("comp").to_numpy()
-    other, cy = members.column("id").to_numpy(), members.column("comp").to_numpy()
-    left, right = [], []
-    for i in range(len(x)):
-        hit = np.flatnonzero(((y == x[i]).sum(1) >= LEAST_AGREEMENT * K) & (cy != cx[i]))
-        left.append(np.full(len(hit), ids[i]))
-        right.append(other[hit])
-    a, b = np.concatenate(left), np.concatenate(right)
-    return pa.Table.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=kind)
+    band, most = strays.column("band")[0].as_py(), strays.column("most")[0].as_py()
+    here = int(np.flatnonzero(x[3][0] == band)[0])
+    left, right, agreement = [], [], []
+    for i in range(len(strays)):
+        agree = (y[2] == x[2][i]).sum(1)
+        fit = (agree >= LEAST_AGREEMENT * K) & (y[1] != x[1][i])
+        fit &= (y[1] == most) | (y[0] < x[0][i])  # of two strays, one asks
+        hit = np.flatnonzero(fit)
+        if here and len(hit):
+            hit = hit[~(y[3][hit, :here] == x[3][i, :here]).any(1)]
+        left.append(np.full(len(hit), i))
+        right.append(hit)
+        agreement.append(agree[hit])
+    left, right = np.concatenate(left), np.concatenate(right)
+    out = []
+    for k in np.argsort(-np.concatenate(agreement), kind="stable"):
+        i, j = left[k], right[k]
+        p, q = find(x[1][i]), find(y[1][j])
+        if p != q and similarity(bag(x, i), bag(y, j)) >= THRESHOLD:
+            top[p] = q
+            out.append((max(x[0][i], y[0][j]), min(x[0][i], y[0][j])))
+    return pa.Table.from_arrays([pa.array([r[n] for r in out], pa.int64()) for n in (0, 1)], schema=_LINK)
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two documents' elements."""
+    if not len(x) or not len(y):
+        return 0.0
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    common = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return common / (len(x) + len(y) - common)
+
+
+def _open_rows(full: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, with the bucket's largest and number of blocks."""
+    full = full.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    per = full.groupBy("band", "comp").agg(F.count("*").alias("rows"))
+    several = per.groupBy("band").agg(
+        F.max_by("comp", F.struct("rows", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("rows").alias("n")
+    )
+    several = several.where("comps > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    return full.join(several.select("band", "most", "blocks"), "band")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -167,27 +221,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     rows = copies.select("id", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    full = written(rows.join(buckets, "band").select("band", "id", "leader", "n"), "buckets")
+    full = written(rows.join(buckets.drop("n"), "band").select("band", "id", "leader"), "buckets")
     stars = written(full.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     links = written(verified(docs, stars).select("a", "b"), "links")
     found = components(links)
 
     # What a bucket's star has not joined: the rest of the bucket, by signature, in blocks.
-    full = full.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    per = full.groupBy("band", "comp").agg(F.count("*").alias("rows"), F.first("n").alias("n"))
-    mixed_buckets = per.groupBy("band").agg(
-        F.max_by("comp", F.struct("rows", "comp")).alias("most"), F.count("*").alias("comps"), F.first("n").alias("n")
-    )
-    mixed_buckets = mixed_buckets.where("comps > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    open_rows = full.drop("n").join(mixed_buckets.drop("comps"), "band")
-    open_rows = written(open_rows.join(copies.select("id", "signature"), "id"), "open")
-    if open_rows.limit(1).count():
-        strays = open_rows.where("comp <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        members = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        keep = ["band", "block", "id", "comp", "signature"]
-        more = strays.select(keep).groupBy("band", "block").cogroup(members.select(keep).groupBy("band", "block"))
-        more = more.applyInArrow(_agreeing, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-        second = written(verified(docs, written(more, "pairs")).select("a", "b"), "links")
+    rows = written(_open_rows(full.select("band", "id"), found), "open")
+    if rows.limit(1).count():
+        texts = with_ids(hashed_text(docs), rows.select(F.col("id").alias("doc_id"))).dropDuplicates(["doc_id"])
+        members = copies.join(rows.select("id").distinct(), "id", "left_semi").select("id", "signature", "bands")
+        rows = rows.join(members.join(texts.withColumnRenamed("doc_id", "id"), "id"), "id")
+        strays = rows.where("comp <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        blocks = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        strays = strays.select(*(F.col(c).alias(c) for c in strays.columns))  # columns of its own
+        pairs = strays.groupBy("band", "block").cogroup(blocks.groupBy("band", "block"))
+        second = written(pairs.applyInArrow(_settled, "a long, b long").distinct(), "links")
         if second.limit(1).count():
             found = components(links.unionByName(second))
 
