@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kawara.llm.common import map_rows
+from kawara.llm.common import WORKER_CACHE, map_rows
 
 VOCABULARY = "word_bpe_49k.json"
 #: Texts of at most this many code points are a leaf, and encoded at once.
@@ -208,14 +208,11 @@ class Coder:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_coders: dict[str, Coder] = {}
-
-
 def coder(path: str) -> Coder:
     """One for each worker process and vocabulary: workers serve many tasks, and keep what they have learnt."""
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+    if path not in WORKER_CACHE:
+        WORKER_CACHE[path] = Coder(path)
+    return WORKER_CACHE[path]
 
 
 def _pieces(text):
@@ -269,12 +266,12 @@ def encode_with(docs: DataFrame, schema: str, finish, path: str | None = None) -
     from pyspark.sql.types import _parse_datatype_string
 
     target = to_arrow_schema(_parse_datatype_string(schema))
-    short = map_rows(docs.where(F.length("text") <= ROW), schema, whole)
+    short = map_rows(docs.where(F.length("text") <= ROW), schema, whole, keeps_cache=True)
     # a repeated row is a document of its own: the row number keeps its pieces apart
     long = docs.where(F.length("text") > ROW).withColumn("row", F.monotonically_increasing_id())
     cut = long.select("row", "doc_id", F.explode(_pieces(F.col("text"))).alias("p")).select("row", "doc_id", "p.piece", "p.text")
     cut = cut.repartition(F.xxhash64("row", "piece"))
-    encoded = map_rows(cut, "row long, doc_id long, piece int, text string, ids binary", pieces)
+    encoded = map_rows(cut, "row long, doc_id long, piece int, text string, ids binary", pieces, keeps_cache=True)
     return short.unionByName(encoded.groupBy("row").applyInArrow(joined, schema))
 
 
@@ -305,4 +302,4 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
             "text": [c.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(1).to_pylist()],
         }
 
-    return map_rows(rows.select("doc_id", "ids"), "doc_id long, text string", make)
+    return map_rows(rows.select("doc_id", "ids"), "doc_id long, text string", make, keeps_cache=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -22,6 +23,18 @@ BATCH_ROWS = 1_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+#: What a worker process keeps from task to task. Tasks that have no use for it drop it, so that the stages of a
+#: pipeline do not add up in a worker's memory.
+WORKER_CACHE: dict = {}
+
+
+def fresh_worker() -> None:
+    if WORKER_CACHE:
+        WORKER_CACHE.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,7 +83,7 @@ def hashed_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], keeps_cache: bool = False) -> DataFrame:
     """mapInArrow with a state of its own for each task: make() returns what turns a batch into columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -78,6 +91,8 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps_cache:
+            fresh_worker()
         step = make()
         for batch in batches:
             columns = step(batch)
@@ -91,6 +106,7 @@ def filtered(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], list[bo
     """The rows of docs, unchanged, whose text (null as empty) make()'s function keeps. Nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         keep = make()
         for batch in batches:
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
@@ -103,7 +119,7 @@ def filtered(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], list[bo
 class WordHashes(dict):
     """xxhash of a word's bytes, remembered for the words seen lately."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -31,11 +31,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kawara.llm.common import Rolling, WordHashes, bounded_batches, covered, hashed_text, mixed
+from kawara.llm.common import Rolling, WordHashes, bounded_batches, covered, fresh_worker, hashed_text, mixed
 
 LENGTH = 13
 #: Windows a task gathers before it deals them out: 16 bytes each, and as much again to sort them.
-BATCH = 1_500_000
+BATCH = 1_000_000
 #: A null doc_id, as an integer.
 NO_ID = np.iinfo(np.int64).max
 PART = "kind int, key int, docs binary, hashes binary"
@@ -109,6 +109,7 @@ def _questions(ranges: int, groups: int):
             yield _batch(out[i : i + 64])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         words, rolling = WordHashes(), Rolling(LENGTH)
         docs, sizes, hashes, n = [], [], [], 0
         for batch in batches:
@@ -172,7 +173,7 @@ def _texts(groups: int):
             for doc, at, text, carry in zip(ids, _group(ids, groups).tolist(), batch.column(1).to_pylist(), rest, strict=True):
                 held.setdefault(at, []).append((doc, text, carry))
                 size[at] = size.get(at, 0) + len(text) + 64
-            if sum(size.values()) > 32 << 20:
+            if sum(size.values()) > 16 << 20:
                 yield _batch([flush(at) for at in list(held)])
         if held:
             yield _batch([flush(at) for at in list(held)])

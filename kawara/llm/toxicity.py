@@ -53,7 +53,7 @@ _PATTERNS = [
 class Features(dict):
     """Buckets of a word: of itself and, where it is long enough, of its prefixes."""
 
-    LIMIT = 200_000
+    LIMIT = 60_000
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.LIMIT:
