@@ -410,7 +410,7 @@ def graph_simplify(t):
 
 @query()
 def leaf_pruning(t):
-    e = t.orders.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1500 + 1_000_000_000).alias("b"))
+    e = t.orders.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 97 + 1_000_000_000).alias("b"))
     return graph.pruned_leaves(e)
 
 
