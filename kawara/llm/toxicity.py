@@ -101,9 +101,13 @@ def select(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarra
     Evidence is the large-deviation bound on as many toxic rows by chance, n * KL(k / n, prior). It has to exceed the
     logarithm of the number of features tried, so that about none gets in by luck, however many there are.
     """
-    space, place = np.unique(np.concatenate(rows), return_inverse=True)
-    kind = np.repeat(y, [len(r) for r in rows])
-    k, n = np.bincount(place[kind == 1], minlength=len(space)), np.bincount(place)
+    # only what toxic rows have can be chosen; the other rows are counted one by one, which keeps memory small
+    space, k = np.unique(np.concatenate([r for r, own in zip(rows, y, strict=True) if own]), return_counts=True)
+    n = k.copy()
+    for r, own in zip(rows, y, strict=True):
+        if not own and len(r):
+            at = np.minimum(np.searchsorted(space, r), len(space) - 1)
+            n[at[space[at] == r]] += 1
     prior, share = y.mean(), (k / n).clip(1e-9, 1 - 1e-9)
     evidence = n * (share * np.log(share / prior) + (1 - share) * np.log((1 - share) / (1 - prior)))
     evidence[(share < max(PURITY, prior)) | (evidence < np.log(max(2, (n >= 3).sum())))] = 0
@@ -157,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     if len(set((y > 0).tolist())) < 2:
         return None
     y = (y > 0).astype(int)
-    rows = [np.frombuffer(r[1], np.int32) for r in found]
+    rows, patterns = [np.frombuffer(r[1], np.int32) for r in found], [bytes(r[2]) for r in found]
+    del found
     chosen, evidence = select(rows, y)
     own = [np.flatnonzero(np.isin(chosen, r, assume_unique=True)) for r in rows]
     # strong features are dealt round-robin, so that every lexicon has a share of the best
@@ -167,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     votes = np.zeros((len(rows), VOTERS + 1 + len(_PATTERNS)))
     for i, r in enumerate(own):
         votes[i, lexicon[r]] = 1
-        votes[i, VOTERS + 1 :] = list(found[i][2])
+        votes[i, VOTERS + 1 :] = list(patterns[i])
     votes = np.delete(votes, VOTERS, axis=1)
     w, bias = regress(own, label_model(votes, y), len(chosen))
     used = w != 0
