@@ -261,7 +261,7 @@ def without_straight_nodes(points: dict[int, tuple[float, float]], edges: set[tu
     return edges
 
 
-def alpha_expansion(data: np.ndarray, smooth: float, rounds: int = 5) -> np.ndarray:
+def local_labels(data: np.ndarray, smooth: float, rounds: int = 5) -> np.ndarray:
     """Labels of a grid that lower sum(data) + smooth * (unequal neighbours), by iterated conditional modes.
 
     data: rows x columns x labels. Starts from the cheapest label of each cell; ties go to the smaller label.

@@ -52,6 +52,6 @@ def test_small_kernels():
     data = np.zeros((4, 4, 2))
     data[..., 1] = 1
     data[1, 1] = (3, 0)
-    assert k.grid_energy(data, k.alpha_expansion(data, 5.0), 5.0) <= k.grid_energy(data, data.argmin(2), 5.0)
+    assert k.grid_energy(data, k.local_labels(data, 5.0), 5.0) <= k.grid_energy(data, data.argmin(2), 5.0)
     assert k.page_size(1, 1, 3, 2) == (4, 2)
     assert len(set(k.mean_shift(np.array([0, 0.1, 5, 5.1]), np.ones(4), 0.5))) == 2
