@@ -1,22 +1,27 @@
 """Chat records of any known layout as canonical turns and as formatted text, in DataFrame operations only.
 
-A record is a JSON object. The paths of its fields (object keys, [] for an array) are hashed to a fingerprint, which
-selects one of the declarative LAYOUTS: how to get from those paths to turns of (role, text). Adding a layout is
-adding a row.
+A record is a JSON object, or a struct of the same fields. The paths of its fields (object keys, [] for an array) are
+hashed to a fingerprint, which selects one of the declarative LAYOUTS: how to get from those paths to turns of (role,
+text). Adding a layout is adding a row. Structs have their paths in the schema and never become JSON, so the limits of
+JSON parsers do not touch their texts; conversations come as structs.
 
 Formatted text has a mark before and after each turn. Control strings inside texts and roles are escaped with a
 backslash after their first character, one more where there are some already, so that no text can contain a mark and
 unescaping gives back every text exactly. The loss mask is the list of spans that are an assistant's text.
 
 Defined results: a null text is empty, a null role is "". A record of unknown layout or broken JSON has null turns.
-Rows of a conversation are ordered by turn, then role, then text. An empty table gives an empty result. Other columns
+Sound JSON beyond the limits of Spark's variants (a text over 20,000,000 characters, a record over 128 MiB) is an
+error; so is a conversation beyond the 2 GiB of a Spark string. Rows of a conversation are ordered by turn, then role, then text. An empty table gives an empty result. Other columns
 are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: The control strings of common chat templates.
@@ -85,13 +90,36 @@ def paths(record: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def struct_paths(kind: DataType, at: str = "") -> list[str]:
+    """The field paths of a struct type."""
+    if isinstance(kind, ArrayType):
+        return struct_paths(kind.elementType, f"{at}[]")
+    if not isinstance(kind, StructType):
+        return []
+    names = [(f"{at}.{f.name}" if at else f.name, f.dataType) for f in kind.fields]
+    return [x for name, inner in names for x in (name, *struct_paths(inner, name))]
+
+
 def fingerprint(found: Column) -> Column:
     return F.xxhash64(F.array_join(found, "\n"))
 
 
+#: Characters that a record has at least if it is beyond a limit of variants.
+LEAST_LOST = 20_000_000
+
+
+def parsed_json(json: Column) -> Column:
+    """JSON text as a variant, null if broken; an error if it is sound, but too large for one."""
+    sound = F.from_json(json, "map<string,string>", {"maxStringLen": str(2**31 - 1)}).isNotNull()
+    lost = F.raise_error(F.lit("a JSON record is too large for a variant: give it as a struct")).cast("variant")
+    return F.coalesce(F.try_parse_json(json), F.when((F.length(json) > LEAST_LOST) & sound, lost))
+
+
 def canonical(records: DataFrame, json: str = "record") -> DataFrame:
-    """records with fingerprint, layout and turns: array of (role, text)."""
-    rows = records.withColumn("record", F.try_parse_json(F.col(json))).withColumn("paths", paths(F.col("record")))
+    """records with fingerprint, layout and turns: array of (role, text). json: JSON text, or a struct."""
+    if isinstance(kind := records.schema[json].dataType, StructType):
+        return _of_structs(records.withColumn("record", F.col(json)), kind)
+    rows = records.withColumn("record", parsed_json(F.col(json))).withColumn("paths", paths(F.col("record")))
     rows = rows.withColumn("fingerprint", fingerprint(F.col("paths")))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
     for name, need, how in reversed(LAYOUTS):
@@ -101,15 +129,30 @@ def canonical(records: DataFrame, json: str = "record") -> DataFrame:
         within = F.size(F.array_except(F.array(*map(F.lit, need)), F.col("paths"))) == 0
         layout = F.when(exact | within, F.lit(name)).otherwise(layout)
         turns = F.when(exact | within, F.expr(how).cast(_TURNS)).otherwise(turns)
+    return rows.withColumn("layout", layout).withColumn("turns", _clean(turns)).drop("record", "paths")
+
+
+def _of_structs(rows: DataFrame, kind: StructType) -> DataFrame:
+    """As canonical(), with one layout for all rows, found by their schema."""
+    known = {p for _, need, _ in LAYOUTS for p in need}
+    found = sorted(known.intersection(struct_paths(kind)))
+    name, how = next(((n, h) for n, need, h in LAYOUTS if set(need) <= set(found)), (None, "NULL"))
+    turns = F.expr(re.sub(r"variant_get\(record, '\$\.(\w+)', '[^']*'\)", r"record.\1", how)).cast(_TURNS)
+    turns = F.when(F.col("record").isNotNull(), turns)
+    rows = rows.withColumn("fingerprint", fingerprint(F.array(*map(F.lit, found)).cast("array<string>")))
+    return rows.withColumn("layout", F.lit(name).cast("string")).withColumn("turns", _clean(turns)).drop("record")
+
+
+def _clean(turns: Column) -> Column:
+    """Turns with canonical role names and without nulls."""
     known = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
-    clean = F.transform(
+    return F.transform(
         turns,
         lambda t: F.struct(
             F.coalesce(F.element_at(known, F.lower(t["role"])), t["role"], F.lit("")).alias("role"),
             F.coalesce(t["text"], F.lit("")).alias("text"),
         ),
     )
-    return rows.withColumn("layout", layout).withColumn("turns", clean).drop("record", "paths")
 
 
 def escaped(text: Column) -> Column:
@@ -180,7 +223,7 @@ def records_of(conversations: DataFrame) -> DataFrame:
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("t"))
     messages = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return turns.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    return turns.select("conv_id", F.struct(messages.alias("messages")).alias("record"))
 
 
 def report(conversations: DataFrame) -> DataFrame:

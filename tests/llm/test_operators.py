@@ -194,6 +194,18 @@ def test_chat_layouts(spark):
     assert all(r.turns is None for r in bad)
 
 
+def test_chat_beyond_json_limits(spark):
+    n = 21_000_000
+    made = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    text = F.when(F.col("role") == "assistant", F.repeat("text", F.lit(n))).otherwise(F.col("text"))
+    row = chat.report(made.withColumn("text", text)).first()
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (2, n, brute.sha(b"x" * n))
+    assert row.turns_sha256 == brute.sha(b"user\nhi\nassistant\n" + b"x" * n + b"\n")
+    record = F.concat(F.lit('{"prompt":"a","response":"'), F.repeat(F.lit("x"), F.lit(n)), F.lit('"}'))
+    with pytest.raises(Exception, match="too large for a variant"):
+        chat.canonical(spark.range(1).select(record.alias("j")), "j").select(F.size("turns")).collect()
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
