@@ -90,7 +90,7 @@ def _open(parent: Node, tag: str, attrs: str) -> Node:
         or "display:none" in a.get("style", "").replace(" ", "") or tag == "header" and not _inside(parent)
         or tag not in ("html", "body", "article", "main") and bool(_OUT_NAMES.search(names))
     )
-    classes = ".".join(sorted(_DIGITS.sub("#", a.get("class", "")).split())[:3])
+    classes = ".".join(sorted(_DIGITS.sub("#", a.get("class", "")).split()))
     return Node(parent, tag, f".{classes}" if classes else "", out, main, parent.link or tag == "a")
 
 

@@ -133,6 +133,13 @@ def test_html(spark, nothing):
     assert html.extracted(pages.limit(0)).count() == 0
 
 
+def test_html_with_many_classes(spark):
+    text = "A sentence of the article that is long enough to win its page. " * 5
+    page = f"<body><div class='a b c teaser'><p>Read this too</p></div><div class='a b c x-story'><p>{text}</p></div></body>"
+    pages = spark.createDataFrame([(1, "http://a.example/x", page)], "page_id long, url string, html string")
+    assert html.extracted(pages).first().text == text.strip()
+
+
 def test_html_by_brute_force(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op7_html(spark, SF).collect():
