@@ -222,3 +222,22 @@ def test_pipeline(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     rows = [r.asDict() for r in corpus_pipeline.run(spark, SF).collect()]
     brute.check_packing(rows, bpe.coder(bpe.vocabulary()).tokenizer, texts)
+
+
+def test_pipeline_with_repeated_ids(spark):
+    say = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    made = [
+        (1, say("a"), "x"), (2, say("b"), "x"), (2, say("b"), "y"), (2, say("a"), "x"), (2, say("c"), "x"), (3, say("d"), "x"),
+        (3, say("e") + " " + say("d", 20), "x"), (None, say("f"), "x"), (None, say("f"), "x"), (None, say("a"), "x"),
+    ]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    want = [(1, made[0][1]), (2, made[1][1]), (2, made[4][1]), (3, made[5][1]), (3, made[6][1]), (None, made[7][1])]
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    cut = corpus_pipeline.cut_repeats(spark, kept, SF)
+    assert cut.columns == docs.columns
+    # one of the two rows of doc_id 3 gives up the passage that they share
+    assert sum(len(r.text.split()) for r in cut.collect()) == 60 * 6
+    assert sorted(r.doc_id or 0 for r in cut.collect()) == [0, 1, 2, 2, 3, 3]
