@@ -1,13 +1,13 @@
 """Toxicity by weak supervision: many noisy voters, a generative label model, a linear classifier.
 
-1. A bounded sample of the labelled training rows (SAMPLE rows, those of the smallest hash) gives, in Spark, the
-   features of each: lower-case words and their first four or five letters. Features that stand out among toxic rows
-   are dealt over VOTERS lexicons; patterns of shouting, repetition, contact data and symbols vote too, and a lexicon
-   that is silent abstains.
+1. The features of all labelled training rows are written and counted by class in Spark: lower-case words and their
+   first four or five letters. Features that stand out among toxic rows are dealt over VOTERS lexicons; patterns of
+   shouting, repetition, contact data and symbols vote too, and a lexicon that is silent abstains.
 2. The label model is a mixture of two classes with an accuracy for each voter and class, fitted by expectation
-   maximisation from the labels' own shares. Voters that agree beyond what the class explains are correlated; each
+   maximisation from the labels' own shares, on all training rows (as counts of equal votes). Voters that agree beyond what the class explains are correlated; each
    one's evidence is divided by what it shares with the others, so that ten copies of a voter count once.
-3. A logistic regression on the selected features is trained on the model's posterior labels.
+3. A logistic regression on the selected features is trained on the model's posterior labels of a bounded sample of the
+   training rows (SAMPLE rows, those of the smallest hash). Documents without a label do not vote.
 
 Only step 3's weights, at most FEATURES numbers, go to the tasks that score the documents. labels, lang, source and
 doc_id are never inputs of a score.
@@ -20,6 +20,7 @@ as the larger. An empty table gives an empty result. Columns other than doc_id a
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kawara.llm.common import filtered, hashed_text, map_rows
+from kawara.llm.common import BROADCAST_IDS, bounded_batches, filtered, fresh_worker, hashed_text, map_rows, written
 
-#: Training rows at most; the model stops improving well before.
+#: Training rows of the regression at most; the model stops improving well before.
 SAMPLE = 12_000
 FEATURES = 4_096
 VOTERS = 24
@@ -38,6 +39,8 @@ PREFIXES = (4, 5)
 PURITY = 0.5
 SPACE_BITS = 31
 FOLDS = 5
+#: Features that a task counts at a time: 4 bytes each, and as much again to sort them.
+COUNTED = 4_000_000
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 _PATTERNS = [
@@ -77,57 +80,99 @@ def _features():
     words = Features()
 
     def step(batch: pa.RecordBatch) -> dict:
-        texts = [x.decode() for x in batch.column(1).to_pylist()]
+        texts = [x.decode() for x in batch.column(2).to_pylist()]
         return {
-            "toxic": batch.column(0),
+            "doc_id": batch.column(0),
+            "toxic": batch.column(1),
             "features": [words.of(t).tobytes() for t in texts],
-            "patterns": [bytes(bool(p.search(t)) for p in _PATTERNS) for t in texts],
+            "patterns": [sum(bool(p.search(t)) << k for k, p in enumerate(_PATTERNS)) for t in texts],
         }
 
     return step
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
+def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic (0 / 1), features and patterns of all training rows."""
     train = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
-    train = train.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = hashed_text(docs).join(F.broadcast(train), "doc_id").select("toxic", "text")  # SAMPLE rows at most
-    return map_rows(found, "toxic int, features binary, patterns binary", _features)
-
-
-def select(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    train = train.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    short = train.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = hashed_text(docs).join(F.broadcast(train) if short else train, "doc_id").select("doc_id", "toxic", "text")
+    return map_rows(rows, "doc_id long, toxic int, features binary, patterns int", _features)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows and toxic rows of each feature, summed over some millions of features at a time."""
+
+    def counted() -> pa.RecordBatch:
+        every, n = np.unique(np.concatenate([x for side in held for x in side]), return_counts=True)
+        own, k = np.unique(np.concatenate([*held[1], every[:0]]), return_counts=True)
+        toxic = np.zeros(len(every), np.int64)
+        toxic[np.searchsorted(every, own)] = k
+        held[0].clear(), held[1].clear()
+        return pa.RecordBatch.from_pydict({"feature": every, "n": n.astype(np.int64), "k": toxic})
+
+    fresh_worker()
+    held, size = ([], []), 0
+    for batch in batches:
+        for toxic, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held[toxic].append(np.frombuffer(data, np.int32))
+            size += len(data) // 4
+            if size >= COUNTED:
+                yield counted()
+                size = 0
+    if held[0] or held[1]:
+        yield counted()
+
+
+def select(rows: DataFrame, n_rows: int, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
     """The features of toxic rows, and their evidence in nats.
 
     Evidence is the large-deviation bound on as many toxic rows by chance, n * KL(k / n, prior). It has to exceed the
     logarithm of the number of features tried, so that about none gets in by luck, however many there are.
     """
-    # only what toxic rows have can be chosen; the other rows are counted one by one, which keeps memory small
-    space, k = np.unique(np.concatenate([r for r, own in zip(rows, y, strict=True) if own]), return_counts=True)
-    n = k.copy()
-    for r, own in zip(rows, y, strict=True):
-        if not own and len(r):
-            at = np.minimum(np.searchsorted(space, r), len(space) - 1)
-            n[at[space[at] == r]] += 1
-    prior, share = y.mean(), (k / n).clip(1e-9, 1 - 1e-9)
-    evidence = n * (share * np.log(share / prior) + (1 - share) * np.log((1 - share) / (1 - prior)))
-    evidence[(share < max(PURITY, prior)) | (evidence < np.log(max(2, (n >= 3).sum())))] = 0
-    best = np.argsort(-evidence, kind="stable")[:FEATURES]
-    best = np.sort(best[evidence[best] > 0])
-    return space[best], evidence[best]
-
-
-def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Posterior of class 1 for each row of a 0 / 1 vote matrix (0: abstains)."""
-    prior = float(np.clip(y.mean(), 0.01, 0.99))
+    bounded_batches(rows.sparkSession)
+    counts = rows.select("toxic", "features").mapInArrow(_counts, "feature int, n long, k long")
+    counts = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where("k > 0")
+    prior = n_toxic / n_rows
+    share = F.least(F.col("k") / F.col("n"), F.lit(1 - 1e-9))
+    counts = counts.withColumn("share", share).withColumn(
+        "evidence", F.col("n") * (share * F.log(share / prior) + (1 - share) * F.log((1 - share) / (1 - prior)))
+    )
+    counts = written(counts, "counts")
+    tried = counts.where("n >= 3").count()
+    good = counts.where((F.col("share") >= max(PURITY, prior)) & (F.col("evidence") >= float(np.log(max(2, tried)))) & (F.col("evidence") > 0))
+    best = good.orderBy(F.desc("evidence"), "feature").limit(FEATURES).select("feature", "evidence").collect()  # FEATURES rows at most
+    best.sort()
+    return np.array([r[0] for r in best], np.int32), np.array([r[1] for r in best], np.float64)
+
+
+def _voting(chosen: np.ndarray, lexicon: np.ndarray):
+    """Votes as bits (lexicons, then patterns), and the places of a row's features among the chosen ones."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            own = [np.flatnonzero(np.isin(chosen, np.frombuffer(x, np.int32), assume_unique=True)) for x in batch.column(2).to_pylist()]
+            bits = [int(np.bitwise_or.reduce(1 << lexicon[r], initial=0)) for r in own]
+            votes = [b | p << VOTERS for b, p in zip(bits, batch.column(3).to_pylist(), strict=True)]
+            return {"doc_id": batch.column(0), "toxic": batch.column(1), "votes": votes, "own": [r.astype(np.int32).tobytes() for r in own]}
+
+        return step
+
+    return make
+
+
+def label_model(votes: np.ndarray, y: np.ndarray, times: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Posterior of class 1 for each row of a 0 / 1 vote matrix (0: abstains) that stands for so many equal ones."""
+    prior = float(np.clip(np.average(y, weights=times), 0.01, 0.99))
     post = np.where(y == 1, 0.9, 0.1 * prior)
     share = np.ones(votes.shape[1])
     for k in range(rounds):
-        rate = [((w[:, None] * votes).sum(0) + 1) / (w.sum() + 20) for w in (post, 1 - post)]
+        rate = [((w[:, None] * votes).sum(0) + 1) / (w.sum() + 20) for w in (times * post, times * (1 - post))]
         if k == rounds // 2:
             # what is left of each pair's covariance once the class is known
             left = votes - (post[:, None] * rate[0] + (1 - post)[:, None] * rate[1])
-            scale = np.sqrt((left**2).mean(0)) + 1e-9
-            together = np.clip((left.T @ left) / len(left) / scale[:, None] / scale, 0, 1)
+            scale = np.sqrt(np.average(left**2, axis=0, weights=times)) + 1e-9
+            together = np.clip((left.T @ (times[:, None] * left)) / times.sum() / scale[:, None] / scale, 0, 1)
             np.fill_diagonal(together, 1)
             share = 1 / np.where(together > 0.1, together, 0).sum(0)
         weigh = lambda r: votes @ (share * np.log(r)) + (1 - votes) @ (share * np.log1p(-r))  # noqa: B023, E731
@@ -156,25 +201,24 @@ def regress(rows: list[np.ndarray], target: np.ndarray, n: int, rounds: int = 40
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float] | None:
     """(features, their weights, bias); None if the training rows are all of one kind."""
-    found = sample(docs, labels).collect()  # SAMPLE rows at most
-    y = np.array([r[0] for r in found])
-    if len(set((y > 0).tolist())) < 2:
+    rows = written(training(docs, labels), "training")
+    sizes = dict(map(tuple, rows.groupBy("toxic").count().collect()))  # two rows at most
+    if len(sizes) < 2:
         return None
-    y = (y > 0).astype(int)
-    rows, patterns = [np.frombuffer(r[1], np.int32) for r in found], [bytes(r[2]) for r in found]
-    del found
-    chosen, evidence = select(rows, y)
-    own = [np.flatnonzero(np.isin(chosen, r, assume_unique=True)) for r in rows]
+    chosen, evidence = select(rows, sum(sizes.values()), sizes[1])
     # strong features are dealt round-robin, so that every lexicon has a share of the best
     strong = np.argsort(-evidence, kind="stable")
-    lexicon = np.full(len(chosen), VOTERS)
+    lexicon = np.empty(len(chosen), np.int64)
     lexicon[strong] = np.arange(len(strong)) % VOTERS
-    votes = np.zeros((len(rows), VOTERS + 1 + len(_PATTERNS)))
-    for i, r in enumerate(own):
-        votes[i, lexicon[r]] = 1
-        votes[i, VOTERS + 1 :] = list(patterns[i])
-    votes = np.delete(votes, VOTERS, axis=1)
-    w, bias = regress(own, label_model(votes, y), len(chosen))
+    voted = written(map_rows(rows, "doc_id long, toxic int, votes long, own binary", _voting(chosen, lexicon)), "voted")
+    equal = voted.groupBy("votes", "toxic").count().orderBy("votes", "toxic").toArrow()
+    bits, y, times = (equal.column(c).to_numpy() for c in ("votes", "toxic", "count"))
+    post = label_model((bits[:, None] >> np.arange(VOTERS + len(_PATTERNS)) & 1).astype(np.float64), y, times.astype(np.float64))
+    found = voted.orderBy(F.xxhash64("doc_id"), "doc_id", "votes", "own").limit(SAMPLE).toArrow()  # SAMPLE rows
+    # votes and toxic in one number, in the order of equal
+    at = np.searchsorted(bits * 2 + y, found.column("votes").to_numpy() * 2 + found.column("toxic").to_numpy())
+    own = [np.frombuffer(x, np.int32) for x in found.column("own").to_pylist()]
+    w, bias = regress(own, post[at], len(chosen))
     used = w != 0
     return chosen[used], w[used], bias
 

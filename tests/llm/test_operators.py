@@ -2,6 +2,7 @@
 
 import hashlib
 import html as entities
+import math
 import re
 
 import brute
@@ -241,3 +242,21 @@ def test_pipeline_with_repeated_ids(spark):
     # one of the two rows of doc_id 3 gives up the passage that they share
     assert sum(len(r.text.split()) for r in cut.collect()) == 60 * 6
     assert sorted(r.doc_id or 0 for r in cut.collect()) == [0, 1, 2, 2, 3, 3]
+
+
+def test_toxicity_counts_every_training_row(spark, monkeypatch):
+    # the word of the last toxic rows stands in none of the few rows that the regression sees first
+    made = [(i, f"fine words of a day {i} " + ("vile scum" if i % 3 == 0 else "")) for i in range(600)]
+    texts = spark.createDataFrame(made, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    rows = toxicity.training(texts, marks)
+    n, k = rows.count(), rows.where("toxic = 1").count()
+    assert n > 400 and n == marks.where(~toxicity.held_out(F.col("doc_id"))).count()
+    chosen, evidence = toxicity.select(rows, n, k)
+    strong = dict(zip(chosen.tolist(), evidence.tolist(), strict=True))
+    # a word of all toxic rows and of no other one has the evidence of all of them
+    for bucket in toxicity.Features()["scum"]:
+        assert strong[bucket] == pytest.approx(k * math.log(n / k), rel=1e-6)
+    chosen, weights, _ = toxicity.train(texts, marks)
+    assert set(toxicity.Features()["vile"]) <= set(chosen.tolist()) and (weights > 0).all()
