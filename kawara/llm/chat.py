@@ -76,18 +76,23 @@ LAYOUTS: list[tuple[str, list[str], str]] = [
 
 
 def paths(record: Column) -> Column:
-    """The known field paths of a record, in order: what a layout may need, as far as the record's schema has it."""
-    shape = F.schema_of_variant(record)
-    found = []
-    for path in sorted({p for _, need, _ in LAYOUTS for p in need}):
-        if "[]." in path:
-            outer, inner = path.split("[].")
-            # inside the array's object, nested brackets aside
-            found.append(F.when(shape.rlike(rf"[<\s]`?{outer}`?: ARRAY<OBJECT<(?:[^<>]|<[^<>]*>)*?\b{inner}\b`?: "), F.lit(path)))
-        else:
-            outermost = F.regexp_replace(F.regexp_replace(shape, r"^OBJECT<", ""), r"<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>", "")
-            found.append(F.when(outermost.rlike(rf"(?:^|[\s,])`?{path}`?: "), F.lit(path)))
-    return F.array_compact(F.array(*found))
+    """All field paths of a record, in order, from a walk over its schema; names beyond letters and digits in backticks."""
+    tokens = F.regexp_extract_all(F.schema_of_variant(record), F.lit(r"(?:`(?:[^`]|``)*`|\w+): |OBJECT<|ARRAY<|>"), F.lit(0))
+
+    def step(s: Column, token: Column) -> Column:
+        outer = F.element_at(s["outer"], -1)
+        path = F.concat(F.when(outer == "", "").otherwise(F.concat(outer, F.lit("."))), F.substring(token, F.lit(1), F.length(token) - 2))
+        inside = F.concat(s["outer"], F.array(s["at"]))
+        return (
+            F.when(token == ">", F.struct(F.slice(s["outer"], F.lit(1), F.size(s["outer"]) - 1).alias("outer"), s["at"].alias("at"), s["found"].alias("found")))
+            .when(token == "OBJECT<", F.struct(inside.alias("outer"), s["at"].alias("at"), s["found"].alias("found")))
+            .when(token == "ARRAY<", F.struct(inside.alias("outer"), F.concat(s["at"], F.lit("[]")).alias("at"), s["found"].alias("found")))
+            .otherwise(F.struct(s["outer"].alias("outer"), path.alias("at"), F.concat(s["found"], F.array(path)).alias("found")))
+        )
+
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("outer"), F.lit("").alias("at"), none.alias("found"))
+    return F.array_sort(F.aggregate(tokens, start, step, lambda s: s["found"]))
 
 
 def struct_paths(kind: DataType, at: str = "") -> list[str]:
@@ -96,10 +101,16 @@ def struct_paths(kind: DataType, at: str = "") -> list[str]:
         return struct_paths(kind.elementType, f"{at}[]")
     if not isinstance(kind, StructType):
         return []
-    names = [(f"{at}.{f.name}" if at else f.name, f.dataType) for f in kind.fields]
+    quoted = lambda x: x if re.fullmatch(r"\w+", x, re.A) else "`" + x.replace("`", "``") + "`"
+    names = [(f"{at}.{quoted(f.name)}" if at else quoted(f.name), f.dataType) for f in kind.fields]
     return [x for name, inner in names for x in (name, *struct_paths(inner, name))]
 
 
+def whole(need: list[str]) -> list[str]:
+    """The paths of a record that has just the fields that a layout needs."""
+    return sorted({*need, *(p.split("[].")[0] for p in need)})
+
+
 def fingerprint(found: Column) -> Column:
     return F.xxhash64(F.array_join(found, "\n"))
 
@@ -125,7 +136,7 @@ def canonical(records: DataFrame, json: str = "record") -> DataFrame:
     for name, need, how in reversed(LAYOUTS):
         # extra known fields beside the needed ones (say, a prompt beside messages) change the fingerprint, so the
         # most specific layout that is contained is taken where no fingerprint is equal
-        exact = F.col("fingerprint") == fingerprint(F.array(*map(F.lit, sorted(need))))
+        exact = F.col("fingerprint") == fingerprint(F.array(*map(F.lit, whole(need))))
         within = F.size(F.array_except(F.array(*map(F.lit, need)), F.col("paths"))) == 0
         layout = F.when(exact | within, F.lit(name)).otherwise(layout)
         turns = F.when(exact | within, F.expr(how).cast(_TURNS)).otherwise(turns)
@@ -134,8 +145,7 @@ def canonical(records: DataFrame, json: str = "record") -> DataFrame:
 
 def _of_structs(rows: DataFrame, kind: StructType) -> DataFrame:
     """As canonical(), with one layout for all rows, found by their schema."""
-    known = {p for _, need, _ in LAYOUTS for p in need}
-    found = sorted(known.intersection(struct_paths(kind)))
+    found = sorted(struct_paths(kind))
     name, how = next(((n, h) for n, need, h in LAYOUTS if set(need) <= set(found)), (None, "NULL"))
     turns = F.expr(re.sub(r"variant_get\(record, '\$\.(\w+)', '[^']*'\)", r"record.\1", how)).cast(_TURNS)
     turns = F.when(F.col("record").isNotNull(), turns)

@@ -260,3 +260,17 @@ def test_toxicity_counts_every_training_row(spark, monkeypatch):
         assert strong[bucket] == pytest.approx(k * math.log(n / k), rel=1e-6)
     chosen, weights, _ = toxicity.train(texts, marks)
     assert set(toxicity.Features()["vile"]) <= set(chosen.tolist()) and (weights > 0).all()
+
+
+def test_chat_deep_fields(spark):
+    made = [
+        '{"messages":[{"role":"user","content":"a","annotations":[{"type":[{"k":{"z":1}}]}]}]}',
+        '{"messages":[{"role":"user","audio":{"meta":{"k":1}},"content":"a"}],"a b":{"c`d":{"e":[[{"f":1}]]}}}',
+    ]
+    rows = chat.canonical(spark.createDataFrame([(x,) for x in made], "j string"), "j").collect()
+    assert [[tuple(t) for t in r.turns] for r in rows] == [[("user", "a")]] * 2
+    inner = spark.createDataFrame([('{"data":{"messages":[{"role":"user","content":"a"}]}}',)], "j string")
+    row = chat.canonical(inner, "j").select("layout", "turns").first()
+    assert row.layout is None and row.turns is None
+    got = inner.select(chat.paths(F.try_parse_json("j"))).first()[0]
+    assert got == ["data", "data.messages", "data.messages[].content", "data.messages[].role"]
