@@ -1,7 +1,8 @@
 """Chat records of any known layout as canonical turns and as formatted text, in DataFrame operations only.
 
 A record is a JSON object, or a struct of the same fields. The paths of its fields (object keys, [] for an array) are
-hashed to a fingerprint, which selects one of the declarative LAYOUTS: how to get from those paths to turns of (role,
+hashed to a fingerprint, which selects one of the declarative LAYOUTS (for a fingerprint that is none of theirs, the
+first layout whose paths are all there): how to get from those paths to turns of (role,
 text). Adding a layout is adding a row. Structs have their paths in the schema and never become JSON, so the limits of
 JSON parsers do not touch their texts; conversations come as structs.
 
@@ -132,15 +133,19 @@ def canonical(records: DataFrame, json: str = "record") -> DataFrame:
         return _of_structs(records.withColumn("record", F.col(json)), kind)
     rows = records.withColumn("record", parsed_json(F.col(json))).withColumn("paths", paths(F.col("record")))
     rows = rows.withColumn("fingerprint", fingerprint(F.col("paths")))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
+    layout, turns, known = F.lit(None).cast("string"), F.lit(None).cast(_TURNS), []
     for name, need, how in reversed(LAYOUTS):
-        # extra known fields beside the needed ones (say, a prompt beside messages) change the fingerprint, so the
-        # most specific layout that is contained is taken where no fingerprint is equal
-        exact = F.col("fingerprint") == fingerprint(F.array(*map(F.lit, whole(need))))
+        # only records with other fields beside the needed ones (an id, say) have a fingerprint that no layout has: the
+        # first layout of the list whose paths are all there reads them
         within = F.size(F.array_except(F.array(*map(F.lit, need)), F.col("paths"))) == 0
-        layout = F.when(exact | within, F.lit(name)).otherwise(layout)
-        turns = F.when(exact | within, F.expr(how).cast(_TURNS)).otherwise(turns)
-    return rows.withColumn("layout", layout).withColumn("turns", _clean(turns)).drop("record", "paths")
+        layout = F.when(within, F.lit(name)).otherwise(layout)
+        known.append((F.col("fingerprint") == fingerprint(F.array(*map(F.lit, whole(need)))), name))
+    for exact, name in known:
+        layout = F.when(exact, F.lit(name)).otherwise(layout)
+    rows = rows.withColumn("layout", layout)
+    for name, _, how in LAYOUTS:
+        turns = F.when(F.col("layout") == name, F.expr(how).cast(_TURNS)).otherwise(turns)
+    return rows.withColumn("turns", _clean(turns)).drop("record", "paths")
 
 
 def _of_structs(rows: DataFrame, kind: StructType) -> DataFrame:

@@ -274,3 +274,10 @@ def test_chat_deep_fields(spark):
     assert row.layout is None and row.turns is None
     got = inner.select(chat.paths(F.try_parse_json("j"))).first()[0]
     assert got == ["data", "data.messages", "data.messages[].content", "data.messages[].role"]
+
+
+def test_chat_fingerprints(spark):
+    made = ['{"prompt":"a","response":"b"}', '{"response":"d","prompt":"c"}', '{"prompt":"a","response":"b","id":1}', '{"prompt":"a","response":"b","meta":{"id":1}}']
+    rows = chat.canonical(spark.createDataFrame([(x,) for x in made], "j string"), "j").collect()
+    assert {r.layout for r in rows} == {"prompt_response"} and all(r.turns for r in rows)
+    assert rows[0].fingerprint == rows[1].fingerprint and len({r.fingerprint for r in rows}) == 3
