@@ -8,7 +8,10 @@ in parallel and joined afterwards; the joins are the same code.
 Why agreement makes the result exact: white space ends every word of the pre-tokenizer, so an encoding never reaches
 across it, and inside a word a token sequence is the encoding if and only if each pair of neighbours is the encoding
 of its own text. Each pair of the joined sequence stands in the left half, the window or the right half. The window
-agrees on AGREE tokens on either side, and it is longer than any added token, so one that is cut is seen whole.
+agrees on AGREE tokens on either side, and it is longer than any added token, so one that is cut is seen whole. A file
+whose settings differ from those that this rests on (is_known_kind) is encoded by whole texts.
+
+The pieces and ids of one document meet in one task, which so holds that document's text and ids; nothing else grows.
 
 Defined results: a null text counts as empty and has no tokens. Repeated rows get equal results, an empty table gives
 an empty one, and columns other than doc_id and text are ignored.
@@ -16,8 +19,12 @@ an empty one, and columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import re
+import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -43,87 +50,137 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
+#: What the fast way below is made for. Other files are encoded whole by the library.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_END = "</w>"
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: _SPLIT for the characters of Latin-1.
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\x09-\x0d\x20\x85\xa0{_class('L')}{_class('N')}]+")
+
+
+def _bytes_of(token: str, alphabet: dict[str, int]) -> bytes:
+    """A token's bytes; the end of a word is a space, which no word contains."""
+    end = token.endswith(_END) and token != _END
+    return bytes(alphabet[c] for c in (token[: -len(_END)] if end else token)) + b" " * end
+
+
+def _alphabet() -> dict[str, int]:
+    """The characters that byte-level vocabularies write bytes as: printable ones themselves, the rest from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+@functools.cache
+def is_known_kind(path: str) -> bool:
+    """Whether the file is of the kind that words and windows can be encoded apart for, checked piece by piece.
+
+    Normaliser and pre-tokenizer have to be the fixed ones. Ids have to follow the merges' order and every token has to
+    be the encoding of its own text: then merging the pair whose joint text has the smallest id is merging by the list
+    (by the time that a text is merged, its two parts are the ones that they are in that text alone).
+    """
+    from tokenizers import Tokenizer, models
+
+    data = json.loads(Tokenizer.from_file(path).to_str())
+    split = (data["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    own = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    model = data["model"]
+    plain = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": _END, "byte_fallback": False, "ignore_merges": False}
+    if (
+        (data["normalizer"] or {}).get("normalizers") != _NORMALIZER or len(split) != 2 or split[1] != own or data["post_processor"]
+        or split[0] != {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+        or any(model.get(k) != v for k, v in plain.items()) or any(t["normalized"] for t in data["added_tokens"])
+    ):
+        return False
+    vocab, merges = model["vocab"], [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    made = [vocab[a + b] for a, b in merges]
+    if made != sorted(set(made)) or any(vocab[x] >= k for (a, b), k in zip(merges, made, strict=True) for x in (a, b)):
         return False
+    inner = Tokenizer(models.BPE(vocab, merges))
+    last = Tokenizer(models.BPE(vocab, merges, end_of_word_suffix=_END))
+    for one, tokens in ((inner, [t for t in vocab if not t.endswith(_END)]), (last, [t for t in vocab if t.endswith(_END)])):
+        texts = [t.removesuffix(_END) for t in tokens]
+        if any(e.ids != [vocab[t]] for t, e in zip(tokens, one.encode_batch_fast(texts, add_special_tokens=False), strict=True)):
+            return False
     return True
 
 
-class Coder:
-    """One vocabulary file, with the tokens of words seen lately."""
+class Words(dict):
+    """The ids of a word, as little-endian unsigned 32-bit integers, remembered for the words seen lately.
+
+    A word is what stands between spaces. In Latin-1 lower-casing is one character for one and nothing composes, so
+    the pre-tokenizer's parts come from _WORDS; most words are a run of letters, perhaps with a comma or full stop.
+    Any other word goes to the library.
+    """
 
     #: Words of each of two generations: what the older one holds is found again, what nobody asks for is forgotten.
-    REMEMBER = 250_000
-    #: Words encoded as one text.
-    TOGETHER = 300
+    REMEMBER = 150_000
+
+    def __init__(self, tokenizer):
+        import tiktoken
+
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.tokenizer, alphabet = tokenizer, _alphabet()
+        added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        ranks = {_bytes_of(t, alphabet): i for t, i in tokenizer.get_vocab().items() if t not in added}
+        self.piece = tiktoken.Encoding("words", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.marks = {c: self._part(c) for c in ",."}
+
+    def _part(self, part: str) -> bytes:
+        return array("I", self.piece(part.encode() + b" ")).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._encoded(word)
+        if len(self) >= self.REMEMBER:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _encoded(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if not word.isascii() and max(word) > "\xff":
+            return array("I", self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
+        if word.isalpha():
+            low = word.lower()
+            return self._part(low) if low == word else self[low]
+        if word[-1] in self.marks and (stem := word[:-1]).isalpha():
+            return self[stem.lower()] + self.marks[word[-1]]
+        return b"".join(map(self._part, _WORDS.findall(word.lower())))
+
 
-    def __init__(self, path: str):
+class Coder:
+    """One vocabulary file. apart: whether it is of the known kind, so that texts can be encoded in parts."""
+
+    def __init__(self, path: str, apart: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # the same merges for words that the other steps leave as they are
-        self.words = Tokenizer(self.tokenizer.model)
-        parts = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        self.words.pre_tokenizer = pre_tokenizers.Sequence(parts)
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.odd: set[str] = set()
+        self.apart = is_known_kind(path) if apart is None else apart
+        self.words = Words(self.tokenizer) if self.apart else None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
-        self.ends = np.array([t.endswith("</w>") for t in self.tokens])
 
-    # A leaf is encoded by its words: in this vocabulary's pre-tokenizer a space or line feed always ends a word, and
-    # no normaliser step reaches across one. In Latin-1 lower-casing is one character for one, and a comma or full
-    # stop between a letter or digit and a space is a word of its own, so most words come down to few stems. Added
-    # tokens are matched before lower-casing, so texts that may hold one take the general way.
+    # A leaf is encoded by its words: a space or line feed always ends a word of the pre-tokenizer, and no normaliser
+    # step reaches across one. Added tokens are matched first, so texts that hold one take the general way.
     def leaf(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        text = text.replace("\n", " ")
-        if _latin(text) and not any(x in text for x in ("<|", ",,", ",.", ".,", "..")):
-            words = f"{text} ".lower().replace(", ", " , ").replace(". ", " . ").split(" ")
-            found = set(words)
-            if missing := found.difference(self.known):
-                self._learn(missing, found)
-            # after other punctuation the comma belongs to one word with it
-            if self.odd.isdisjoint(found):
-                return b"".join(map(self.known.__getitem__, words))
-        words = text.split(" ")
-        found = set(words)
-        if missing := found.difference(self.known):
-            self._learn(missing, found)
-        return b"".join(map(self.known.__getitem__, words))
-
-    def _learn(self, missing: set[str], found: set[str]) -> None:
-        if len(self.known) + len(missing) > self.REMEMBER:
-            self.older, self.known, self.odd = self.known, {"": b""}, set()
-            missing = found.difference(self.known)
-        known, older = self.known, self.older
-        if older:
-            again = [w for w in missing if w in older]
-            known.update(zip(again, map(older.__getitem__, again), strict=True))
-            self.odd.update(w for w in again if not w[-1].isalnum() and w not in (",", "."))
-            missing = missing.difference(again)
-        # Lower-case letters of Latin-1 stay as they are in every normaliser step, and a run of them is one word of the
-        # pre-tokenizer: many are encoded as one text, and cut after the tokens that end a word.
-        plain = [w for w in missing if w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0100")]
-        rest = missing.difference(plain)
-        self.odd.update(w for w in rest if w and not w[-1].isalnum() and w not in (",", "."))
-        texts = [" ".join(plain[k : k + self.TOGETHER]) for k in range(0, len(plain), self.TOGETHER)]
-        parts = [e.ids for e in self.words.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-        ids = np.array([i for part in parts for i in part], "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(plain):
-            data, stops = ids.tobytes(), (4 * cuts).tolist()
-            known.update(zip(plain, [data[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
-        else:
-            rest = missing
-        rest = list(rest)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+        if not self.apart or any(t in text for t in self.added):
+            return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
     def spans(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids and the code points that each stands for."""
@@ -131,7 +188,7 @@ class Coder:
         return e.ids, e.offsets
 
     def encode(self, text: str) -> bytes:
-        if len(text) <= LEAF:
+        if len(text) <= LEAF or not self.apart:
             return self.leaf(text)
         middle = len(text) // 2
         return self.join(text[:middle], self.encode(text[:middle]), text[middle:], self.encode(text[middle:]))
@@ -208,10 +265,10 @@ class Coder:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def coder(path: str) -> Coder:
+def coder(path: str, apart: bool | None = None) -> Coder:
     """One for each worker process and vocabulary: workers serve many tasks, and keep what they have learnt."""
     if path not in WORKER_CACHE:
-        WORKER_CACHE[path] = Coder(path)
+        WORKER_CACHE[path] = Coder(path, apart)
     return WORKER_CACHE[path]
 
 
@@ -230,6 +287,7 @@ def encode_with(docs: DataFrame, schema: str, finish, path: str | None = None) -
     again by document, where the joins are made.
     """
     path = path or vocabulary()
+    apart = is_known_kind(path)
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     names = [x.split()[0] for x in schema.split(",")]
 
@@ -237,7 +295,7 @@ def encode_with(docs: DataFrame, schema: str, finish, path: str | None = None) -
         return dict(zip(names, map(list, zip(*rows, strict=True)) if rows else [[] for _ in names], strict=True))
 
     def whole():
-        c = coder(path)
+        c = coder(path, apart)
 
         def step(batch: pa.RecordBatch) -> dict:
             return columns([r for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in finish(c, i, c.encode(t))])
@@ -245,7 +303,7 @@ def encode_with(docs: DataFrame, schema: str, finish, path: str | None = None) -
         return step
 
     def pieces():
-        c = coder(path)
+        c = coder(path, apart)
 
         def step(batch: pa.RecordBatch) -> dict:
             return {n: batch.column(n) for n in ("row", "doc_id", "piece", "text")} | {"ids": [c.encode(t) for t in batch.column("text").to_pylist()]}
@@ -253,7 +311,7 @@ def encode_with(docs: DataFrame, schema: str, finish, path: str | None = None) -
         return step
 
     def joined(found: pa.Table) -> pa.Table:
-        c = coder(path)
+        c = coder(path, apart)
         parts = sorted(found.select(["piece", "text", "ids"]).to_pylist(), key=lambda x: x["piece"])
         nodes = [(x["text"], x["ids"]) for x in parts]
         while len(nodes) > 1:  # the tree, from its leaves upwards
@@ -266,6 +324,8 @@ def encode_with(docs: DataFrame, schema: str, finish, path: str | None = None) -
     from pyspark.sql.types import _parse_datatype_string
 
     target = to_arrow_schema(_parse_datatype_string(schema))
+    if not apart:
+        return map_rows(docs, schema, whole, keeps_cache=True)
     short = map_rows(docs.where(F.length("text") <= ROW), schema, whole, keeps_cache=True)
     # a repeated row is a document of its own: the row number keeps its pieces apart
     long = docs.where(F.length("text") > ROW).withColumn("row", F.monotonically_increasing_id())
