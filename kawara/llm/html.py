@@ -9,7 +9,14 @@
    it has none there.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden text and reader comments are
-left out wherever they stand. Each block element is a line: white space inside it is folded, empty lines are dropped.
+left out wherever they stand. Class and id names that may as well belong to an article (a banner figure, related work)
+are evidence, not a verdict: inside an article or main element, such a part goes only if most of its text is links or
+it holds inputs. A form that holds an article, or most of a page's text (frameworks wrap whole pages in one), stays;
+its inputs go. Formulas keep their text. Each block element is a line: white space inside it is folded, empty lines
+are dropped.
+
+An element's path is kept as a hash of its parent's and its own step, so that a page costs memory in proportion to its
+length however deeply it is nested.
 
 Defined results: a null or empty html has an empty text. A url without a host votes under an empty host. Broken
 markup is read as far as it goes: unclosed elements end with their parent, an unfinished tag at the end is dropped.
@@ -22,6 +29,7 @@ import html as entities
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +39,10 @@ from kawara.llm.common import map_rows
 BROADCAST_HOSTS = 200_000
 DECAY = 0.5
 BONUS = 1.5
+#: Below this, a text's share in a container's score is nothing.
+LEAST_GAIN = 1e-6
 
-_RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|select|xmp"
+_RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|xmp"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*+>|<(?P<raw>{_RAW})\b[^>]*+>(?:.*?)(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -42,7 +52,8 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img object"
+    " math mi mo mn ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover semantics annotation annotation-xml".split()
 )
 #: What the start of an element closes, if it is open.
 _ENDS = {
@@ -50,27 +61,38 @@ _ENDS = {
     "option": {"option"}, "body": {"head"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
 _SCOPE = frozenset("table ul ol dl select article section div body main nav aside".split())
-_OUT_TAGS = frozenset("nav aside footer form button head dialog menu input fieldset audio video canvas".split())
+_OUT_TAGS = frozenset("nav aside footer button head dialog menu audio video canvas annotation annotation-xml".split())
+_INPUTS = frozenset("input button select textarea fieldset".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 _OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|"
-    r"sidebar|side|aside|widget|footer|foot|masthead|site-?header|page-?header|topbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
-    r"newsletter|subscri(?:be|ption)|signup|login|search|comments?|commentlist|replies|reply|respond|disqus|discussion|share|sharing|social|"
-    r"related|recommend(?:ed|ations)?|more-?posts|toolbar|pagination|pager|hidden|skip-?link|disclaimer|copyright)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|masthead|site-?header|page-?header|"
+    r"topbar|cookies?|consent|gdpr|popup|modal|newsletter|subscri(?:be|ption)|signup|login|comments?|commentlist|replies|respond|disqus|share|sharing|"
+    r"social|toolbar|pagination|pager|hidden|skip-?link)(?:$|[\s_-])",
+    re.I,
+)
+#: Names that are a verdict outside of articles and mere evidence inside.
+_MAYBE_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:sponsor(?:ed)?|promo(?:tion)?|banner|side|aside|widget|footer|foot|notices?|alert|overlay|search|reply|discussion|"
+    r"related|recommend(?:ed|ations)?|more-?posts|disclaimer|copyright)(?:$|[\s_-])",
     re.I,
 )
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text|body)(?:$|[\s_-])", re.I)
 _DIGITS = re.compile(r"\d+")
 
 
+#: What is to be decided of a node once its contents are known.
+MAYBE, FORM = 1, 2
+
+
 class Node:
-    __slots__ = ("parent", "tag", "path", "out", "main", "link", "score", "items", "depth")
+    __slots__ = ("parent", "tag", "path", "out", "main", "inside", "link", "score", "items", "doubt")
 
     def __init__(self, parent, tag, names, out, main, link):
         self.parent, self.tag, self.out, self.main, self.link = parent, tag, out, main, link
-        self.path = f"{parent.path}>{tag}{names}" if parent else tag
-        self.depth = parent.depth + 1 if parent else 0
+        self.path = xxhash.xxh3_128_digest(parent.path + f">{tag}{names}".encode("utf-8", "replace")) if parent else b""
+        self.inside = bool(parent) and (parent.inside or parent.main and parent.tag in ("article", "main"))
         self.score = 0.0
+        self.doubt = FORM if tag == "form" else 0
         self.items = []  # text, children and breaks, in order
 
 
@@ -85,30 +107,58 @@ def _open(parent: Node, tag: str, attrs: str) -> Node:
     names = f"{a.get('class', '')} {a.get('id', '')}"
     role = a.get("role", "").lower()
     main = tag in ("article", "main") or role in ("main", "article") or a.get("itemprop") == "articleBody" or bool(_MAIN.search(names))
+    plain = tag not in ("html", "body", "article", "main")
     out = (
-        parent.out or tag in _OUT_TAGS or role in _OUT_ROLES or "hidden" in a or a.get("aria-hidden") == "true"
+        parent.out or tag in _OUT_TAGS or role in _OUT_ROLES and tag != "form" or "hidden" in a or a.get("aria-hidden") == "true"
         or "display:none" in a.get("style", "").replace(" ", "") or tag == "header" and not _inside(parent)
-        or tag not in ("html", "body", "article", "main") and bool(_OUT_NAMES.search(names))
+        or plain and tag != "form" and bool(_OUT_NAMES.search(names))
     )
     classes = ".".join(sorted(_DIGITS.sub("#", a.get("class", "")).split()))
-    return Node(parent, tag, f".{classes}" if classes else "", out, main, parent.link or tag == "a")
+    node = Node(parent, tag, f".{classes}" if classes else "", out, main, parent.link or tag == "a")
+    if plain and not node.doubt and _MAYBE_NAMES.search(names):
+        if node.inside:
+            node.doubt = MAYBE
+        else:
+            node.out = True
+    return node
 
 
-def _inside(node: Node | None) -> bool:
-    """Whether node stands in an article: a header there is the article's own."""
-    while node:
-        if node.main and node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+def _inside(node: Node) -> bool:
+    """Whether node is an article or stands in one: a header there is the article's own."""
+    return node.inside or node.main and node.tag in ("article", "main")
+
+
+def settle(nodes: list[Node], page: int) -> None:
+    """Put out the doubtful nodes that their contents speak against. nodes: in page order; page: its characters of text."""
+    sums: dict[Node, tuple[int, int, int, bool]] = {}
+    for node in reversed(nodes):  # children stand behind their parents
+        text = links = inputs = 0
+        holds = False
+        for item in node.items:
+            if isinstance(item, str):
+                size = len(item) - item.count(" ")
+                text += size
+                links += size * node.link
+            elif item is not None and not item.out:
+                own = sums[item]
+                text, links, inputs = text + own[0], links + own[1], inputs + own[2] + (item.tag in _INPUTS)
+                holds |= own[3] or item.tag in ("article", "main")
+        sums[node] = text, links, inputs, holds
+        if node.doubt == FORM:
+            node.out |= not holds and 2 * text <= page
+        elif node.doubt == MAYBE:
+            node.out |= 2 * links > text or inputs > 0
 
 
 def parse(page: str) -> Node:
     root = at = Node(None, "", "", False, False, False)
-    last = 0
+    last = size = 0
+    nodes, doubts = [], False
+    opened: dict[str, int] = {}
     for m in _TOKEN.finditer(page):
         if m.start() > last:
             at.items.append(page[last : m.start()])
+            size += 0 if at.out else m.start() - last - page.count(" ", last, m.start())
         last = m.end()
         if m["cdata"]:
             at.items.append(m["cdata"])
@@ -117,6 +167,8 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m["close"] or m["close2"]:
+            if not opened.get(tag):
+                continue  # nothing to close: no walk up a deep page
             node = at
             while node is not root and node.tag != tag:
                 # an inline end tag never closes a block
@@ -125,10 +177,14 @@ def parse(page: str) -> Node:
                     break
                 node = node.parent
             if node is not root:
+                opened[tag] -= 1
                 at = node.parent
             continue
         if tag in _VOID:
             at.items.append(" " if tag in ("br", "wbr", "img") else None)
+            if tag == "input" and not at.out:
+                nodes.append(child := Node(at, tag, "", False, False, at.link))
+                at.items.append(child)
             continue
         if tag not in _INLINE:
             # a block ends an open paragraph and what is open inside it
@@ -144,9 +200,14 @@ def parse(page: str) -> Node:
             while node is not root and node.tag in ends:
                 at = node = node.parent
         at.items.append(child := _open(at, tag, m["attrs"] or m["attrs2"] or ""))
+        opened[tag] = opened.get(tag, 0) + 1
+        nodes.append(child)
+        doubts |= child.doubt > 0
         at = child
     if last < len(page):
         at.items.append(page[last:])
+    if doubts:
+        settle(nodes, size)
     return root
 
 
@@ -203,7 +264,7 @@ def score(root: Node) -> Node:
                 holder = holder.parent
             # the block itself is no container: what holds it is
             holder, gain = holder.parent or holder, -own if node.link else own
-            while holder:
+            while holder and abs(gain) > LEAST_GAIN:
                 holder.score += gain
                 gain *= DECAY
                 holder = holder.parent
@@ -224,7 +285,7 @@ def _host(url):
 
 def _voter():
     def step(batch: pa.RecordBatch) -> dict:
-        return {"host": batch.column(0), "path": [score(parse(x)).path for x in batch.column(1).to_pylist()]}
+        return {"host": batch.column(0), "path": [score(parse(x)).path.hex() for x in batch.column(1).to_pylist()]}
 
     return step
 
@@ -238,10 +299,10 @@ def consensus(pages: DataFrame) -> DataFrame:
 
 def matching(root: Node, path: str) -> list[Node]:
     """The outermost elements on a path, in page order."""
-    found, walk = [], [root]
+    found, walk, own = [], [root], bytes.fromhex(path)
     while walk:
         node = walk.pop()
-        if node.path == path:
+        if node.path == own:
             found.append(node)
         else:
             walk += [x for x in reversed(node.items) if isinstance(x, Node) and not x.out]
