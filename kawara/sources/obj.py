@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 FACES = (
     "path string, face_id long, element string, material string, ring array<struct<x:double,y:double,z:double>>,"
@@ -17,9 +21,18 @@ SECTIONS = {"# Roof": "ROOF", "# Wall": "WALL", "# Ground": "GROUND"}
 def face_token(token: str) -> tuple[int | None, int | None, int | None]:
     """p/t/n of one corner; absent parts are None."""
     parts = [int(x) if x else None for x in token.split("/")]
+    if parts[0] is None or len(parts) > 3:
+        raise ValueError(f"not a corner: {token!r}")
     return tuple((parts + [None, None])[:3])
 
 
+def _at(rows: list, index: int):
+    """The row of a 1-based index; negative ones count from the end."""
+    if index == 0 or index > len(rows) or -index > len(rows):
+        raise IndexError(f"index {index} of {len(rows)}")
+    return rows[index - 1 if index > 0 else index]
+
+
 def parse_obj(text: str) -> list[dict]:
     """The faces of a file, or one row with an error."""
     v, vt, faces, element, material, seen = [], [], [], None, None, set()
@@ -39,10 +52,10 @@ def parse_obj(text: str) -> list[dict]:
                 material = " ".join(rest)
             elif kind == "f":
                 corners = [face_token(t) for t in rest]
-                uv = [vt[t - 1] for _, t, _ in corners if t]
+                uv = [_at(vt, t) for _, t, _ in corners if t is not None]
                 faces.append({
                     "face_id": len(faces), "element": element, "material": material,
-                    "ring": [v[p - 1] for p, _, _ in corners], "uv": uv if len(uv) == len(corners) else [], "error": None,
+                    "ring": [_at(v, p) for p, _, _ in corners], "uv": uv if len(uv) == len(corners) else [], "error": None,
                 })
     except (ValueError, IndexError, TypeError) as e:
         return [{"error": f"line {number}: {e}"}]
@@ -52,13 +65,21 @@ def parse_obj(text: str) -> list[dict]:
 
 
 def read_obj(spark: SparkSession, path: str) -> DataFrame:
-    def run(batches):
+    """The faces of OBJ files; a malformed file is one row with its error, and null elsewhere."""
+    target = to_arrow_schema(_parse_datatype_string(FACES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for files in batches:
-            rows = [{"path": p} | face for p, text in zip(files.path, files.value, strict=True) for face in parse_obj(text)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("path", "face_id", "element", "material", "ring", "uv", "error")])
+            for path, text in zip(files.column(0).to_pylist(), files.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist([{"path": path} | face for face in parse_obj(text)], target)
 
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.mapInPandas(run, FACES)
+    return files.mapInArrow(run, FACES)
+
+
+def textured_walls(faces: DataFrame) -> DataFrame:
+    """The faces that can be rectified: four corners or more, each with a texture coordinate."""
+    return faces.where("error IS NULL AND size(ring) >= 4 AND size(uv) = size(ring)")
 
 
 def obj_text(faces: DataFrame, mtl: str | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kawara.operators import spatial
+
 ORIENTATION = "file string, x double, y double, z double, omega double, phi double, kappa double"
 
 
@@ -32,11 +34,18 @@ def read_world_files(spark: SparkSession, path: str) -> DataFrame:
 def image_at(points: DataFrame, images: DataFrame) -> DataFrame:
     """points (id, x, y) with the first image (image_no, a, e, c, f, width, height) that covers each.
 
-    The image index is a checked, bounded table (one row for each file), so it is broadcast.
+    Images are dealt over square cells as wide as the widest of them, so that points meet the few images over their
+    cell by an equi-join.
     """
+    size = images.agg(F.max(F.greatest(F.abs(F.col("a") * F.col("width")), F.abs(F.col("e") * F.col("height"))))).first()[0]
+    if not size:
+        return points.select("id", F.lit(None).cast(images.schema["image_no"].dataType).alias("image_no")).limit(0)
+    x1, y1 = F.col("c") + F.col("a") * F.col("width"), F.col("f") + F.col("e") * F.col("height")
+    cells = spatial.box_cells(F.least("c", x1), F.least("f", y1), F.greatest("c", x1), F.greatest("f", y1), size)
+    images = images.withColumn("cell", F.explode(cells)).select("*", "cell.cx", "cell.cy").drop("cell")
     col, row = (F.col("x") - F.col("c")) / F.col("a"), (F.col("y") - F.col("f")) / F.col("e")
     inside = (col >= 0) & (col < F.col("width")) & (row >= 0) & (row < F.col("height"))
-    return points.join(F.broadcast(images), inside).groupBy("id").agg(F.min("image_no").alias("image_no"))
+    return spatial.with_cell(points, size).join(images, ["cx", "cy"]).where(inside).groupBy("id").agg(F.min("image_no").alias("image_no"))
 
 
 @dataclass(frozen=True)
