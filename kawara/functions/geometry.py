@@ -144,8 +144,9 @@ def crossing(p: Column, u: Column, q: Column, v: Column) -> Column:
     """Where the lines p + s u and q + t v meet in the plane: (x, y, s, t); null where they are parallel."""
     d = F.nullif(cross2(u, v), F.lit(0.0))
     gap = minus(q, p, "xy")
-    s, t = cross2(gap, v) / d, cross2(gap, u) / d
-    return F.struct((p.x + s * u.x).alias("x"), (p.y + s * u.y).alias("y"), s.alias("s"), t.alias("t"))
+    s, t = cross2(gap, v), cross2(gap, u) / d
+    # divided last, so that a point on the grid stays there
+    return F.struct((p.x + s * u.x / d).alias("x"), (p.y + s * u.y / d).alias("y"), (s / d).alias("s"), t.alias("t"))
 
 
 def on_segment(t: Column, error: float = 0.0) -> Column:

@@ -15,34 +15,175 @@ def face_checks(ring: list[tuple], thick: float, degrees: float, same: float = 0
     doubled, p = int(double.sum()), p[~double]
     if len(p) < 3:
         return p.tolist(), doubled, False, False, False, 0, 0
-    step = np.roll(p, -1, 0) - p
-    turns = np.cross(np.roll(step, -1, 0), step)
-    normal = turns.sum(0)
-    size = float(np.linalg.norm(normal))
-    if size <= 1e-12:
-        return p.tolist(), doubled, True, True, False, 0, 0
-    along = p @ (normal / size)
-    lengths = np.linalg.norm(turns, axis=1)
-    cosine = np.abs(turns @ normal / size / np.where(lengths > 0, lengths, 1))
-    bend = np.degrees(np.arccos(np.clip(cosine[lengths > 0], 0, 1))).max(initial=0.0)
-    uneven = len(p) > 3 and (float(np.ptp(along)) > thick or bend > degrees)
-    q = np.delete(p, int(np.argmax(np.abs(normal))), 1)
-    e = np.roll(q, -1, 0) - q
-    n, crossings, touches = len(q), 0, 0
+    zero, uneven, crossings, touches = (x[0].item() for x in shape_checks(p[None], thick, degrees, touch))
+    return p.tolist(), doubled, True, zero, uneven, crossings, touches
+
+
+def shape_checks(p: np.ndarray, thick: float, degrees: float, touch: float = 0.001) -> tuple[np.ndarray, ...]:
+    """(zero area, non-plane, crossings, touches) of many rings with equally many corners: faces x corners x 3."""
+    n = p.shape[1]
+    step = np.roll(p, -1, 1) - p
+    turns = np.cross(np.roll(step, -1, 1), step)
+    normal = turns.sum(1)
+    size = np.linalg.norm(normal, axis=1)
+    zero = size <= 1e-12
+    unit = normal / np.where(zero, 1, size)[:, None]
+    along = np.einsum("fnk,fk->fn", p, unit)
+    lengths = np.linalg.norm(turns, axis=2)
+    cosine = np.abs(np.einsum("fnk,fk->fn", turns, unit)) / np.where(lengths > 0, lengths, 1)
+    bend = np.where(lengths > 0, np.degrees(np.arccos(np.clip(cosine, 0, 1))), 0).max(1)
+    uneven = (n > 3) & ~zero & ((np.ptp(along, axis=1) > thick) | (bend > degrees))
+    # the plane in which the face is largest
+    drop = np.abs(normal).argmax(1)
+    axes = np.array([[1, 2], [0, 2], [0, 1]])[drop]
+    q = np.take_along_axis(p, axes[:, None, :], 2)
+    e = np.roll(q, -1, 1) - q
+    cross2 = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+    crossings, touches = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
     for i in range(n):
-        for j in range(n):
-            if j in (i, (i - 1) % n, (i + 1) % n):
-                continue
-            gap, d = q[j] - q[i], e[i, 0] * e[j, 1] - e[i, 1] * e[j, 0]
-            if j > i and d:
-                s, t = (gap[0] * e[j, 1] - gap[1] * e[j, 0]) / d, (gap[0] * e[i, 1] - gap[1] * e[i, 0]) / d
-                crossings += 0 < s < 1 and 0 < t < 1
         for j in range(n):
             if j in (i, (i - 1) % n):
                 continue
-            t = np.clip((q[i] - q[j]) @ e[j] / max(e[j] @ e[j], 1e-300), 0, 1)
-            touches += np.linalg.norm(q[i] - q[j] - t * e[j]) <= touch
-    return p.tolist(), doubled, True, False, uneven, int(crossings), int(touches)
+            gap = q[:, j] - q[:, i]
+            if j > i and j != (i + 1) % n:
+                d = cross2(e[:, i], e[:, j])
+                safe = np.where(d == 0, 1, d)
+                s, t = cross2(gap, e[:, j]) / safe, cross2(gap, e[:, i]) / safe
+                crossings += (d != 0) & (s > 0) & (s < 1) & (t > 0) & (t < 1)
+            at = np.clip(-(gap * e[:, j]).sum(1) / np.maximum((e[:, j] ** 2).sum(1), 1e-300), 0, 1)
+            touches += np.linalg.norm(gap + at[:, None] * e[:, j], axis=1) <= touch
+    return zero, uneven, np.where(zero, 0, crossings), np.where(zero, 0, touches)
+
+
+def flattened(ring: np.ndarray) -> np.ndarray:
+    """A ring in space as seen along its normal's largest axis; counter-clockwise where the normal points that way."""
+    p = np.asarray(ring, float)
+    step = np.roll(p, -1, 0) - p
+    normal = np.cross(step, np.roll(step, -1, 0)).sum(0)
+    return np.delete(p, int(np.abs(normal).argmax()), 1)
+
+
+def triangles(ring: list[tuple]) -> np.ndarray:
+    """The triangles (n x 3 x 3) of a simple ring in space, by ear clipping; they keep its winding."""
+    p = np.asarray(ring, float).reshape(-1, 3)
+    if len(p) < 3:
+        return np.empty((0, 3, 3))
+    q = flattened(p)
+    found = ear_clipped([tuple(v) for v in q])
+    x, y = q[:, 0], q[:, 1]
+    if (x * np.roll(y, -1) - np.roll(x, -1) * y).sum() < 0:  # the clipper works counter-clockwise
+        found = [t[::-1] for t in found]
+    return p[np.array(found, int).reshape(-1, 3)]
+
+
+def triangles_cross(t: np.ndarray, o: np.ndarray, same: float = 0.001, flat: float = 1e-6) -> np.ndarray:
+    """For pairs of triangles (n x 3 x 3 each): whether an edge of one goes through the inside of the other.
+
+    Pairs with a common edge, or with a triangle of no area, do not cross; nor do those that only touch.
+    """
+    near = (np.abs(t[:, :, None] - o[:, None]) < same).all(3)
+    common = np.zeros(len(t), bool)
+    for i in range(3):
+        for j in range(3):
+            k, m = (i + 1) % 3, (j + 1) % 3
+            common |= near[:, i, j] & near[:, k, m] | near[:, i, m] & near[:, k, j]
+    size = lambda x: np.linalg.norm(np.cross(x[:, 1] - x[:, 0], x[:, 2] - x[:, 0]), axis=1)
+    possible = ~common & (size(t) > 1e-12) & (size(o) > 1e-12)
+    return possible & (_through(t, o, flat) | _through(o, t, flat))
+
+
+def _through(t: np.ndarray, o: np.ndarray, flat: float) -> np.ndarray:
+    """Whether an edge of o goes through the inside of t."""
+    n = np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0])
+    n = n / np.maximum(np.linalg.norm(n, axis=1), 1e-300)[:, None]
+    far = np.einsum("nkc,nc->nk", o - t[:, None, 0], n)
+    far[np.abs(far) < flat] = 0
+    out = np.zeros(len(t), bool)
+    for i in range(3):
+        a, b = far[:, i], far[:, (i + 1) % 3]
+        through = a * b < 0
+        s = a / np.where(through, a - b, 1)
+        hit = o[:, i] + s[:, None] * (o[:, (i + 1) % 3] - o[:, i])
+        sides = [np.einsum("nc,nc->n", np.cross(t[:, (k + 1) % 3] - t[:, k], hit - t[:, k]), n) for k in range(3)]
+        out |= through & (sides[0] > flat) & (sides[1] > flat) & (sides[2] > flat)
+    return out
+
+
+def open_rings(faces: Iterable[list[tuple]], snap: float = 0.001) -> list[list[tuple]]:
+    """The openings of a solid's faces, each as a ring that closes it (against the direction of the open edges).
+
+    Edges that run against each other cancel; the edges left on one line are cut at each other's ends, so that an edge
+    that stands against two shorter ones cancels too; what is left is joined where it runs straight on, and walked.
+    """
+    return rings_of_edges([(p, q) for ring in faces for p, q in zip(ring, [*ring[1:], ring[0]], strict=True)], snap)
+
+
+def rings_of_edges(lines: list[tuple[tuple, tuple]], snap: float = 0.001) -> list[list[tuple]]:
+    """As open_rings(), from directed edges (p, q)."""
+    names: dict[tuple, int] = {}
+    points: list[np.ndarray] = []
+
+    def name(v) -> int:
+        key = tuple(np.rint(np.asarray(v) / snap).astype(np.int64).tolist())
+        if key not in names:
+            names[key] = len(points)
+            points.append(np.asarray(v, float))
+        return names[key]
+
+    left = cancelled((a, b) for a, b in ((name(p), name(q)) for p, q in lines) if a != b)
+    left = cancelled(part for a, b in left for part in _cut_at(a, b, {v for e in left for v in e}, points, snap))
+    return [[tuple(points[v].tolist()) for v in reversed(_straightened(ring, points))] for ring in edge_rings(left)]
+
+
+def cancelled(edges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Directed edges without the pairs that run against each other."""
+    count: dict[tuple[int, int], int] = {}
+    for a, b in edges:
+        if count.get((b, a)):
+            count[b, a] -= 1
+        else:
+            count[a, b] = count.get((a, b), 0) + 1
+    return [e for e, n in count.items() for _ in range(n)]
+
+
+def _cut_at(a: int, b: int, ends: set[int], points: list[np.ndarray], snap: float) -> list[tuple[int, int]]:
+    """An edge cut at the ends of others that lie on it."""
+    u = points[b] - points[a]
+    length = float(np.linalg.norm(u))
+    on = []
+    for v in sorted(ends - {a, b}):
+        t = float((points[v] - points[a]) @ u) / length**2
+        if 0 < t < 1 and np.linalg.norm(points[v] - points[a] - t * u) < snap:
+            on.append((t, v))
+    row = [a, *(v for _, v in sorted(on)), b]
+    return list(zip(row, row[1:], strict=False))
+
+
+def _straightened(ring: list[int], points: list[np.ndarray], least: float = 1e-6) -> list[int]:
+    """A ring without the corners at which it runs straight on."""
+    out = list(ring)
+    k = 0
+    while k < len(out) and len(out) > 3:
+        p, q, r = (points[out[(k + d) % len(out)]] for d in (-1, 0, 1))
+        u, v = q - p, r - q
+        if np.linalg.norm(np.cross(u, v)) < least * np.linalg.norm(u) * np.linalg.norm(v) and u @ v > 0:
+            out.pop(k)
+            k = 0
+        else:
+            k += 1
+    return out
+
+
+def element_of(ring: list[tuple], tolerance: float = 2.0) -> str | None:
+    """GROUND, WALL or ROOF from the angle between a ring's reversed normal and straight down; None without area."""
+    p = np.asarray(ring, float)
+    step = np.roll(p, -1, 0) - p
+    normal = np.cross(np.roll(step, -1, 0), step).sum(0)
+    size = float(np.linalg.norm(normal))
+    if size <= 1e-12:
+        return None
+    tilt = math.degrees(math.acos(max(-1.0, min(1.0, -float(normal[2]) / size))))
+    return "GROUND" if tilt < tolerance else "WALL" if 90 - tilt < tolerance else "ROOF"
 
 
 def ear_clipped(ring: list[tuple[float, float]]) -> list[tuple[int, int, int]]:
@@ -163,13 +304,13 @@ def mean_shift(values: np.ndarray, weights: np.ndarray, band: float) -> np.ndarr
 
 
 def seed_merged(means: Iterable[float], most: float) -> list[int]:
-    """Group number of each cluster: in order, a free cluster takes all free ones within most of its own mean."""
+    """Group number of each cluster: in order, a free cluster takes all free ones closer than most to its own mean."""
     means, group, n = list(means), [], 0
     group = [-1] * len(means)
     for i, m in enumerate(means):
         if group[i] < 0:
             for j in range(i, len(means)):
-                if group[j] < 0 and abs(means[j] - m) <= most:
+                if j == i or group[j] < 0 and abs(means[j] - m) < most:
                     group[j] = n
             n += 1
     return group

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kawara.functions import geometry as g
-from kawara.operators import kernels
+from kawara.operators import kernels, spatial
 
 
 def corners(faces: DataFrame) -> DataFrame:
@@ -70,24 +72,50 @@ CHECKED = (
 )
 
 
-def checked(faces: DataFrame, thick: float = 0.03, degrees: float = 20.0) -> DataFrame:
+def _points(rings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The corners of all rings (n x 3) and where each ring starts, with the end of the last one. A null ring is empty."""
+    rings = pa.concat_arrays([rings])  # no offset
+    sizes = np.array(pc.fill_null(pc.list_value_length(rings), 0), np.int64)
+    flat = rings.flatten()
+    xyz = np.column_stack([np.asarray(pc.fill_null(flat.field(k).cast(pa.float64()), np.nan)) for k in range(3)]) if len(flat) else np.empty((0, 3))
+    return xyz, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def checked(faces: DataFrame, thick: float = 0.03, degrees: float = 20.0, same: float = 0.01) -> DataFrame:
     """The checks in order; each runs on what the ones before have let through. One row for each face, no shuffle.
 
-    doubled corners are taken out of ring; a face with fewer than three corners left is an ERROR, one that crosses or
-    touches itself a WARN.
+    doubled corners are taken out of ring; a face with fewer than three corners left (a null ring, say) is an ERROR,
+    one that crosses or touches itself a WARN. Faces of equally many corners are checked together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [kernels.face_checks([(p["x"], p["y"], p["z"]) for p in ring], thick, degrees) for ring in batch.column(3).to_pylist()]
-            rings = [[dict(zip("xyz", p, strict=True)) for p in r[0]] for r in rows]
-            status = ["ERROR" if not r[2] else "WARN" if r[5] + r[6] else "SUCCESS" for r in rows]
-            kind = [pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32()]
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kind, 1)]
-            names = [*batch.schema.names, "doubled", "repaired", "zero_area", "non_plane", "crossings", "touches", "status"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rings, batch.column(3).type), *columns, pa.array(status)], names=names)
-
-    kept = faces.select(F.col("mesh_id").cast("long"), F.col("face_id").cast("long"), "element", "ring")
+            xyz, starts = _points(batch.column(3))
+            n = np.diff(starts)
+            owner = np.repeat(np.arange(len(n)), n)
+            before = np.arange(len(xyz)) - 1
+            firsts = starts[:-1][n > 0]
+            before[firsts] = starts[1:][n > 0] - 1
+            double = (np.abs(xyz - xyz[before]) < same).all(1) & (n[owner] > 1)
+            doubled = np.bincount(owner, double, len(n)).astype(np.int32)
+            xyz, owner = xyz[~double], owner[~double]
+            n = n - doubled
+            starts = np.concatenate([[0], np.cumsum(n)])
+            found = {k: np.zeros(len(n), t) for k, t in (("zero_area", bool), ("non_plane", bool), ("crossings", np.int32), ("touches", np.int32))}
+            for size in np.unique(n[n >= 3]):
+                rows = np.flatnonzero(n == size)
+                shape = kernels.shape_checks(xyz[starts[rows][:, None] + np.arange(size)], thick, degrees)
+                for k, v in zip(found, shape, strict=True):
+                    found[k][rows] = v
+            status = np.where(n < 3, "ERROR", np.where(found["crossings"] + found["touches"] > 0, "WARN", "SUCCESS"))
+            point = pa.StructArray.from_arrays([pa.array(xyz[:, k]) for k in range(3)], ["x", "y", "z"])
+            rings = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), point).cast(batch.column(3).type)
+            columns = [pa.array(doubled), pa.array(n >= 3), *map(pa.array, found.values()), pa.array(status.tolist(), pa.string())]
+            names = [*batch.schema.names, "doubled", "repaired", *found, "status"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], rings, *columns], names=names)
+
+    ring = F.transform("ring", lambda p: F.struct(*(p[k].cast("double").alias(k) for k in "xyz")))
+    kept = faces.select(F.col("mesh_id").cast("long"), F.col("face_id").cast("long"), "element", ring.alias("ring"))
     return kept.mapInArrow(run, CHECKED)
 
 
@@ -107,34 +135,102 @@ def distinct_vertices(vertices: DataFrame) -> DataFrame:
     return vertices.withColumn("first", F.min("idx").over(Window.partitionBy("mesh_id", "x", "y", "z")))
 
 
+TRIANGLES = "mesh_id long, face_id long, part int, t array<double>"
+
+
+def triangles(faces: DataFrame) -> DataFrame:
+    """(mesh_id, face_id, part, t): the triangles of each face, as nine numbers; concave faces are clipped ear by ear."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xyz, starts = _points(batch.column(2))
+            parts = [kernels.triangles(xyz[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+            n = np.array([len(x) for x in parts], np.int64)
+            flat = np.concatenate([x.reshape(-1) for x in parts] or [np.empty(0)])
+            at = np.repeat(np.arange(len(n)), n)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(n.sum() + 1) * 9, pa.int32()), pa.array(flat))
+            part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            columns = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(part.astype(np.int32)), rows]
+            yield pa.RecordBatch.from_arrays(columns, names=["mesh_id", "face_id", "part", "t"])
+
+    return faces.select(F.col("mesh_id").cast("long"), F.col("face_id").cast("long"), "ring").mapInArrow(run, TRIANGLES)
+
+
 def crossing_faces(faces: DataFrame, size: float) -> DataFrame:
-    """Pairs of faces of a mesh whose triangles cut each other; pairs with a common corner are left out.
+    """Pairs (mesh_id, a, b) of faces of a mesh whose triangles cut each other; faces that touch or share an edge do not.
 
-    Boxes on cells find the pairs; a triangle's edges are tested against the other's plane and inside, both ways.
+    Boxes on cells of the given size find pairs of triangles, which meet in the cell of their overlap's lower corner
+    only; Arrow batches of pairs are then tested at once, an edge of one against the inside of the other, both ways.
+    """
+    at = lambda k: F.array(F.col("t")[k], F.col("t")[3 + k], F.col("t")[6 + k])
+    t = triangles(faces)
+    for k, axis in enumerate("xyz"):
+        t = t.withColumn(f"{axis}0", F.array_min(at(k))).withColumn(f"{axis}1", F.array_max(at(k)))
+    cells = spatial.box_cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)
+    t = t.withColumn("c", F.explode(cells)).select("*", "c.cx", "c.cy").drop("c", "part")
+    other = t.select("mesh_id", "cx", "cy", *(F.col(c).alias(f"o_{c}") for c in t.columns if c not in ("mesh_id", "cx", "cy")))
+    pairs = t.join(other, ["mesh_id", "cx", "cy"]).where("face_id < o_face_id")
+    pairs = pairs.where(" AND ".join(f"{k}0 <= o_{k}1 AND o_{k}0 <= {k}1" for k in "xyz"))
+    low = [spatial.cell(F.greatest(f"{k}0", f"o_{k}0"), size) == F.col(f"c{k}") for k in "xy"]
+    pairs = pairs.where(low[0] & low[1]).select("mesh_id", "face_id", "o_face_id", "t", "o_t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, o = (np.asarray(batch.column(k).flatten()).reshape(-1, 3, 3) for k in (3, 4))
+            hit = pa.array(kernels.triangles_cross(t, o))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(hit) for k in range(3)], names=["mesh_id", "a", "b"])
+
+    return pairs.mapInArrow(run, "mesh_id long, a long, b long").distinct()
+
+
+CLOSED = "mesh_id long, element string, ring array<struct<x:double,y:double,z:double>>"
+
+
+def openings(faces: DataFrame, snap: float = 0.001) -> DataFrame:
+    """(mesh_id, element, ring): a face for each opening of a mesh, none for a closed solid.
+
+    Only edges without a plain opposite meet in a task, with what they are an edge of; one mesh is one group. element
+    follows from the way that the new face looks.
+    """
+    left = open_edges(faces, snap)
+    at = face_edges(faces).select("mesh_id", "face_id", "idx", "p", "q")
+    own = left.select("mesh_id", "face_id", "idx").join(at, ["mesh_id", "face_id", "idx"])
+    flat = [F.col(f"{e}.{k}").cast("double").alias(f"{e}{k}") for e in "pq" for k in "xyz"]
+
+    def run(found: pa.Table) -> pa.Table:
+        rows = np.column_stack([found.column(f"{e}{k}").to_numpy() for e in "pq" for k in "xyz"])
+        order = np.lexsort((found.column("idx").to_numpy(), found.column("face_id").to_numpy()))
+        rings = kernels.rings_of_edges([(tuple(r[:3]), tuple(r[3:])) for r in rows[order].tolist()], snap)
+        rings = [(kernels.element_of(r), r) for r in rings if len(r) >= 3]
+        rings = [(e, r) for e, r in rings if e]
+        points = [[dict(zip("xyz", p, strict=True)) for p in r] for _, r in rings]
+        kind = pa.list_(pa.struct([(k, pa.float64()) for k in "xyz"]))
+        mesh = pa.array([found.column("mesh_id")[0].as_py()] * len(rings), pa.int64())
+        return pa.Table.from_arrays([mesh, pa.array([e for e, _ in rings], pa.string()), pa.array(points, kind)], names=["mesh_id", "element", "ring"])
+
+    slim = own.select(F.col("mesh_id").cast("long"), F.col("face_id").cast("long"), "idx", *flat)
+    return slim.groupBy("mesh_id").applyInArrow(run, CLOSED)
+
+
+def closed(faces: DataFrame, snap: float = 0.001) -> DataFrame:
+    """faces (mesh_id, face_id, element, ring) with a face for each opening, numbered on; repaired tells those."""
+    new = openings(faces, snap)
+    last = faces.groupBy("mesh_id").agg(F.max("face_id").alias("last"))
+    number = F.row_number().over(Window.partitionBy("mesh_id").orderBy("element", "ring"))
+    new = new.withColumn("n", number).join(last, "mesh_id")
+    new = new.select("mesh_id", (F.col("last") + F.col("n")).alias("face_id"), "element", "ring", F.lit(True).alias("repaired"))
+    return faces.select("mesh_id", "face_id", "element", "ring", F.lit(False).alias("repaired")).unionByName(new)
+
+
+def planar(faces: DataFrame, checks: DataFrame) -> DataFrame:
+    """Faces as triangles where checks found them non-plane, and as they are elsewhere; faces without area are left out.
+
+    checks: what checked() gives, whose rings are used. part numbers a face's triangles, null for whole faces.
     """
-    t = faces.select("mesh_id", "face_id", F.posexplode(fan(F.col("ring"))).alias("part", "t"))
-    t = t.withColumn("id", F.concat_ws("_", "face_id", "part")).withColumn("b", g.bounds(F.col("t"), "xyz"))
-    lo, hi = [F.floor(F.col(f"b.min_{k}") / size) for k in "xy"], [F.floor(F.col(f"b.max_{k}") / size) for k in "xy"]
-    t = t.withColumn("cx", F.explode(F.sequence(lo[0], hi[0]))).withColumn("cy", F.explode(F.sequence(lo[1], hi[1])))
-    other = t.select("mesh_id", "cx", "cy", *(F.col(c).alias(f"o_{c}") for c in ("face_id", "t", "b")))
-    pairs = t.join(other, ["mesh_id", "cx", "cy"]).where(F.col("face_id") < F.col("o_face_id"))
-    for k in "xyz":
-        pairs = pairs.where((F.col(f"b.min_{k}") <= F.col(f"o_b.max_{k}")) & (F.col(f"o_b.min_{k}") <= F.col(f"b.max_{k}")))
-    pairs = pairs.where(~F.exists("t", lambda p: F.exists("o_t", lambda q: g.same_point(p, q, 0.001))))
-    cut = _cuts(F.col("t"), F.col("o_t")) | _cuts(F.col("o_t"), F.col("t"))
-    return pairs.where(cut).select("mesh_id", F.col("face_id").alias("a"), F.col("o_face_id").alias("b")).distinct()
-
-
-def _cuts(t: Column, o: Column) -> Column:
-    """An edge of t goes through o."""
-    n = g.cross(g.minus(o[1], o[0]), g.minus(o[2], o[0]))
-
-    def through(e):
-        p, q = e["p"], e["q"]
-        sp, sq = g.dot(g.minus(p, o[0]), n), g.dot(g.minus(q, o[0]), n)
-        s = sp / F.nullif(sp - sq, F.lit(0.0))
-        hit = g.point(p.x + s * (q.x - p.x), p.y + s * (q.y - p.y), p.z + s * (q.z - p.z))
-        sides = [g.dot(g.cross(g.minus(o[(k + 1) % 3], o[k]), g.minus(hit, o[k])), n) for k in range(3)]
-        return F.coalesce((sp * sq < 0) & (sides[0] > 0) & (sides[1] > 0) & (sides[2] > 0), F.lit(False))
-
-    return F.exists(g.edges(t), through)
+    good = checks.where("repaired AND NOT zero_area")
+    whole = good.where("NOT non_plane").select("mesh_id", "face_id", F.lit(None).cast("int").alias("part"), "element", "ring")
+    bent = good.where("non_plane")
+    point = lambda k: g.point(F.col("t")[3 * k], F.col("t")[3 * k + 1], F.col("t")[3 * k + 2])
+    cut = triangles(bent).join(bent.select("mesh_id", "face_id", "element"), ["mesh_id", "face_id"])
+    cut = cut.select("mesh_id", "face_id", "part", "element", F.array(*map(point, range(3))).alias("ring"))
+    return whole.unionByName(cut)
