@@ -47,10 +47,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one where the session names none, on a local master only."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="kawara-")
         context.setCheckpointDir(found)
     return found
@@ -61,7 +63,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discarded(df: DataFrame) -> None:
+    """Delete the table of a written() that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keyed(docs: DataFrame) -> DataFrame | None:
+    """docs with a row_key of each row's own, in the order of doc_id (null last), then text; None if doc_id is one."""
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        return None
+    # the number tells equal rows apart, so that a range of the sort holds no more than its share of them
+    order = [F.asc_nulls_last("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), "row_key"]
+    rows = docs.withColumn("row_key", F.monotonically_increasing_id()).sort(*order)
+    return written(rows.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
 
 
 def without_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

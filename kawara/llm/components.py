@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kawara.llm.common import written
+from kawara.llm.common import discarded, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,8 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        stars = written(small, "stars")
+        stars, last = written(small, "stars"), stars
         before, mark = mark, _mark(stars)
+        discarded(last)
         if before == mark:
             break
     ends = stars.select(F.col("a").alias("id"), F.col("b").alias("comp"))

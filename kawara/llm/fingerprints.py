@@ -5,13 +5,15 @@ space. The fingerprint is 128 bits of xxhash over its bytes: two differently see
 texts have equal fingerprints; where fingerprints are equal, the canonical bytes are compared, so that a collision
 can neither merge classes nor count as likeness. The likeness of two fingerprints is 1 or 0.
 
-The next document (descending doc_id) is found without a global sort: doc_ids are cut into ranges of equal width,
-each range is sorted on its own, and the last document of a range meets the first of the next lower range that has
-any. Texts move once, by range; branches over the sorted ranges reuse that exchange.
-
-Defined results: a null text counts as empty. Repeated doc_ids follow each other ordered by text; null doc_ids come
-last. A single document is its own next one. An empty table gives an empty result. Columns other than doc_id and
-text are ignored.
+The next document (descending doc_id) is found without a global sort: documents are cut into ranges at keys that a
+bounded sample of the table holds, so ranges are even however the ids lie, and each range is sorted on its own. A
+range's upper end is a document of the table; a copy of that document goes to the range above as well, where it is the
+last one's next. So texts move once, and no range waits for another.
+
+Defined results: a null text counts as empty. doc_ids may be any 64-bit integers. Rows that share a doc_id, or have
+none (they come last), follow each other by falling xxhash of their texts; rows that share both lie in one range.
+The last document's next is the first one; a single document is its own next one. An empty table gives an empty
+result. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kawara.llm.common import BROADCAST_IDS
+from kawara.llm.common import BROADCAST_IDS, written
 
-#: Documents in a range, where doc_ids are spread evenly, and the most ranges there are.
-RANGE, RANGES = 256, 1_000_000
+#: Documents in a range, about, and the most ranges there are; sampled keys for each range.
+RANGE, RANGES, SAMPLED = 256, 32_768, 8
+#: Parts of the documents that meet their classes by shuffle, where the classes are too many to broadcast.
+SALT = 32
 _ICU = "com.ibm.icu"
 
 
@@ -62,28 +66,48 @@ def classes(docs: DataFrame) -> DataFrame:
     )
 
 
+def order_key(doc_id: Column, text: Column) -> Column:
+    """A string that sorts as (doc_id, xxhash of the text) do; null doc_ids come first."""
+    low = F.expr("shiftleft(1L, 63)")
+    hexed = lambda c: F.lpad(F.hex(c.bitwiseXOR(low)), 16, "0")
+    return F.concat(F.when(doc_id.isNull(), "0").otherwise("1"), hexed(F.coalesce(doc_id, F.lit(0).cast("long"))), hexed(F.xxhash64(text)))
+
+
+def upper_ends(rows: DataFrame) -> list[str]:
+    """Falling keys of documents of the table, the greatest one first: where its ranges start."""
+    n, top = rows.agg(F.count("*"), F.max("key")).first()
+    ranges = min(RANGES, n // RANGE)
+    if ranges < 2:
+        return [top] if n else []
+    keys = rows.sample(min(1.0, SAMPLED * ranges / n), seed=7).select("key").collect()  # SAMPLED * RANGES keys, about
+    keys = sorted({r[0] for r in keys} - {top}, reverse=True)
+    return [top, *keys[:: max(1, len(keys) // ranges)]]
+
+
 def with_next(rows: DataFrame, carry: list[str]) -> DataFrame:
     """rows with the carried columns of the next document in descending doc_id, prefixed next_."""
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if not n:
+    keyed = rows.withColumn("key", order_key(F.col("doc_id"), F.col("text")))
+    ends = upper_ends(keyed.select("key"))
+    if not ends:
         return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in carry))
-    ranges = max(1, min(RANGES, n // RANGE))
-    width = ((high or 0) - (low or 0)) // ranges + 1
-    rows = rows.withColumn("range", F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("long"))
-    rows = rows.withColumn("range", F.coalesce("range", F.lit(-1)))
-    order = Window.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), "text")
-    seen = rows.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead(F.struct(*carry)).over(order))
-    firsts = seen.where("place = 1").select(F.col("range").alias("after"), F.struct(*carry).alias("first"))
-    # one row for each range, so at most RANGES + 1 in all
-    down = Window.orderBy(F.desc("range"))
-    steps = rows.select("range").distinct()
-    top = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    steps = steps.select("range", F.coalesce(F.lead("range").over(down), F.max("range").over(top)).alias("after"))
-    inner = seen.where("next is not null").drop("place", "range")
-    ends = seen.where("next is null").drop("next", "place").join(steps, "range").join(firsts, "after")
-    ends = ends.withColumnRenamed("first", "next").drop("after", "range")
-    both = inner.unionByName(ends)
-    return both.select("*", *(F.col(f"next.{c}").alias(f"next_{c}") for c in carry)).drop("next")
+    known = F.split(F.lit(",".join(ends)), ",")
+    # the last end that is not under the key, by halving: a bounded literal, looked up in place
+    state = F.struct(F.lit(0).alias("lo"), F.lit(len(ends) - 1).alias("hi"))
+    middle = lambda s: F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+
+    def halve(s: Column, _: Column) -> Column:
+        far = F.get(known, middle(s)) >= F.col("key")
+        return F.struct(F.when(far, middle(s)).otherwise(s["lo"]).alias("lo"), F.when(far, s["hi"]).otherwise(F.greatest(s["lo"], middle(s) - 1)).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(ends).bit_length())))
+    keyed = keyed.withColumn("range", F.aggregate(steps, state, halve, lambda s: s["lo"]))
+    own = F.array(F.struct("range", F.lit(0).alias("copy")))
+    above = F.array(F.struct(F.pmod(F.col("range") - 1, F.lit(len(ends))).alias("range"), F.lit(1).alias("copy")))
+    places = F.when(F.get(known, F.col("range")) == F.col("key"), F.concat(own, above)).otherwise(own)
+    keyed = keyed.withColumn("place", F.explode(places)).select(*rows.columns, "key", "place.range", "place.copy")
+    order = Window.partitionBy("range").orderBy("copy", F.desc("key"), F.desc("text"))
+    seen = keyed.withColumn("next", F.lead(F.struct(*carry)).over(order)).where("copy = 0")
+    return seen.select(*rows.columns, *(F.col(f"next.{c}").alias(f"next_{c}") for c in carry))
 
 
 def likeness(fp: str, other: str, canon: Column, other_canon: Column) -> Column:
@@ -113,7 +137,12 @@ def report(docs: DataFrame) -> DataFrame:
         likeness("fingerprint", "next_fingerprint", own, canonical(F.col("next_text"))).alias("near_next"),
         "bytes",
     )
-    found = classes(docs).withColumnRenamed("fingerprint", "shared")
+    found = written(classes(docs).withColumnRenamed("fingerprint", "shared"), "classes")
     same = (F.col("fingerprint") == F.col("shared")) & (F.col("other").isNull() | (F.col("other") == F.col("bytes")))
+    if found.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4:
+        found = F.broadcast(found)
+    else:  # a fingerprint may be that of a third of all documents: they are dealt over SALT parts
+        found = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        same &= F.col("part") == F.pmod(F.xxhash64("doc_id", "edited_sha256"), F.lit(SALT))
     rows = rows.join(found, same, "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    return rows.drop("shared", "other", "bytes")
+    return rows.drop("shared", "other", "bytes", "part")
