@@ -2,9 +2,9 @@
 
 A record is a JSON object, or a struct of the same fields. The paths of its fields (object keys, [] for an array) are
 hashed to a fingerprint, which selects one of the declarative LAYOUTS (for a fingerprint that is none of theirs, the
-first layout whose paths are all there): how to get from those paths to turns of (role,
-text). Adding a layout is adding a row. Structs have their paths in the schema and never become JSON, so the limits of
-JSON parsers do not touch their texts; conversations come as structs.
+first layout whose paths are all there): how to get from those paths to turns of (role, text). Adding a layout is
+adding a row. A struct's paths are those of its fields that are not null; structs never become JSON, so the limits of
+JSON parsers do not touch their texts. The query makes structs of three layouts out of the conversations.
 
 Formatted text has a mark before and after each turn. Control strings inside texts and roles are escaped with a
 backslash after their first character, one more where there are some already, so that no text can contain a mark and
@@ -149,13 +149,26 @@ def canonical(records: DataFrame, json: str = "record") -> DataFrame:
 
 
 def _of_structs(rows: DataFrame, kind: StructType) -> DataFrame:
-    """As canonical(), with one layout for all rows, found by their schema."""
-    found = sorted(struct_paths(kind))
-    name, how = next(((n, h) for n, need, h in LAYOUTS if set(need) <= set(found)), (None, "NULL"))
-    turns = F.expr(re.sub(r"variant_get\(record, '\$\.(\w+)', '[^']*'\)", r"record.\1", how)).cast(_TURNS)
-    turns = F.when(F.col("record").isNotNull(), turns)
-    rows = rows.withColumn("fingerprint", fingerprint(F.array(*map(F.lit, found)).cast("array<string>")))
-    return rows.withColumn("layout", F.lit(name).cast("string")).withColumn("turns", _clean(turns)).drop("record")
+    """As canonical(). A record has the paths of those of its fields that are not null: records of many layouts share a
+    struct. Their fingerprints are looked up in the table of known ones; as with JSON, a record with other fields
+    beside the needed ones takes the first layout whose paths are all there."""
+    own = lambda f: [p for p in struct_paths(StructType([f]))]
+    there = [F.when(F.col("record")[f.name].isNotNull(), F.array(*map(F.lit, own(f)))).otherwise(F.array().cast("array<string>")) for f in kind.fields]
+    found = F.array_sort(F.concat(*there)) if there else F.array().cast("array<string>")
+    rows = rows.withColumn("paths", F.when(F.col("record").isNotNull(), found))
+    rows = rows.withColumn("fingerprint", fingerprint(F.col("paths")))
+    every = set(struct_paths(kind))
+    usable = [(name, need, how) for name, need, how in LAYOUTS if set(need) <= every]
+    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
+    for name, need, _ in reversed(usable):
+        layout = F.when(F.size(F.array_except(F.array(*map(F.lit, need)), F.col("paths"))) == 0, F.lit(name)).otherwise(layout)
+    for name, need, _ in usable:
+        layout = F.when(F.col("fingerprint") == fingerprint(F.array(*map(F.lit, whole(need)))), F.lit(name)).otherwise(layout)
+    rows = rows.withColumn("layout", layout)
+    for name, _, how in usable:
+        own_turns = F.expr(re.sub(r"variant_get\(record, '\$\.(\w+)', '[^']*'\)", r"record.\1", how)).cast(_TURNS)
+        turns = F.when(F.col("layout") == name, own_turns).otherwise(turns)
+    return rows.withColumn("turns", _clean(turns)).drop("record", "paths")
 
 
 def _clean(turns: Column) -> Column:
@@ -234,11 +247,23 @@ def parsed(text: Column) -> Column:
 
 
 def records_of(conversations: DataFrame) -> DataFrame:
-    """(conv_id, record): the rows of each conversation, by turn, as a record of the messages layout."""
+    """(conv_id, record): the rows of each conversation, by turn, as a record of a layout that can hold it whole.
+
+    One question and one answer are a prompt and its response; other dialogues of users and assistants are
+    conversations of from and value; whatever else there is, messages of role and content.
+    """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("t"))
-    messages = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return turns.select("conv_id", F.struct(messages.alias("messages")).alias("record"))
+    rows = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("t"))
+    roles = F.transform("t", lambda t: t["role"])
+    pair = roles == F.array(F.lit("user"), F.lit("assistant"))
+    dialogue = ~pair & F.forall(roles, lambda r: r.isin("user", "assistant"))
+    said = {
+        "messages": F.when(~pair & ~dialogue, F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))),
+        "conversations": F.when(dialogue, F.transform("t", lambda t: F.struct(F.when(t["role"] == "user", "human").otherwise("gpt").alias("from"), t["content"].alias("value")))),
+        "prompt": F.when(pair, F.get("t", F.lit(0))["content"]),
+        "response": F.when(pair, F.get("t", F.lit(1))["content"]),
+    }
+    return rows.select("conv_id", F.struct(*(v.alias(k) for k, v in said.items())).alias("record"))
 
 
 def report(conversations: DataFrame) -> DataFrame:
