@@ -381,3 +381,119 @@ def tile_offsets(size: Column, tile: int) -> Column:
     """Starts of tiles along an axis; the last one is moved inwards."""
     n = F.greatest(F.ceil(size / tile).cast("int"), F.lit(1))
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.greatest(F.lit(0), F.least(i * tile, size - tile)).cast("int"))
+
+
+def height_plane_distance(p: Column, alpha: Column, beta: Column, gamma: Column) -> Column:
+    """Distance of a point from the plane z = alpha x + beta y + gamma."""
+    return F.abs(alpha * p.x + beta * p.y - p.z + gamma) / F.sqrt(alpha * alpha + beta * beta + 1)
+
+
+def parts(geometry: Column, least: float = 0.0) -> Column:
+    """The rings of a multi-geometry (an array of rings; null is none) whose area is over the least."""
+    return F.filter(F.coalesce(geometry, F.array().cast("array<array<struct<x:double,y:double>>>")), lambda r: area(r) > least)
+
+
+#: Element names as files spell them.
+ELEMENTS = {"Roof": "ROOF", "Wall": "WALL", "Ground": "GROUND"}
+
+
+def element_named(name: Column) -> Column:
+    """ROOF, WALL or GROUND from a section's name; null for any other."""
+    out = F.lit(None).cast("string")
+    for k, v in ELEMENTS.items():
+        out = F.when(name == k, v).otherwise(out)
+    return out
+
+
+def element_title(element: Column) -> Column:
+    """The inverse of element_named."""
+    out = F.lit(None).cast("string")
+    for k, v in ELEMENTS.items():
+        out = F.when(element == v, k).otherwise(out)
+    return out
+
+
+def wall_normal(p: Column, q: Column, ring: Column, hole: Column, probe: float = 0.01) -> Column:
+    """Unit vector (x, y) out of the building at the wall over the edge p-q of an outline, or of a hole in it.
+
+    A point that far from the edge's middle tells which side is inside.
+    """
+    d = minus(q, p, "xy")
+    n = F.nullif(length(d, "xy"), F.lit(0.0))
+    nx, ny = d.y / n, -d.x / n
+    inside = contains(ring, (p.x + q.x) / 2 + probe * nx, (p.y + q.y) / 2 + probe * ny)
+    sign = F.when(inside == hole, F.lit(1.0)).otherwise(F.lit(-1.0))
+    return point(sign * nx, sign * ny)
+
+
+def wound_outwards(ring: Column, normal_xy: Column) -> Column:
+    """A wall's ring, reversed where it does not run counter-clockwise as seen against its outward normal."""
+    side = point(-normal_xy.y, normal_xy.x)
+    flat = F.transform(ring, lambda p: point(p.x * side.x + p.y * side.y, p.z))
+    return F.when(signed_area(flat) < 0, F.reverse(ring)).otherwise(ring)
+
+
+def ground_ring(ring: Column, z: Column) -> Column:
+    """An outline at a height, clockwise as seen from above."""
+    flat = F.when(signed_area(ring) > 0, F.reverse(ring)).otherwise(ring)
+    return F.transform(flat, lambda p: point(p.x, p.y, z))
+
+
+def uv_start(us: Column, vs: Column, width: Column, height: Column) -> Column:
+    """(row, col) of the first pixel of texture coordinates; v runs upwards."""
+    return F.struct(F.floor((1 - F.array_max(vs)) * height).cast("int").alias("row"), F.floor(F.array_min(us) * width).cast("int").alias("col"))
+
+
+def uv_end(us: Column, vs: Column, width: Column, height: Column) -> Column:
+    """(row, col) behind the last pixel."""
+    return F.struct(F.ceil((1 - F.array_min(vs)) * height).cast("int").alias("row"), F.ceil(F.array_max(us) * width).cast("int").alias("col"))
+
+
+def truncated_foot(p: Column, start: Column, direction: Column) -> Column:
+    """As point_to_line, with t cut to four decimals and the foot there: (distance, x, y, t)."""
+    t = point_to_line(p, start, direction, "xy")["t"]
+    cut = F.signum(t) * F.floor(F.abs(t) * 10000) / 10000
+    x, y = start.x + cut * direction.x, start.y + cut * direction.y
+    return F.struct(F.sqrt((p.x - x) ** 2 + (p.y - y) ** 2).alias("distance"), x.alias("x"), y.alias("y"), cut.alias("t"))
+
+
+def ring_distance(p: Column, ring: Column) -> Column:
+    """Distance of a point from a ring's line."""
+    return F.array_min(F.transform(edges(ring), lambda e: segment_distance(p, e["p"], e["q"])))
+
+
+def axis_aligned(degrees: Column, threshold: float) -> Column:
+    """Whether an angle is within the threshold of a multiple of 90 degrees."""
+    rest = F.pmod(degrees, F.lit(90.0))
+    return F.least(rest, 90 - rest) <= threshold
+
+
+def fitted_size(width: Column, height: Column, side: int) -> Column:
+    """(w, h) of an image scaled so that its longer side is the given one."""
+    scale = side / F.greatest(width, height)
+    return F.struct(F.greatest(F.lit(1), F.floor(width * scale)).cast("int").alias("w"), F.greatest(F.lit(1), F.floor(height * scale)).cast("int").alias("h"))
+
+
+def downscaled(width: Column, height: Column, gsd: Column, target: float = 0.25) -> Column:
+    """(w, h) of an image of a ground sampling distance finer than the target, at the target; others stay as they are."""
+    cut = lambda c: F.when(gsd < target, (c * gsd / target).cast("int")).otherwise(c.cast("int"))
+    return F.struct(cut(width).alias("w"), cut(height).alias("h"))
+
+
+def tile_place(number: Column, width: Column, height: Column, tile: int, scale: int = 4) -> Column:
+    """(x, y) of a tile in the merged image, by its number in rows: edge tiles are moved inwards; all times scale."""
+    across = F.greatest(F.ceil(width / tile).cast("int"), F.lit(1))
+    x = F.greatest(F.lit(0), F.least((number % across) * tile, width - tile))
+    y = F.greatest(F.lit(0), F.least(F.floor(number / across).cast("int") * tile, height - tile))
+    return F.struct((x * scale).cast("int").alias("x"), (y * scale).cast("int").alias("y"))
+
+
+def texture_box(us: Column, vs: Column, width: Column, height: Column, margin: int = 2) -> Column:
+    """(x0, y0, x1, y1) of image coordinates, with the margin on each side on which the image has room for it."""
+    low = lambda c: F.floor(F.array_min(c)).cast("int")
+    high = lambda c: F.ceil(F.array_max(c)).cast("int")
+    grown = lambda v: F.when(v - margin >= 0, v - margin).otherwise(v)
+    wide = lambda v, size: F.when(v + margin <= size, v + margin).otherwise(v)
+    return F.struct(
+        grown(low(us)).alias("x0"), grown(low(vs)).alias("y0"), wide(high(us), width).alias("x1"), wide(high(vs), height).alias("y1")
+    )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,12 +12,23 @@ from pyspark.sql import functions as F
 from kawara.operators import spatial
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's shared folder; a temporary one only where the session has none."""
+def _shared(df: DataFrame) -> str:
+    """The session's shared folder; a temporary one where the session has none, on a local master only."""
     context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kawara-"))
-    return df.checkpoint()
+    found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="kawara-")
+        context.setCheckpointDir(found)
+    return found
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: its plan runs once, and a lost executor costs nothing that is written."""
+    path = f"{_shared(df).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -47,23 +60,88 @@ def radius_components(points: DataFrame, radius: float) -> DataFrame:
     return connected(points, pairs.select(F.col("id").alias("a"), F.col("other").alias("b")))
 
 
-def dbscan(points: DataFrame, eps: float, least: int, smallest: int = 1) -> DataFrame:
-    """(id, cluster) of points (id, x, y); noise and clusters of fewer than smallest points are left out.
+def _gap(axes: str, left: str = "", right: str = "o_") -> Column:
+    return F.sqrt(sum(((F.col(f"{left}{k}") - F.col(f"{right}{k}")) ** 2 for k in axes[1:]), (F.col(f"{left}{axes[0]}") - F.col(f"{right}{axes[0]}")) ** 2))
+
+
+def _offsets(axes: str, reach: int) -> Column:
+    """All steps of at most reach cells along each axis."""
+    out = [()]
+    for _ in axes:
+        out = [(*o, d) for o in out for d in range(-reach, reach + 1)]
+    # cells whose corners are further apart than their own diagonal have nothing in reach
+    near = [o for o in out if sum(max(0, abs(d) - 1) ** 2 for d in o) < len(axes) + 1e-9]
+    return F.array(*(F.struct(*(F.lit(d).cast("long").alias(f"d{k}") for k, d in zip(axes, o, strict=True))) for o in near))
+
+
+def _neighbours(left: DataFrame, right: DataFrame, axes: str) -> DataFrame:
+    """Rows of left with those of right (columns o_...) in cells (cx, cy, ...) that a distance of eps can reach."""
+    cells = [f"c{k}" for k in axes]
+    near = left.withColumn("o", F.explode(_offsets(axes, math.isqrt(len(axes)) + 1)))
+    near = near.select(*left.columns, *((F.col(c) + F.col(f"o.d{k}")).alias(f"o_{c}") for c, k in zip(cells, axes, strict=True)))
+    other = right.select(*(F.col(c).alias(f"o_{c}") for c in right.columns))
+    return near.join(other, [f"o_{c}" for c in cells])
+
+
+def dbscan(points: DataFrame, eps: float, least: int, smallest: int = 1, axes: str = "xy") -> DataFrame:
+    """(id, cluster) of points (id and the axes); noise and clusters of fewer than smallest points are left out.
 
     A point with at least `least` points in eps, itself included, is a core. Cores in reach of each other share a
     cluster, named by its smallest core; a border point takes the smallest cluster in reach.
+
+    Cells have a diagonal of eps, so the points of one are in reach of each other: a cell with `least` points holds
+    only cores, of one cluster, and none of its pairs is ever made. Points of other cells, fewer than `least` in each,
+    look into the cells around. Whether two full cells meet is told by one point of each of their sixteenths; only
+    where those are too far apart and the sixteenths' boxes are not, their points are compared.
     """
-    other = points.select(F.col("id").alias("other"), "x", "y")
-    pairs = _cut(spatial.within_radius(points.select("id", "x", "y"), other, eps).select("id", "other"))
-    core = _cut(pairs.groupBy("id").count().where(F.col("count") >= least).select("id"))
-    links = pairs.join(core, "id").join(core.withColumnRenamed("id", "other"), "other").where("id < other")
-    labels = connected(core, links.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    reach = pairs.join(labels.select(F.col("id").alias("other"), "comp"), "other").groupBy("id").agg(F.min("comp").alias("reach"))
-    found = reach.join(labels, "id", "left").select("id", F.coalesce("comp", "reach").alias("cluster"))
+    cells = [f"c{k}" for k in axes]
+    side = eps / math.sqrt(len(axes))
+    rows = points.select("id", *(F.col(k).cast("double").alias(k) for k in axes))
+    for k in axes:
+        rows = rows.withColumn(f"c{k}", spatial.cell(F.col(k), side))
+    counts = rows.groupBy(*cells).agg(F.count("*").alias("n"), F.min("id").alias("top"))
+    rows = _cut(rows.join(counts, cells))
+    dense, sparse = rows.where(F.col("n") >= least), rows.where(F.col("n") < least)
+    pairs = _neighbours(sparse.drop("n", "top"), rows.drop("n", "top"), axes).where(_gap(axes) <= eps)
+    pairs = _cut(pairs.select("id", F.col("o_id").alias("other")))
+    single = _cut(pairs.groupBy("id").count().where(F.col("count") >= least).select("id"))
+    core = _cut(single.select("id", F.col("id").alias("top")).unionByName(dense.select("id", "top")))
+
+    top = core.withColumnsRenamed({"id": "other", "top": "b"})
+    links = pairs.join(single, "id").join(top, "other").select(F.col("id").alias("a"), "b")
+    links = links.unionByName(_full_cells(dense, eps, side, axes))
+    nodes = core.select(F.col("top").alias("id")).distinct()
+    labels = connected(nodes, links.where("a <> b"))
+    found = core.join(labels.withColumnRenamed("id", "top"), "top").select("id", F.col("comp").alias("cluster"))
+    # the smallest core of a cluster names it, whichever node stood for its cell
+    reach = pairs.join(found.withColumnsRenamed({"id": "other", "cluster": "reach"}), "other").groupBy("id").agg(F.min("reach").alias("reach"))
+    border = reach.join(single, "id", "left_anti").select("id", F.col("reach").alias("cluster"))
+    found = found.unionByName(border)
     big = found.groupBy("cluster").count().where(F.col("count") >= smallest).select("cluster")
     return found.join(big, "cluster").select("id", "cluster")
 
 
+def _full_cells(dense: DataFrame, eps: float, side: float, axes: str) -> DataFrame:
+    """Links (a, b) between the tops of full cells that have a pair of points in reach."""
+    cells, parts = [f"c{k}" for k in axes], [f"s{k}" for k in axes]
+    rows = dense
+    for k in axes:
+        rows = rows.withColumn(f"s{k}", spatial.cell(F.col(k), side / 4))
+    box = [f(k).alias(f"{n}{k}") for k in axes for n, f in (("low_", F.min), ("high_", F.max))]
+    first = [F.min_by(k, "id").alias(k) for k in axes]
+    pieces = rows.groupBy(*cells, *parts, "top").agg(*first, *box)
+    met = _neighbours(pieces, pieces, axes).where("top < o_top")
+    apart = [F.greatest(F.lit(0.0), F.col(f"low_{k}") - F.col(f"o_high_{k}"), F.col(f"o_low_{k}") - F.col(f"high_{k}")) for k in axes]
+    met = met.where(F.sqrt(sum((d * d for d in apart[1:]), apart[0] * apart[0])) <= eps).withColumn("sure", _gap(axes) <= eps)
+    met = _cut(met.select("top", "o_top", *parts, *(f"o_{p}" for p in parts), "sure"))
+    sure = _cut(met.where("sure").select(F.col("top").alias("a"), F.col("o_top").alias("b")).distinct())
+    open_ = met.join(sure.withColumnsRenamed({"a": "top", "b": "o_top"}), ["top", "o_top"], "left_anti").drop("sure")
+    own = rows.select("top", *parts, *axes)
+    other = own.select(*(F.col(c).alias(f"o_{c}") for c in own.columns))
+    close = open_.join(own, ["top", *parts]).join(other, ["o_top", *(f"o_{p}" for p in parts)]).where(_gap(axes) <= eps)
+    return sure.unionByName(close.select(F.col("top").alias("a"), F.col("o_top").alias("b")).distinct())
+
+
 def gap_clusters(rows: DataFrame, keys: list[str], value: str, gap: float, tie: str) -> DataFrame:
     """rows with cluster, numbered from 0 within keys: a step of more than the gap in sorted order starts a new one."""
     order = Window.partitionBy(*keys).orderBy(value, tie)
@@ -78,17 +156,28 @@ def runs(rows: DataFrame, order: Window, value: Column) -> DataFrame:
 
 
 def pruned_leaves(edges: DataFrame) -> DataFrame:
-    """edges (a, b) without those that hang from a node of degree 1, again and again until none is left."""
-    edges = _cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    n = edges.count()
+    """edges (a, b) without those that hang from a node of degree 1, again and again until none is left.
+
+    Only the nodes that a round has touched can be leaves of the next one, so a round costs their edges, not all.
+    """
+    edges = _cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))
+    both = _cut(both)
+    # degree and the sum of neighbours: the sum is the last neighbour once the degree is 1
+    state = _cut(both.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.col("w").cast("decimal(38,0)")).alias("rest")))
     while True:
-        ends = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v")))
-        leaves = ends.groupBy("v").count().where("count = 1").select("v")
-        kept = edges.join(leaves.withColumnRenamed("v", "a"), "a", "left_anti").join(leaves.withColumnRenamed("v", "b"), "b", "left_anti")
-        edges = _cut(kept.select("a", "b"))
-        n, before = edges.count(), n
-        if n == before:
-            return edges
+        leaves = state.where("n = 1").select(F.col("rest").cast("long").alias("v"), F.col("v").alias("leaf"))
+        gone = _cut(leaves)
+        if not gone.limit(1).count():
+            break
+        less = gone.groupBy("v").agg(F.count("*").alias("k"), F.sum(F.col("leaf").cast("decimal(38,0)")).alias("lost"))
+        kept = state.join(less, "v", "left").withColumn("n", F.col("n") - F.coalesce("k", F.lit(0)))
+        kept = kept.withColumn("rest", F.col("rest") - F.coalesce("lost", F.lit(0)))
+        kept = kept.join(gone.select(F.col("leaf").alias("v")), "v", "left_anti").where("n > 0")
+        state = _cut(kept.select("v", F.col("n").cast("long").alias("n"), F.col("rest").cast("decimal(38,0)").alias("rest")))
+    alive = state.select("v")
+    kept = edges.join(alive.withColumnRenamed("v", "a"), "a", "left_semi").join(alive.withColumnRenamed("v", "b"), "b", "left_semi")
+    return kept.select("a", "b")
 
 
 def merged_edges(edges: DataFrame) -> DataFrame:
@@ -110,3 +199,67 @@ def opposite_pairs(edges: DataFrame, keys: list[str]) -> DataFrame:
     numbered = edges.withColumn("nth", nth)
     other = numbered.select(*keys, F.col("a").alias("b"), F.col("b").alias("a"), "nth")
     return numbered.join(other, [*keys, "a", "b", "nth"], "left_anti").drop("nth")
+
+
+def united(graphs: list[DataFrame]) -> DataFrame:
+    """The edges (a, b, label) of several graphs as one; of an edge's labels the largest."""
+    rows = graphs[0].select("a", "b", "label")
+    for other in graphs[1:]:
+        rows = rows.unionByName(other.select("a", "b", "label"))
+    return merged_edges(rows)
+
+
+def neighbours_of(edges: DataFrame) -> DataFrame:
+    """(node, near): the sorted neighbours of each node."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
+    return both.where("node <> near").groupBy("node").agg(F.array_sort(F.collect_set("near")).alias("near"))
+
+
+def without_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """edges without those of gone (a, b), in either direction."""
+    either = gone.select("a", "b").unionByName(gone.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return edges.join(either, ["a", "b"], "left_anti")
+
+
+def moved_nodes(nodes: DataFrame, edges: DataFrame, moves: DataFrame, error: float) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after moves (id, x, y): nodes within error of each other are one, the smallest id.
+
+    Edges that join a node to itself go; of doubled ones the largest label stays.
+    """
+    at = moves.select("id", F.col("x").alias("to_x"), F.col("y").alias("to_y"))
+    placed = nodes.join(at, "id", "left").select("id", F.coalesce("to_x", "x").alias("x"), F.coalesce("to_y", "y").alias("y"))
+    same = _cut(radius_components(_cut(placed), error))
+    kept = placed.join(same, "id").where("id = comp").select("id", "x", "y")
+    ends = edges.join(same.select(F.col("id").alias("a"), F.col("comp").alias("to_a")), "a").join(same.select(F.col("id").alias("b"), F.col("comp").alias("to_b")), "b")
+    return kept, merged_edges(ends.where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"), "label"))
+
+
+def split_edges(segments: DataFrame, size: float, error: float = 1e-6, keys: tuple[str, ...] = ()) -> DataFrame:
+    """segments (id, ax, ay, bx, by, label) cut where they cross or touch others: (keys, id, part, ax, ay, bx, by, label).
+
+    Pairs meet on cells of the given size, in the cell of their boxes' lower common corner only; parts follow each
+    other from a to b.
+    """
+    lo = {k: F.least(f"a{k}", f"b{k}") for k in "xy"}
+    hi = {k: F.greatest(f"a{k}", f"b{k}") for k in "xy"}
+    boxed = segments.withColumns({f"{k}0": v - error for k, v in lo.items()}).withColumns({f"{k}1": v + error for k, v in hi.items()})
+    boxed = boxed.withColumn("c", F.explode(spatial.box_cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size))).select("*", "c.cx", "c.cy").drop("c")
+    other = boxed.select(*keys, "cx", "cy", *(F.col(c).alias(f"o_{c}") for c in ("id", "ax", "ay", "bx", "by", "x0", "y0", "x1", "y1")))
+    pairs = boxed.join(other, [*keys, "cx", "cy"]).where("id <> o_id AND x0 <= o_x1 AND o_x0 <= x1 AND y0 <= o_y1 AND o_y0 <= y1")
+    here = (spatial.cell(F.greatest("x0", "o_x0"), size) == F.col("cx")) & (spatial.cell(F.greatest("y0", "o_y0"), size) == F.col("cy"))
+    ux, uy, vx, vy = (F.col(f"{e}b{k}") - F.col(f"{e}a{k}") for e in ("", "o_") for k in "xy")
+    d = F.nullif(ux * vy - uy * vx, F.lit(0.0))
+    gx, gy = F.col("o_ax") - F.col("ax"), F.col("o_ay") - F.col("ay")
+    s, t = (gx * vy - gy * vx) / d, (gx * uy - gy * ux) / d
+    length, reach = F.sqrt(ux * ux + uy * uy), F.sqrt(vx * vx + vy * vy)
+    cut = pairs.where(here).select(*keys, "id", s.alias("s"), t.alias("t"), length.alias("length"), reach.alias("reach"))
+    cut = cut.where((F.col("t") * F.col("reach")).between(-error, F.col("reach") + error))
+    cut = cut.where((F.col("s") * F.col("length") > error) & (F.col("s") * F.col("length") < F.col("length") - error))
+    # one cut for crossings within error of each other
+    at = cut.groupBy(*keys, "id", F.rint(F.col("s") * F.col("length") / error)).agg(F.min("s").alias("s"))
+    ends = at.groupBy(*keys, "id").agg(F.array_sort(F.collect_list("s")).alias("cuts"))
+    rows = segments.join(ends, [*keys, "id"], "left")
+    row = F.concat(F.array(F.lit(0.0)), F.coalesce("cuts", F.array().cast("array<double>")), F.array(F.lit(1.0)))
+    rows = rows.withColumn("row", row).withColumn("part", F.explode(F.sequence(F.lit(0), F.size("row") - 2)))
+    point = lambda i, k: F.col(f"a{k}") + F.get("row", F.col("part") + i) * (F.col(f"b{k}") - F.col(f"a{k}"))
+    return rows.select(*keys, "id", "part", point(0, "x").alias("ax"), point(0, "y").alias("ay"), point(1, "x").alias("bx"), point(1, "y").alias("by"), "label")

@@ -507,3 +507,327 @@ def page_size(width: int, height: int, need_width: int, need_height: int) -> tup
         else:
             height *= 2
     return width, height
+
+
+def local_2d(ring: np.ndarray) -> np.ndarray:
+    """A face in its own plane: the first corner is the origin, the x axis points to the corner farthest from it."""
+    p = np.asarray(ring, float)
+    step = np.roll(p, -1, 0) - p
+    normal = np.cross(np.roll(step, -1, 0), step).sum(0)
+    gap = p - p[0]
+    x = gap[int(np.linalg.norm(gap, axis=1).argmax())]
+    if np.linalg.norm(normal) < 1e-12 or np.linalg.norm(x) < 1e-12:
+        return p[:, :2]
+    x, z = x / np.linalg.norm(x), normal / np.linalg.norm(normal)
+    y = np.cross(z, x)
+    y /= np.linalg.norm(y)
+    return np.column_stack([gap @ np.cross(y, z), gap @ y])
+
+
+def turned_to_xz(ring: np.ndarray) -> np.ndarray:
+    """A face turned so that its right-hand normal points along y: first about the z axis, then about the x axis."""
+    p = np.asarray(ring, float)
+    step = np.roll(p, -1, 0) - p
+    n = np.cross(step, np.roll(step, -1, 0)).sum(0)
+    n = n / np.linalg.norm(n)
+    flat = math.hypot(n[0], n[1])
+    c, s = (n[1] / flat, n[0] / flat) if flat > 0 else (1.0, 0.0)
+    about_z = np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]])
+    n = about_z @ n
+    about_x = np.array([[1, 0, 0], [0, n[1], n[2]], [0, -n[2], n[1]]])
+    return p @ (about_x @ about_z).T
+
+
+def clipped(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """The part of a convex ring inside another convex one, both counter-clockwise."""
+    out = [tuple(v) for v in subject]
+    for a, b in zip(window, np.roll(window, -1, 0), strict=True):
+        side = lambda v: (b[0] - a[0]) * (v[1] - a[1]) - (b[1] - a[1]) * (v[0] - a[0])  # noqa: B023, E731
+        row, out = out, []
+        for p, q in zip(row, row[1:] + row[:1], strict=True):
+            u, v = side(p), side(q)
+            if u >= 0:
+                out.append(p)
+            if u * v < 0:
+                t = u / (u - v)
+                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+        if not out:
+            break
+    return np.array(out, float).reshape(-1, 2)
+
+
+def signed_area(ring: np.ndarray) -> float:
+    x, y = np.asarray(ring, float).reshape(-1, 2).T
+    return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2
+
+
+def overlap_area(p: np.ndarray, q: np.ndarray) -> float:
+    """Common area of two simple rings: their triangles are clipped against each other."""
+    total = 0.0
+    others = [np.asarray(q, float)[list(t)] for t in ear_clipped([tuple(v) for v in q])]
+    others = [o if signed_area(o) > 0 else o[::-1] for o in others]
+    for t in ear_clipped([tuple(v) for v in p]):
+        own = np.asarray(p, float)[list(t)]
+        own = own if signed_area(own) > 0 else own[::-1]
+        for o in others:
+            if (own.min(0) < o.max(0)).all() and (o.min(0) < own.max(0)).all():
+                found = clipped(own, o)
+                total += signed_area(found) if len(found) > 2 else 0.0
+    return total
+
+
+def segment_gaps(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Distance of each point from a ring's line."""
+    a, b = np.asarray(ring, float), np.roll(np.asarray(ring, float), -1, 0)
+    u = b - a
+    t = ((points[:, None] - a) * u).sum(2) / np.maximum((u * u).sum(1), 1e-300)
+    foot = a + np.clip(t, 0, 1)[..., None] * u
+    return np.linalg.norm(points[:, None] - foot, axis=2).min(1)
+
+
+def ring_gap(p: np.ndarray, q: np.ndarray) -> float:
+    """Distance of two rings' lines that do not cross."""
+    p, q = np.asarray(p, float), np.asarray(q, float)
+    return float(min(segment_gaps(p, q).min(), segment_gaps(q, p).min()))
+
+
+def with_missing_vertices(ring: list[tuple], candidates: Iterable[tuple], most: float = 0.001) -> list[tuple]:
+    """ring with each candidate put into the edge that it lies on: the nearest edge closer than most, not at its ends.
+
+    Candidates come one after the other, and later ones see the corners that earlier ones have become.
+    """
+    out = [tuple(map(float, v)) for v in ring]
+    if len(out) < 3:
+        return out
+    for c in candidates:
+        p = np.array(out)
+        u = np.roll(p, -1, 0) - p
+        size = (u * u).sum(1)
+        t = ((np.asarray(c, float) - p) * u).sum(1) / np.where(size > 0, size, 1)
+        gap = np.linalg.norm(np.asarray(c, float) - p - t[:, None] * u, axis=1)
+        gap[(size == 0) | (t <= 0) | (t >= 1) | (gap >= most)] = np.inf
+        k = int(gap.argmin())
+        if np.isfinite(gap[k]):
+            out.insert(k + 1, tuple(map(float, c)))
+    return out
+
+
+def mean_shift_nd(values: np.ndarray, weights: np.ndarray, band: float) -> np.ndarray:
+    """Label of each of some distinct points with weights: flat-kernel mean shift, seeded by bins of the bandwidth.
+
+    Modes closer than the band are one, the heavier stays; labels follow the modes' weight, heaviest first.
+    """
+    modes = []
+    for seed in np.unique(np.round(values / band), axis=0) * band:
+        at = seed
+        for _ in range(300):
+            near = np.linalg.norm(values - at, axis=1) <= band
+            if not near.any():
+                break
+            mean = np.average(values[near], axis=0, weights=weights[near])
+            if np.linalg.norm(mean - at) < 1e-3 * band:
+                modes.append((float(weights[near].sum()), tuple(mean)))
+                break
+            at = mean
+    kept: list[np.ndarray] = []
+    for _, mode in sorted(set(modes), key=lambda m: (-m[0], m[1])):
+        if all(np.linalg.norm(np.array(mode) - k) >= band for k in kept):
+            kept.append(np.array(mode))
+    if not kept:
+        return np.zeros(len(values), int)
+    return np.linalg.norm(values[:, None] - np.array(kept)[None], axis=2).argmin(1)
+
+
+def delaunay(points: np.ndarray) -> list[tuple[int, int, int]]:
+    """Triangles (indexes) of distinct points in the plane whose circles hold no other point, one point at a time."""
+    p = np.asarray(points, float)
+    if len(p) < 3:
+        return []
+    low, high = p.min(0), p.max(0)
+    span = max(float((high - low).max()), 1e-9)
+    middle = (low + high) / 2
+    far = np.array([middle + span * np.array(v) for v in ((-1e4, -1e4), (1e4, -1e4), (0, 1e4))])
+    q = np.vstack([p, far])
+    n = len(p)
+    tri = np.array([[n, n + 1, n + 2]])
+    circles = np.array([_circle(*q[tri[0]])])
+    for i in np.lexsort((p[:, 1], p[:, 0])):
+        bad = ((q[i] - circles[:, :2]) ** 2).sum(1) < circles[:, 2] * (1 - 1e-12)
+        border: dict[tuple[int, int], int] = {}
+        for a, b, c in tri[bad].tolist():
+            for e in ((a, b), (b, c), (c, a)):
+                if border.pop((e[1], e[0]), None) is None:
+                    border[e] = 1
+        new = np.array([(a, b, int(i)) for a, b in border])
+        keep = ~bad
+        tri = np.vstack([tri[keep], new])
+        circles = np.vstack([circles[keep], [_circle(*q[t]) for t in new]])
+    return [tuple(t) for t in tri.tolist() if max(t) < n]
+
+
+def _circle(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[float, float, float]:
+    """Centre and squared radius of the circle through three points; without bounds where they are in line."""
+    u, v = b - a, c - a
+    d = 2 * (u[0] * v[1] - u[1] * v[0])
+    if abs(d) < 1e-300:
+        return float(a[0]), float(a[1]), math.inf
+    x = (v[1] * (u @ u) - u[1] * (v @ v)) / d
+    y = (u[0] * (v @ v) - v[0] * (u @ u)) / d
+    return float(a[0] + x), float(a[1] + y), float(x * x + y * y)
+
+
+def alpha_shape(points: np.ndarray, alpha: float) -> list[list[tuple[float, float]]]:
+    """Outer rings, counter-clockwise, of the triangles whose circle has a radius under 1 / alpha; none for few points."""
+    p = np.unique(np.asarray(points, float).reshape(-1, 2), axis=0)
+    kept = [t for t in delaunay(p) if _circle(*p[list(t)])[2] < 1 / alpha**2]
+    turned = [t if signed_area(p[list(t)]) > 0 else t[::-1] for t in kept]
+    left = cancelled((a, b) for t in turned for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])))
+    rings = [[tuple(p[i].tolist()) for i in ring] for ring in edge_rings(sorted(left))]
+    return [r for r in rings if signed_area(np.array(r)) > 0]
+
+
+def rectangles(mask: np.ndarray, least: int, deepest: int = 10) -> list[tuple[int, int, int, int]]:
+    """Boxes (x0, y0, x1, y1; ends excluded) that make up a mask: each 4-connected part's bounding box, less the boxes
+    of what the part leaves of it, and so on; parts of fewer than least pixels are passed over.
+
+    A box at an even depth adds, one at an odd depth takes away; the list is in breadth-first order.
+    """
+    out, todo = [], [(mask.astype(bool), 0, 0, 0)]
+    while todo:
+        area, x, y, depth = todo.pop(0)
+        labels = mask_components(area)
+        for k in range(1, labels.max(initial=0) + 1):
+            rows, cols = np.nonzero(labels == k)
+            if len(rows) < least:
+                continue
+            y0, y1, x0, x1 = rows.min(), rows.max() + 1, cols.min(), cols.max() + 1
+            out.append((int(x + x0), int(y + y0), int(x + x1), int(y + y1)))
+            if depth + 1 < deepest:
+                rest = labels[y0:y1, x0:x1] != k
+                if rest.any():
+                    todo.append((rest, x + int(x0), y + int(y0), depth + 1))
+    return out
+
+
+def outline_pixels(mask: np.ndarray) -> np.ndarray:
+    """The pixels of a mask that miss one of their eight neighbours."""
+    grown = np.pad(mask.astype(bool), 1)
+    full = np.ones(mask.shape, bool)
+    for dy in (0, 1, 2):
+        for dx in (0, 1, 2):
+            full &= grown[dy : dy + mask.shape[0], dx : dx + mask.shape[1]]
+    return mask.astype(bool) & ~full
+
+
+def bridged(outer: list[tuple], hole: list[tuple]) -> list[tuple]:
+    """An outline with a hole as one ring: it runs from the outline's corner to the hole's that is nearest to it, around
+    the hole, and back. The hole runs against the outline."""
+    a, b = np.asarray(outer, float), np.asarray(hole, float)
+    if (signed_area(a[:, :2]) > 0) == (signed_area(b[:, :2]) > 0):
+        b = b[::-1]
+    gap = ((a[:, None, :2] - b[None, :, :2]) ** 2).sum(2)
+    i, j = np.unravel_index(int(gap.argmin()), gap.shape)
+    around = np.vstack([b[j:], b[: j + 1]])
+    return [tuple(v) for v in np.vstack([a[: i + 1], around, a[i:]]).tolist()]
+
+
+def coplanar_groups(rings: list[list[tuple]], degrees: float, apart: set[tuple[int, int]] = frozenset()) -> list[int]:
+    """Group number of each face: in order, faces that share an edge and whose normals differ by less than degrees join,
+    unless a forbidden pair would come together."""
+    normals, edges = [], {}
+    for k, ring in enumerate(rings):
+        p = np.asarray(ring, float)
+        step = np.roll(p, -1, 0) - p
+        n = np.cross(step, np.roll(step, -1, 0)).sum(0)
+        normals.append(n / max(np.linalg.norm(n), 1e-300))
+        for a, b in zip(ring, [*ring[1:], ring[0]], strict=True):
+            edges.setdefault(tuple(sorted((tuple(a), tuple(b)))), []).append(k)
+    group = list(range(len(rings)))
+    for pair in sorted({tuple(sorted(v)) for v in edges.values() if len(v) == 2 and v[0] != v[1]}):
+        i, j = pair
+        if group[i] == group[j] or float(normals[i] @ normals[j]) < math.cos(math.radians(degrees)):
+            continue
+        mine, other = ({k for k, g in enumerate(group) if g == group[x]} for x in pair)
+        if any((min(a, b), max(a, b)) in apart for a in mine for b in other):
+            continue
+        low = min(group[i], group[j])
+        for k in mine | other:
+            group[k] = low
+    return group
+
+
+def snapped(points: Iterable[tuple], limit: float) -> list[int]:
+    """For each point in order the index of the first earlier kept one within limit that is nearest; itself if none is."""
+    kept: list[int] = []
+    rows = [np.asarray(p, float) for p in points]
+    out = []
+    for i, p in enumerate(rows):
+        gaps = [float(np.linalg.norm(p - rows[k])) for k in kept]
+        if gaps and min(gaps) <= limit:
+            out.append(kept[int(np.argmin(gaps))])
+        else:
+            kept.append(i)
+            out.append(i)
+    return out
+
+
+def nearest_filled(cols: np.ndarray, rows: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Index of the nearest point for each pixel of a raster (height x width), the smallest index of equals."""
+    y, x = np.indices((height, width))
+    out = np.zeros((height, width), int)
+    best = np.full((height, width), np.inf)
+    for k, (c, r) in enumerate(zip(cols, rows, strict=True)):
+        gap = (x - c) ** 2 + (y - r) ** 2
+        less = gap < best
+        best[less], out[less] = gap[less], k
+    return out
+
+
+def triangulated_3d(ring: list[tuple]) -> list[tuple[int, int, int]]:
+    """The triangulation of a ring in space, simple from above, whose triangles bend least against each other.
+
+    The cost of two triangles with a common diagonal is the angle between their normals; it is summed over all
+    diagonals, O(n**4) by intervals with the triangle over the interval's chord.
+    """
+    p = np.asarray(ring, float)
+    n = len(p)
+    if n < 3:
+        return []
+    inner = np.zeros((n, n), bool)
+    for i in range(n):
+        for j in range(i + 2, n):
+            inner[i, j] = (i, j) == (0, n - 1) or _diagonal(p[:, :2], i, j)
+    side = lambda i, j: j == i + 1 or inner[i, j]
+
+    def normal(i: int, k: int, j: int) -> np.ndarray:
+        v = np.cross(p[k] - p[i], p[j] - p[i])
+        return v / max(np.linalg.norm(v), 1e-300)
+
+    best: dict[tuple[int, int, int], tuple[float, int, int]] = {}
+    for span in range(2, n):
+        for i in range(n - span):
+            j = i + span
+            if not inner[i, j]:
+                continue
+            for k in range(i + 1, j):
+                if not (side(i, k) and side(k, j)):
+                    continue
+                own, cost, via = normal(i, k, j), 0.0, []
+                for a, b in ((i, k), (k, j)):
+                    options = [(best[a, m, b][0] + math.acos(max(-1.0, min(1.0, float(own @ normal(a, m, b))))), m) for m in range(a + 1, b) if (a, m, b) in best]
+                    if b > a + 1 and not options:
+                        cost = math.inf
+                        break
+                    least = min(options, default=(0.0, -1))
+                    cost += least[0]
+                    via.append(least[1])
+                if math.isfinite(cost):
+                    best[i, k, j] = cost, *via
+    tops = [(v[0], k) for k, v in best.items() if (k[0], k[2]) == (0, n - 1)]
+    out, todo = [], [min(tops)[1]] if tops else []
+    while todo:
+        i, k, j = todo.pop()
+        out.append((i, k, j))
+        _, left, right = best[i, k, j]
+        todo += [t for t in ((i, left, k), (k, right, j)) if t[1] >= 0]
+    return sorted(out)

@@ -71,20 +71,58 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float, left_id: st
     return pairs.groupBy(*keys, left_id).agg(best).select(*keys, left_id, f"best.{right_id}", "best.distance")
 
 
+#: Rows of a broadcast side at most.
+MOST = 10_000
+
+
+def crossed(left: DataFrame, right: DataFrame, most: int = MOST) -> DataFrame:
+    """left beside each row of right. right is counted; beyond most rows it is worked off in blocks of about that many,
+    each broadcast for a pass of its own, so that no task ever holds more."""
+    blocks = -(-right.count() // most)
+    if blocks <= 1:
+        return left.crossJoin(F.broadcast(right))
+    dealt = right.withColumn("block", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)))
+    out = None
+    for k in range(blocks):
+        part = left.crossJoin(F.broadcast(dealt.where(F.col("block") == k).drop("block")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int, dims: str = "embedding") -> DataFrame:
-    """Exact k nearest rows of a stated, small query set: one pass over rows, a top-k in every task, then one of those.
+    """Exact k nearest rows of a stated query set: passes over rows, a top-k in every task, then one of those.
 
-    queries (query_id, embedding) are broadcast; their number is the caller's bound.
+    queries (query_id, embedding) are broadcast in blocks of a counted size.
     """
     gap = F.aggregate(
         F.zip_with(F.col("q"), F.col(dims), lambda a, b: (a.cast("double") - b.cast("double")) ** 2), F.lit(0.0), lambda s, v: s + v
     )
-    pairs = rows.crossJoin(F.broadcast(queries.select("query_id", F.col("embedding").alias("q"))))
+    pairs = crossed(rows, queries.select("query_id", F.col("embedding").alias("q")))
     pairs = pairs.select("query_id", "vec_id", F.sqrt(gap).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """For each left row (keys, left_id, x, y) its nearest right row (keys, right_id, x, y), however far; ties: smallest id.
+
+    Rings of cells: a radius of size is tried first, then doubled for the rows that found nothing, until all have one.
+    Rows whose keys have no right row at all are left out.
+    """
+    wanted = left.select(*keys, left_id, "x", "y")
+    have = right.select(*keys, right_id, "x", "y")
+    wanted = wanted.join(have.select(*keys).distinct(), list(keys), "left_semi") if keys else wanted if have.limit(1).count() else wanted.limit(0)
+    out, open_, radius = None, wanted, size
+    while True:
+        pairs = within_radius(open_, have, radius, keys)
+        found = pairs.groupBy(*keys, left_id).agg(F.min(F.struct("distance", right_id)).alias("best")).select(*keys, left_id, f"best.{right_id}", "best.distance")
+        out = found if out is None else out.unionByName(found)
+        open_ = open_.join(found.select(*keys, left_id), [*keys, left_id], "left_anti")
+        if not open_.limit(1).count():
+            return out
+        radius *= 2
+
+
 def tiles_overlapping(tiles: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
     """Tiles whose header box meets the search box; plain comparisons, so Parquet statistics prune files."""
     return tiles.where((F.col("min_x") <= x1) & (F.col("max_x") >= x0) & (F.col("min_y") <= y1) & (F.col("max_y") >= y0))
@@ -118,3 +156,21 @@ def box_pairs(boxes: DataFrame, size: float, keys: tuple[str, ...] = ()) -> Data
     pairs = covered.join(other, [*keys, "cx", "cy"]).where("id < o_id AND x0 < o_x1 AND o_x0 < x1 AND y0 < o_y1 AND o_y0 < y1")
     own = (cell(F.greatest("x0", "o_x0"), size) == F.col("cx")) & (cell(F.greatest("y0", "o_y0"), size) == F.col("cy"))
     return pairs.where(own).select(*keys, F.col("id").alias("a"), F.col("o_id").alias("b"))
+
+
+def box_relations(boxes: DataFrame, size: float, keys: tuple[str, ...] = (), share: float = 0.9, gap: float = 0.5) -> DataFrame:
+    """(keys, a, b, relation) of each ordered pair of boxes (id, x0, y0, x1, y1): CONTAINING where the overlap is over
+    share of b, else CONTAINED where it is over share of a, else NEIGHBORING where the boxes are closer than gap."""
+    grown = boxes.withColumns({"gx0": F.col("x0") - gap, "gy0": F.col("y0") - gap, "gx1": F.col("x1") + gap, "gy1": F.col("y1") + gap})
+    covered = grown.withColumn("c", F.explode(box_cells(F.col("gx0"), F.col("gy0"), F.col("gx1"), F.col("gy1"), size))).select("*", "c.cx", "c.cy").drop("c")
+    own = (*keys, "cx", "cy")
+    other = covered.select(*own, *(F.col(c).alias(f"o_{c}") for c in covered.columns if c not in own))
+    pairs = covered.join(other, list(own)).where("id <> o_id AND gx0 <= o_gx1 AND o_gx0 <= gx1 AND gy0 <= o_gy1 AND o_gy0 <= gy1")
+    pairs = pairs.where((cell(F.greatest("gx0", "o_gx0"), size) == F.col("cx")) & (cell(F.greatest("gy0", "o_gy0"), size) == F.col("cy")))
+    zero = F.lit(0.0)
+    common = F.greatest(zero, F.least("x1", "o_x1") - F.greatest("x0", "o_x0")) * F.greatest(zero, F.least("y1", "o_y1") - F.greatest("y0", "o_y0"))
+    area = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
+    dx = F.greatest(zero, F.col("o_x0") - F.col("x1"), F.col("x0") - F.col("o_x1"))
+    dy = F.greatest(zero, F.col("o_y0") - F.col("y1"), F.col("y0") - F.col("o_y1"))
+    kind = F.when(common / area("o_") > share, "CONTAINING").when(common / area("") > share, "CONTAINED").when(F.sqrt(dx * dx + dy * dy) < gap, "NEIGHBORING")
+    return pairs.select(*keys, F.col("id").alias("a"), F.col("o_id").alias("b"), kind.alias("relation")).where("relation IS NOT NULL")

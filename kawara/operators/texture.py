@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kawara.functions import geometry as g
+from kawara.operators import spatial
 
 
 def best_photo(views: DataFrame) -> DataFrame:
@@ -19,11 +20,11 @@ def best_photo(views: DataFrame) -> DataFrame:
 
 
 def face_views(faces: DataFrame, photos: DataFrame) -> DataFrame:
-    """Each face in each photo: visible (all corners) and its area in pixels. photos: a bounded table, broadcast.
+    """Each face in each photo: visible (all corners) and its area in pixels. photos are broadcast in counted blocks.
 
     photos: photo_no, x0, y0, z0, omega, phi, kappa, focal, pixel, width, height.
     """
-    pairs = faces.select("face_id", "ring").crossJoin(F.broadcast(photos))
+    pairs = spatial.crossed(faces.select("face_id", "ring"), photos)
     matrix = [c.alias(f"m{i}") for i, c in enumerate(g.rotation_matrix(F.col("omega"), F.col("phi"), F.col("kappa")))]
     pairs = pairs.select("*", *matrix)
     camera = g.point(F.col("x0"), F.col("y0"), F.col("z0"))

@@ -6,12 +6,14 @@ derivation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kawara.functions import geometry as g
-from kawara.operators import graph, grouped, mesh, spatial, texture
+from kawara.operators import graph, grouped, kernels, mesh, modeling, raster, spatial, texture
 from kawara.plans import building
+from kawara.sources import citygml
 
 POINTS = """SELECT l_suppkey AS building_id,
  cast(l_orderkey % 80 as double) * 0.25e0 + cast(l_partkey % 7 as double) * 0.01e0 AS x,
@@ -29,6 +31,21 @@ RING = f"""SELECT p.building_id, z FROM ({POINTS}) p JOIN ({FOOTPRINTS}) f USING
 QUADS = """SELECT p_partkey AS id, cast(p_size as double) AS w, cast(p_partkey % 13 + 1 as double) AS h, cast(p_partkey % 4 as double) / 8 AS lift FROM part"""
 
 
+#: Faces with a known fault each, by k % 7: none, a doubled corner, no area, a lifted corner (none if lift is 0), a
+#: crossing, a touch, too few corners.
+SHAPES = """SELECT p_partkey AS k, p_partkey % 7 AS kind, cast(p_size + 1 as double) AS w, cast(p_partkey % 13 + 2 as double) AS h, cast(p_partkey % 4 as double) / 4 AS lift FROM part"""
+#: Boxes as solids: by k % 5 without a wall, without two walls that meet, without the top, without the bottom, whole.
+BOXES = """SELECT p_partkey AS k, p_partkey % 5 AS kind, cast(p_size as double) AS w, cast(p_partkey % 13 + 1 as double) AS l, cast(p_partkey % 4 + 1 as double) AS h FROM part"""
+#: Rectangles with a dent in the upper side.
+DENTS = """SELECT p_partkey AS k, cast(p_size + 1 as double) AS w, cast(p_partkey % 13 + 2 as double) AS h, cast(p_partkey % 13 + 2 as double) - cast(p_partkey % 3 as double) * 0.5e0 AS y FROM part"""
+
+
+def ring_of(*corners) -> Column:
+    """Corners as (x, y) or (x, y, z), of numbers and columns."""
+    own = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    return F.array(*(g.point(*map(own, c)) for c in corners))
+
+
 class Tables:
     """The tables of a folder, and views derived from them."""
 
@@ -66,6 +83,40 @@ class Tables:
         a, b = g.point(F.col("ax"), F.col("ay"), F.col("az")), g.point(F.col("bx"), F.col("by_"), F.col("bz"))
         return v.select("id", a.alias("a"), b.alias("b"))
 
+    @property
+    def shapes(self) -> DataFrame:
+        """Faces with one fault each."""
+        w, h, lift = F.col("w"), F.col("h"), F.col("lift")
+        rings = [
+            ring_of((0, 0, 0), (w, 0, 0), (w, h, 0), (0, h, 0)), ring_of((0, 0, 0), (w, 0, 0), (w + 0.005, 0, 0), (w, h, 0), (0, h, 0)),
+            ring_of((0, 0, 0), (w, 0, 0), (w * 2, 0, 0)), ring_of((0, 0, 0), (w, 0, 0), (w, h, lift), (0, h, 0)),
+            ring_of((0, 0, 0), (w, h, 0), (w, 0, 0), (0, h * 2, 0)), ring_of((0, 0, 0), (w, 0, 0), (w, h, 0), (w / 2, 0, 0), (0, h, 0)),
+            ring_of((0, 0, 0), (0, 0, 0), (w, 0, 0)),
+        ]
+        ring = F.lit(None).cast("array<struct<x:double,y:double,z:double>>")
+        for kind, r in enumerate(rings):
+            ring = F.when(F.col("kind") == kind, r).otherwise(ring)
+        return self.sql(SHAPES, "part").select((F.col("k") % 100).alias("mesh_id"), F.col("k").alias("face_id"), F.lit("ROOF").alias("element"), ring.alias("ring"))
+
+    @property
+    def boxes(self) -> DataFrame:
+        """Solids, some with openings; a face's element is what it looks like from outside."""
+        w, l, h = F.col("w"), F.col("l"), F.col("h")  # noqa: E741
+        sides = [
+            ("GROUND", ring_of((0, 0, 0), (w, 0, 0), (w, l, 0), (0, l, 0))), ("ROOF", ring_of((0, 0, h), (0, l, h), (w, l, h), (w, 0, h))),
+            ("WALL", ring_of((0, 0, 0), (0, 0, h), (w, 0, h), (w, 0, 0))), ("WALL", ring_of((w, 0, 0), (w, 0, h), (w, l, h), (w, l, 0))),
+            ("WALL", ring_of((w, l, 0), (w, l, h), (0, l, h), (0, l, 0))), ("WALL", ring_of((0, l, 0), (0, l, h), (0, 0, h), (0, 0, 0))),
+        ]
+        all_ = F.array(*(F.struct(F.lit(i).cast("long").alias("face_id"), F.lit(e).alias("element"), r.alias("ring")) for i, (e, r) in enumerate(sides)))
+        rows = self.sql(BOXES, "part").select(F.col("k").alias("mesh_id"), "kind", F.explode(all_).alias("f")).select("mesh_id", "kind", "f.*")
+        gone = (F.col("kind") == 0) & (F.col("face_id") == 2) | (F.col("kind") == 1) & F.col("face_id").isin(2, 3) | (F.col("kind") == 2) & (F.col("face_id") == 1) | (F.col("kind") == 3) & (F.col("face_id") == 0)
+        return rows.where(~gone).drop("kind")
+
+    @property
+    def dents(self) -> DataFrame:
+        ring = ring_of((0, 0, 0), (F.col("w"), 0, 0), (F.col("w"), F.col("h"), 0), (F.col("w") / 2, F.col("y"), 0), (0, F.col("h"), 0))
+        return self.sql(DENTS, "part").select((F.col("k") % 100).alias("mesh_id"), F.col("k").alias("face_id"), F.lit("ROOF").alias("element"), ring.alias("ring"))
+
     @property
     def quads(self) -> DataFrame:
         """Faces of four corners, the third one lifted."""
@@ -199,15 +250,21 @@ def segment_distance(t):
     return t.vectors.select("id", r6(g.segment_distance(F.col("a"), zero, F.col("b"))).alias("distance"))
 
 
-@query("""SELECT id % 100 AS mesh_id, id AS face_id, round(w * h, 6) AS area, round(2 * (w + h), 6) AS perimeter, round(2*sqrt(pow(h*lift,2)+pow(w*lift,2)+pow(2*w*h,2)), 6) AS normal_length, true AS convex,
+@query("""SELECT id % 100 AS mesh_id, id AS face_id, round(w * h, 6) AS area, round(2 * (w + h), 6) AS perimeter, round(2*sqrt(pow(h*lift,2)+pow(w*lift,2)+pow(2*w*h,2)), 6) AS normal_length,
  greatest(w, h) AS longest FROM (""" + QUADS + ")")
 def polygon_area(t):
     ring = F.col("ring")
     out = {"area": g.area(ring), "perimeter": g.perimeter(ring), "normal_length": g.length(g.normal(ring))}
-    rows = t.quads.select("mesh_id", "face_id", *(r6(v).alias(k) for k, v in out.items()), g.is_convex(ring).alias("convex"), g.longest_edge(ring)["length"].alias("longest"))
+    rows = t.quads.select("mesh_id", "face_id", *(r6(v).alias(k) for k, v in out.items()), g.longest_edge(ring)["length"].alias("longest"))
     return rows.withColumn("normal_length", F.round(F.col("normal_length"), 6))
 
 
+@query("SELECT k AS face_id, y >= h AS convex, round(w * h - w * (h - y) / 2, 6) AS area, w AS width, h AS height FROM (" + DENTS + ")")
+def polygon_convex(t):
+    ring, box = F.col("ring"), g.bounds(F.col("ring"))
+    return t.dents.select("face_id", g.is_convex(ring).alias("convex"), r6(g.area(ring)).alias("area"), (box["max_x"] - box["min_x"]).alias("width"), (box["max_y"] - box["min_y"]).alias("height"))
+
+
 @query(f"""SELECT building_id, greatest(x1 - x0, y1 - y0) AS length, CASE WHEN x1 - x0 >= y1 - y0 THEN 0.0e0 ELSE 90.0e0 END AS angle FROM ({FOOTPRINTS})""")
 def longest_edge(t):
     e = g.longest_edge(F.col("ring"))
@@ -255,9 +312,10 @@ def cyclic_neighbors(t):
     return rows.select("l_orderkey", *keys, F.col("next_l_quantity").alias("next_q"))
 
 
-@query("""SELECT id AS face_id, 0 AS doubled, 'SUCCESS' AS status, false AS zero_area FROM (""" + QUADS + ")")
+@query("SELECT k AS face_id, cast(kind IN (1, 6) AS int) AS doubled, kind <> 6 AS repaired, kind = 2 AS zero_area, kind = 3 AND lift > 0 AS non_plane, cast(kind = 4 AS int) AS crossings,"
+       " cast(kind = 5 AS int) AS touches, CASE WHEN kind = 6 THEN 'ERROR' WHEN kind IN (4, 5) THEN 'WARN' ELSE 'SUCCESS' END AS status FROM (" + SHAPES + ")")
 def mesh_checks(t):
-    return mesh.checked(t.quads).select("face_id", "doubled", "status", "zero_area")
+    return mesh.checked(t.shapes).drop("mesh_id", "element", "ring")
 
 
 @query("""WITH q AS (SELECT p_partkey AS face_id, p_size % 4 AS d FROM part) SELECT face_id, cast(CASE WHEN d = 0 THEN 1 ELSE 0 END AS int) AS doubled, true AS repaired FROM q""")
@@ -269,15 +327,46 @@ def dup_vertex(t):
     return mesh.without_double_points(faces).select("face_id", "doubled", "repaired")
 
 
-@query("""SELECT cast(id % 100 AS bigint) AS mesh_id, count(*) * 4 AS n FROM (""" + QUADS + """) GROUP BY 1""")
+@query("SELECT k AS mesh_id, CASE kind WHEN 1 THEN 6 ELSE 4 END::BIGINT AS n FROM (" + BOXES + ") WHERE kind < 4")
 def open_edges(t):
-    faces = t.quads.withColumn("ring", F.transform("ring", lambda p: g.point(p.x + F.col("face_id") * 100, p.y, p.z)))
-    return mesh.open_edges(faces).groupBy("mesh_id").agg(F.count("*").alias("n"))
-
-
-@query("""SELECT user_id, event_type, count(*) AS n, sum(CASE WHEN value > 250 THEN 1 ELSE 0 END)::BIGINT AS warn FROM events GROUP BY 1, 2""")
+    return mesh.open_edges(t.boxes).groupBy("mesh_id").agg(F.count("*").alias("n"))
+
+
+# a roof looks straight up, and counts as a wall by the rule of angles
+@query("SELECT k AS mesh_id, 6::BIGINT AS face_id, CASE kind WHEN 3 THEN 'GROUND' ELSE 'WALL' END AS element, 4 AS corners, w, CASE kind WHEN 0 THEN 0e0 ELSE l END AS l, CASE kind WHEN 0 THEN h ELSE 0e0 END AS h"
+       " FROM (" + BOXES + ") WHERE kind IN (0, 2, 3)")
+def solid_closed(t):
+    new = mesh.closed(t.boxes.where("mesh_id % 5 <> 1")).where("repaired")
+    b = g.bounds(F.col("ring"), "xyz")
+    sides = {n: (b[f"max_{k}"] - b[f"min_{k}"]).alias(n) for n, k in (("w", "x"), ("l", "y"), ("h", "z"))}
+    return new.select("mesh_id", "face_id", "element", F.size("ring").alias("corners"), *sides.values())
+
+
+@query("SELECT k AS mesh_id, 0::BIGINT AS a, 1::BIGINT AS b FROM (SELECT p_partkey AS k, p_partkey % 7 AS px, p_partkey % 5 AS py FROM part) WHERE (px < 6 AND py < 3) OR px < 3")
+def crossing_faces(t):
+    x, y = F.col("p_partkey") % 7 + F.lit(0.5), F.col("p_partkey") % 5 + F.lit(0.5)
+    # an L on the ground, a triangle through it or through its notch, one that stands on it, one that shares an edge
+    rings = [
+        ring_of((0, 0, 0), (6, 0, 0), (6, 3, 0), (3, 3, 0), (3, 6, 0), (0, 6, 0)), ring_of((x, y, -1), (x + 0.2, y, -1), (x + 0.1, y, 1)),
+        ring_of((x, y + 0.25, 0), (x + 0.2, y + 0.25, 0), (x + 0.1, y + 0.25, 1)), ring_of((0, 0, 0), (6, 0, 0), (3, 0, 2)),
+    ]
+    all_ = F.array(*(F.struct(F.lit(i).cast("long").alias("face_id"), r.alias("ring")) for i, r in enumerate(rings)))
+    faces = t.part.select(F.col("p_partkey").alias("mesh_id"), F.explode(all_).alias("f")).select("mesh_id", "f.*")
+    return mesh.crossing_faces(faces, 4.0)
+
+
+@query("SELECT cast(k AS bigint) AS face_id, count(*) AS parts, round(sum(area), 6) AS area FROM (SELECT k, unnest([w * h / 2, w * h / 2]) AS area FROM (" + SHAPES + ") WHERE kind = 3 AND lift > 0) GROUP BY 1"
+       " UNION ALL SELECT k, 1, round(CASE kind WHEN 4 THEN w * h / 2 WHEN 5 THEN w * h / 2 ELSE w * h END, 6) FROM (" + SHAPES + ") WHERE kind IN (0, 1, 4, 5) OR kind = 3 AND lift = 0")
+def planar_parts(t):
+    parts = mesh.planar(t.shapes, mesh.checked(t.shapes))
+    return parts.groupBy("face_id").agg(F.count("*").alias("parts"), r6(F.sum(g.area(F.col("ring")))).alias("area"))
+
+
+@query("SELECT k % 100 AS mesh_id, 'double_point' AS \"check\", count(*) AS n FROM (" + SHAPES + ") WHERE kind IN (1, 6) GROUP BY 1 UNION ALL SELECT k % 100, 'zero_area', count(*) FROM (" + SHAPES
+       + ") WHERE kind = 2 GROUP BY 1 UNION ALL SELECT k % 100, 'non_plane', count(*) FROM (" + SHAPES + ") WHERE kind = 3 AND lift > 0 GROUP BY 1 UNION ALL SELECT k % 100, 'self_intersection', count(*) FROM ("
+       + SHAPES + ") WHERE kind IN (4, 5) GROUP BY 1")
 def violation_counts(t):
-    return t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 250).alias("warn"))
+    return mesh.violations(mesh.checked(t.shapes)).groupBy("mesh_id", "check").agg(F.count("*").alias("n"))
 
 
 @query("""WITH s AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'SKIP' WHEN 2 THEN 'WARN' ELSE 'SUCCESS' END AS tx, CASE WHEN o_orderstatus = 'P' THEN 'ERROR' ELSE 'SUCCESS' END AS a,
@@ -330,18 +419,19 @@ def knn_embedding(t):
     return near.select("query_id", "vec_id", "rank", F.round("distance", 4).alias("distance"))
 
 
-@query("""SELECT c_custkey, 'has' AS kind FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'none' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
-def semi_anti_sets(t):
-    keys = t.orders.select(F.col("o_custkey").alias("c_custkey"))
-    has = t.customer.join(keys, "c_custkey", "left_semi").select("c_custkey", F.lit("has").alias("kind"))
-    return has.unionByName(t.customer.join(keys, "c_custkey", "left_anti").select("c_custkey", F.lit("none").alias("kind")))
+@query("""SELECT c_custkey AS build_id, CASE WHEN c_nationkey = 3 THEN 'ERROR' WHEN n IS NULL THEN 'WARN' ELSE 'SUCCESS' END AS status, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
+def mesh_join_status(t):
+    status = F.when(F.col("c_nationkey") == 3, "ERROR").otherwise("SUCCESS")
+    buildings = t.customer.select(F.col("c_custkey").alias("build_id"), status.alias("status"))
+    meshes = t.orders.groupBy(F.col("o_custkey").alias("build_id")).agg(F.count("*").alias("n"))
+    return citygml.with_meshes(buildings, meshes).select("build_id", "status", "n")
 
 
 @query("""WITH v AS (SELECT p_partkey AS face_id, n_nationkey AS photo_no, (p_partkey + n_nationkey) % 3 > 0 AS visible, cast((p_size * (n_nationkey % 5 + 1)) % 17 AS double) AS area FROM part, nation),
  r AS (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY area DESC, photo_no DESC) AS k FROM v WHERE visible) SELECT face_id, photo_no, area FROM r WHERE k = 1""")
 def photo_best_per_face(t):
-    photos = t.nation.select(F.col("n_nationkey").alias("photo_no"))  # 25 rows
-    v = t.part.crossJoin(F.broadcast(photos)).select(
+    photos = t.nation.select(F.col("n_nationkey").alias("photo_no"))
+    v = spatial.crossed(t.part, photos).select(
         F.col("p_partkey").alias("face_id"), "photo_no", ((F.col("p_partkey") + F.col("photo_no")) % 3 > 0).alias("visible"),
         ((F.col("p_size") * (F.col("photo_no") % 5 + 1)) % 17).cast("double").alias("area"),
     )
@@ -368,8 +458,10 @@ def components_radius(t):
 
 @query()
 def dbscan_grid(t):
-    rows = t.points.withColumn("id", F.monotonically_increasing_id()).select("id", F.col("x").alias("x"), (F.col("y") + F.col("building_id") * 100).alias("y"))
-    return graph.dbscan(rows, 0.5, 3, 5).groupBy("cluster").agg(F.count("*").alias("n"))
+    """Points of all buildings, each on ground of its own; points that differ in nothing are one, by a number of their content."""
+    rows = t.points.select("building_id", "x", (F.col("y") + F.col("building_id") * 100).alias("y"), "z").distinct()
+    rows = rows.select(F.xxhash64("x", "y", "z").alias("id"), "x", "y", "z")
+    return graph.dbscan(rows, 0.5, 5, 20, "xyz").groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -397,9 +489,16 @@ def shelf_pack(t):
     return grouped.shelved(rects, 256).select("atlas", "seq", "x", "y", "page_w", "page_h")
 
 
-@query("""SELECT cast(id % 100 AS bigint) AS mesh_id, id AS face_id, 2::BIGINT AS n FROM (""" + QUADS + ")")
+@query("SELECT k AS face_id, 3::BIGINT AS n, round(w * h - w * (h - y) / 2, 6) AS area, 3::BIGINT AS best_n, round(w * h - w * (h - y) / 2, 6) AS best_area FROM (" + DENTS + ")")
 def ear_clip(t):
-    return grouped.triangulated(t.quads).groupBy("mesh_id", "face_id").agg(F.count("*").alias("n"))
+    rings = t.dents.select("face_id", "ring")
+    p = lambda c: F.get("ring", F.col(c))
+    own = g.area(F.array(p("a"), p("b"), p("c")))
+    made = []
+    for best, pre in ((False, ""), (True, "best_")):
+        cut = grouped.triangulated(t.dents, best).join(rings, "face_id").withColumn("own", own)
+        made.append(cut.groupBy("face_id").agg(F.count("*").alias(f"{pre}n"), r6(F.sum("own")).alias(f"{pre}area")))
+    return made[0].join(made[1], "face_id")
 
 
 @query("""SELECT least(a, b) AS a, greatest(a, b) AS b, max(label) AS label FROM (SELECT o_custkey % 60 AS a, o_orderkey % 60 AS b, cast(o_orderkey % 3 AS int) AS label FROM orders) GROUP BY 1, 2""")
@@ -420,3 +519,342 @@ def geodetic_round_trip(t):
     rows = t.events.select("event_id", lat.alias("lat"), lon.alias("lon"), g.to_cartesian(lat, lon, 9).alias("p"))
     back = g.to_polar(F.col("p.x"), F.col("p.y"), 9)
     return rows.select("event_id", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"), F.round(back["lat"] - F.col("lat"), 9).alias("dlat"), F.round(back["lon"] - F.col("lon"), 9).alias("dlon"))
+
+
+@query(f"""WITH e AS (SELECT building_id, floor(min(x) / 0.25e0) * 0.25e0 AS l, ceil(max(y) / 0.25e0) * 0.25e0 AS t FROM ({POINTS}) GROUP BY 1),
+ p AS (SELECT building_id, cast(round_even((x - l) / 0.25e0, 0) AS int) AS col, cast(round_even((y - t) / -0.25e0, 0) AS int) AS row, l, t FROM ({POINTS}) JOIN e USING (building_id))
+ SELECT building_id, min(col) AS min_col, min(row) AS min_row, max(col) - min(col) + 1 AS width, max(row) - min(row) + 1 AS height, round(sum(cast(col * 0.25e0 + l AS double)), 3) AS gx, round(sum(cast(row * -0.25e0 + t AS double)), 3) AS gy FROM p GROUP BY 1""")
+def ortho_raster(t):
+    rows = raster.to_geo(raster.ortho_pixels(t.points, 0.25, ("building_id",)), 0.25)
+    sums = rows.groupBy("building_id").agg(F.round(F.sum(F.col("gx").cast("double")), 3).alias("gx"), F.round(F.sum(F.col("gy").cast("double")), 3).alias("gy"))
+    return raster.extent(rows, ("building_id",)).join(sums, "building_id")
+
+
+@query("""WITH p AS (SELECT o_custkey % 40 AS building_id, cast(o_orderkey % 13 AS int) AS col, cast(o_custkey % 11 AS int) AS row, o_orderkey AS pid FROM orders)
+ SELECT building_id, col, row, cast(arg_max(pid % 7, pid) AS double) AS value FROM p GROUP BY ALL""")
+def pixel_last_write(t):
+    k = F.col("o_orderkey")
+    p = t.orders.select((F.col("o_custkey") % 40).alias("building_id"), (k % 13).cast("int").alias("col"), (F.col("o_custkey") % 11).cast("int").alias("row"), k.alias("pid"), (k % 7).cast("double").alias("value"))
+    return raster.last_write(p, ("building_id",), "value", "pid")
+
+
+@query("""WITH p AS (SELECT DISTINCT o_custkey % 40 AS building_id, cast(o_orderkey % 13 AS int) AS col, cast(o_custkey % 11 AS int) AS row FROM orders),
+ n AS (SELECT a.building_id, a.col, a.row, count(*) AS n FROM p a JOIN p b ON a.building_id = b.building_id AND abs(a.col - b.col) <= 1 AND abs(a.row - b.row) <= 1 GROUP BY ALL)
+ SELECT building_id, col, row FROM n WHERE n < 9""")
+def outline_pixels(t):
+    p = t.orders.select((F.col("o_custkey") % 40).alias("building_id"), (F.col("o_orderkey") % 13).cast("int").alias("col"), (F.col("o_custkey") % 11).cast("int").alias("row"))
+    return raster.missing_neighbour(p, ("building_id",))
+
+
+@query("""WITH p AS (SELECT s_suppkey AS building_id, unnest([0, 1, 2]) AS pid FROM supplier), q AS (SELECT building_id, pid, (building_id * 5 + pid * 7) % 19 AS col, (building_id * 3 + pid * 11) % 17 AS row FROM p),
+ e AS (SELECT building_id, max(col) AS w, max(row) AS h FROM q GROUP BY 1), x AS (SELECT building_id, unnest(range(0, w + 1)) AS col, h FROM e), g AS (SELECT building_id, col, unnest(range(0, h + 1)) AS row FROM x),
+ d AS (SELECT g.building_id, g.col, g.row, q.pid, (g.col - q.col) ** 2 + (g.row - q.row) ** 2 AS d FROM g JOIN q USING (building_id))
+ SELECT building_id, cast(sum(pid + 1) AS double) AS total, count(*) AS n FROM (SELECT building_id, col, row, arg_min(pid, d * 10 + pid) AS pid FROM d GROUP BY ALL) GROUP BY 1""")
+def raster_filled(t):
+    b = F.col("s_suppkey")
+    p = t.supplier.select(b.alias("building_id"), F.explode(F.array(*map(F.lit, range(3)))).alias("pid"))
+    p = p.select("building_id", "pid", ((F.col("building_id") * 5 + F.col("pid") * 7) % 19).alias("col"), ((F.col("building_id") * 3 + F.col("pid") * 11) % 17).alias("row"), (F.col("pid") + 1).alias("value"))
+    return raster.filled(p).groupBy("building_id").agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+
+
+@query("""WITH b AS (SELECT s_suppkey AS id, s_suppkey % 5 + 4 AS w, s_suppkey % 3 + 4 AS h, s_suppkey % 2 + 1 AS d FROM supplier)
+ SELECT id AS building_id, 0 AS seq, 0 AS x0, 0 AS y0, cast(w AS int) AS x1, cast(h AS int) AS y1 FROM b UNION ALL SELECT id, 1, cast(w - d AS int), cast(h - d AS int), cast(w AS int), cast(h AS int) FROM b""")
+def rectangle_decomposition(t):
+    b = F.col("s_suppkey")
+    p = t.supplier.select(b.alias("building_id"), (b % 5 + 4).alias("w"), (b % 3 + 4).alias("h"), (b % 2 + 1).alias("d"))
+    p = p.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1))).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1)))
+    return raster.decomposed(p.where("NOT (col >= w - d AND row >= h - d)"), 1)
+
+
+@query("""SELECT s_suppkey AS building_id, cast(2 + s_suppkey % 3 AS bigint) AS parts, cast((2 + s_suppkey % 3) * 6 AS bigint) AS n FROM supplier""")
+def mask_parts(t):
+    b = F.col("s_suppkey")
+    p = t.supplier.select(b.alias("building_id"), F.explode(F.sequence(F.lit(0).cast("long"), b % 3 + 1)).alias("k"))
+    # blocks that touch at corners only
+    p = p.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    p = p.select("building_id", (F.col("k") * 2 + F.col("i") % 2).alias("col"), (F.col("k") * 3 + F.floor(F.col("i") / 2)).alias("row"))
+    return raster.mask_parts(p).groupBy("building_id").agg(F.max("part").cast("long").alias("parts"), F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey AS id, o_orderkey % 50 AS col, o_custkey % 40 AS row, true AS back FROM orders""")
+def raster_turned(t):
+    p = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 9).alias("building_id"), (F.col("o_orderkey") % 50).alias("col"), (F.col("o_custkey") % 40).alias("row"))
+    rows = raster.untwisted(raster.turned(p, 0.6, ("building_id",)), 0.6)
+    near = (F.abs(F.col("bx") - F.col("col")) <= 0.75) & (F.abs(F.col("by") - F.col("row")) <= 0.75) & (F.col("tcol") >= 0) & (F.col("trow") >= 0)
+    return rows.select("id", "col", "row", near.alias("back"))
+
+
+@query("""WITH v AS (""" + VECTORS + """) SELECT id, round(abs(0.5e0*ax - 0.25e0*ay - az + 2) / sqrt(0.25e0 + 0.0625e0 + 1), 6) AS away,
+ round(sqrt(3e0), 6) AS unit FROM v""")
+def height_planes(t):
+    a = F.col("a")
+    away = g.height_plane_distance(a, F.lit(0.5), F.lit(-0.25), F.lit(2.0))
+    e = g.plane(g.point(F.lit(0.0), F.lit(0.0), F.lit(1.0)), g.point(F.lit(1.0), F.lit(0.0), F.lit(0.0)), g.point(F.lit(0.0), F.lit(1.0), F.lit(0.0)))
+    far = g.plane_distance(e, g.point(F.lit(4.0) / 3, F.lit(4.0) / 3, F.lit(4.0) / 3))
+    return t.vectors.select("id", r6(away).alias("away"), r6(far).alias("unit"))
+
+
+@query("SELECT k AS face_id, CASE WHEN k % 2 = 0 THEN 'ROOF' END AS element, CASE WHEN k % 2 = 0 THEN 'Roof' END AS title, CASE WHEN w * h > 40 THEN 2 ELSE 1 END AS parts FROM (" + DENTS + ")")
+def element_names(t):
+    ring = F.transform("ring", lambda p: g.point(p.x, p.y))
+    box = g.bounds(F.col("ring"))
+    whole = F.array(*(g.point(box[f"{a}_x"], box[f"{b}_y"]) for a, b in (("min", "min"), ("max", "min"), ("max", "max"), ("min", "max"))))
+    unit = F.array(*(g.point(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (41.0, 0.0), (41.0, 1.0), (0.0, 1.0))))
+    name = F.when(F.col("face_id") % 2 == 0, "Roof").otherwise("Other")
+    element = g.element_named(name)
+    found = g.parts(F.array(whole, unit, F.slice(ring, 1, 2)), 40.0)
+    return t.dents.select("face_id", element.alias("element"), g.element_title(element).alias("title"), F.size(found).alias("parts"))
+
+
+@query(f"""WITH b AS ({FOOTPRINTS}) SELECT building_id, unnest([0, 1, 2, 3]) AS edge, unnest([0e0, 1e0, 0e0, -1e0]) AS nx, unnest([-1e0, 0e0, 1e0, 0e0]) AS ny, true AS hole_flips, true AS outwards FROM b""")
+def wall_directions(t):
+    rows = t.rings.select("building_id", "ring", F.posexplode(g.edges(F.col("ring"))).alias("edge", "e"))
+    p, q, ring = F.col("e.p"), F.col("e.q"), F.col("ring")
+    n, h = g.wall_normal(p, q, ring, F.lit(False)), g.wall_normal(p, q, ring, F.lit(True))
+    wall = F.array(*(g.point(c["x"], c["y"], F.lit(z)) for c, z in ((p, 0.0), (q, 0.0), (q, 3.0), (p, 3.0))))
+    ok = (g.wound_outwards(wall, n) == wall) & (g.wound_outwards(F.reverse(wall), n) != F.reverse(wall))
+    rows = rows.select("building_id", "edge", n.alias("n"), h.alias("h"), ok.alias("outwards"))
+    return rows.select("building_id", "edge", (F.col("n.x") + 0.0).alias("nx"), (F.col("n.y") + 0.0).alias("ny"), ((F.col("h.x") == -F.col("n.x")) & (F.col("h.y") == -F.col("n.y"))).alias("hole_flips"), "outwards")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, (p_partkey % 17) / 32e0 AS u0, (p_partkey % 13) / 32e0 AS v0, (p_partkey % 17) / 32e0 + 0.25e0 AS u1, (p_partkey % 13) / 32e0 + 0.375e0 AS v1, p_size * 8 AS w, p_size * 4 AS h FROM part)
+ SELECT id, cast(floor((1 - v1) * h) AS int) AS r0, cast(floor(u0 * w) AS int) AS c0, cast(ceil((1 - v0) * h) AS int) AS r1, cast(ceil(u1 * w) AS int) AS c1,
+ cast(greatest(1, floor(w * (128e0 / w))) AS int) AS fw, cast(CASE WHEN id % 3 = 0 THEN w * 0.125e0 / 0.25e0 ELSE w END AS int) AS dw,
+ cast(greatest(0, least((id % 7 % greatest(ceil(w / 120e0), 1)) * 120, w - 120)) * 4 AS int) AS tx,
+ cast(CASE WHEN floor(u0 * w) - 2 >= 0 THEN floor(u0 * w) - 2 ELSE floor(u0 * w) END AS int) AS bx0, cast(CASE WHEN ceil(u1 * w) + 2 <= w THEN ceil(u1 * w) + 2 ELSE ceil(u1 * w) END AS int) AS bx1 FROM p""")
+def texture_pixels(t):
+    k = F.col("p_partkey")
+    rows = t.part.select(k.alias("id"), ((k % 17) / 32).alias("u"), ((k % 13) / 32).alias("v"), (F.col("p_size") * 8).alias("w"), (F.col("p_size") * 4).alias("h"))
+    us, vs, w, h = F.array("u", F.col("u") + 0.25), F.array("v", F.col("v") + 0.375), F.col("w"), F.col("h")
+    a, b = g.uv_start(us, vs, w, h), g.uv_end(us, vs, w, h)
+    fit, down = g.fitted_size(w, h, 128), g.downscaled(w, h, F.when(F.col("id") % 3 == 0, 0.125).otherwise(0.25))
+    tile = g.tile_place((F.col("id") % 7).cast("int"), w, h, 120)
+    box = g.texture_box(F.transform(us, lambda c: c * w), F.transform(vs, lambda c: c * h), w, h)
+    return rows.select("id", a["row"].alias("r0"), a["col"].alias("c0"), b["row"].alias("r1"), b["col"].alias("c1"), fit["w"].alias("fw"), down["w"].alias("dw"), tile["x"].alias("tx"), box["x0"].alias("bx0"), box["x1"].alias("bx1"))
+
+
+@query("""WITH v AS (""" + VECTORS + """), w AS (SELECT id, ax, ay, bx, by_, (ax * bx + ay * by_) / nullif(bx * bx + by_ * by_, 0) AS t FROM v),
+ c AS (SELECT *, CASE WHEN t < 0 THEN -floor(abs(t) * 10000) / 10000 ELSE floor(abs(t) * 10000) / 10000 END AS k FROM w)
+ SELECT id, round(k + 0, 6) AS t, round(sqrt(pow(ax - k * bx, 2) + pow(ay - k * by_, 2)), 6) AS distance FROM c""")
+def truncated_foot(t):
+    foot = g.truncated_foot(F.col("a"), g.point(F.lit(0.0), F.lit(0.0)), F.col("b"))
+    return t.vectors.select("id", r6(foot["t"]).alias("t"), r6(foot["distance"]).alias("distance"))
+
+
+@query("SELECT id % 100 AS mesh_id, id AS face_id, true AS plane_area, true AS upright FROM (" + QUADS + ") WHERE lift = 0")
+def face_planes(t):
+    import pyarrow as pa
+
+    rows = t.quads.where("face_id % 4 = 0").withColumn("ring", F.transform("ring", lambda p: g.point(p.x, p.y * 0.6, p.y * 0.8 + F.col("face_id"))))
+
+    def run(batches):
+        for batch in batches:
+            area, upright = [], []
+            for ring in batch.column(2).to_pylist():
+                p = np.array([(c["x"], c["y"], c["z"]) for c in ring])
+                size = np.linalg.norm(p[1] - p[0]) * np.linalg.norm(p[3] - p[0])
+                area.append(bool(abs(abs(kernels.signed_area(kernels.local_2d(p))) - size) < 1e-6 * size))
+                q = kernels.turned_to_xz(p)
+                upright.append(bool(np.ptp(q[:, 1]) < 1e-6 and abs(np.ptp(q[:, 0]) * np.ptp(q[:, 2]) - size) < 1e-6 * size))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(area), pa.array(upright)], names=["mesh_id", "face_id", "plane_area", "upright"])
+
+    return rows.select("mesh_id", "face_id", "ring").mapInArrow(run, "mesh_id long, face_id long, plane_area boolean, upright boolean")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS building_id, o_orderkey AS sample_id, (o_orderkey % 60) * 0.5e0 AS x, (o_custkey % 40) * 0.5e0 AS y FROM orders JOIN supplier ON o_custkey % 10 = s_suppkey % 10 AND o_orderkey % 16 = 0 AND s_suppkey <= 20),
+ p AS (SELECT s_suppkey AS building_id, unnest([0, 1, 2]) AS plane FROM supplier WHERE s_suppkey <= 20), b AS (SELECT building_id, plane, plane * 8e0 + building_id % 3 AS x0, plane * 4e0 AS y0, plane * 8e0 + building_id % 3 + 6 AS x1, plane * 4e0 + 5 AS y1 FROM p),
+ d AS (SELECT s.building_id, sample_id, plane, CASE WHEN plane = 2 AND s.building_id % 2 = 0 THEN 999e0 WHEN x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 THEN least(x - x0, x1 - x, y - y0, y1 - y)
+  ELSE sqrt(pow(greatest(x0 - x, 0, x - x1), 2) + pow(greatest(y0 - y, 0, y - y1), 2)) END AS d FROM s JOIN b USING (building_id)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY building_id, sample_id ORDER BY round(d, 9), plane) AS k FROM d) SELECT building_id, sample_id, round(d, 6) AS distance FROM r WHERE k = 1""")
+def nearest_plane(t):
+    o = t.orders.where("o_orderkey % 16 = 0")
+    s = o.join(t.supplier.where("s_suppkey <= 20"), F.col("o_custkey") % 10 == F.col("s_suppkey") % 10)
+    s = s.select(F.col("s_suppkey").alias("building_id"), F.col("o_orderkey").alias("sample_id"), ((F.col("o_orderkey") % 60) * F.lit(0.5)).alias("x"), ((F.col("o_custkey") % 40) * F.lit(0.5)).alias("y"))
+    p = t.supplier.where("s_suppkey <= 20").select(F.col("s_suppkey").alias("building_id"), F.explode(F.array(*map(F.lit, range(3)))).alias("plane"))
+    x, y = F.col("plane") * F.lit(8.0) + F.col("building_id") % 3, F.col("plane") * F.lit(4.0)
+    ring = F.array(g.point(x, y), g.point(x + 6, y), g.point(x + 6, y + 5), g.point(x, y + 5))
+    p = p.withColumn("ring", F.when((F.col("plane") != 2) | (F.col("building_id") % 2 != 0), ring))
+    return modeling.nearest_plane(s, p).select("building_id", "sample_id", r6(F.col("distance")).alias("distance"))
+
+
+RELATED = """SELECT p_partkey AS id, p_partkey % 40 AS k, cast(p_partkey * 37 % 101 as double) AS x0, cast(p_partkey * 53 % 97 as double) AS y0, cast(p_partkey * 37 % 101 + p_size as double) AS x1,
+ cast(p_partkey * 53 % 97 + p_size % 17 + 1 as double) AS y1 FROM part"""
+RELATIONS = f"""WITH b AS ({RELATED}), p AS (SELECT a.k, a.id AS a, c.id AS b, greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) AS common,
+ (a.x1 - a.x0) * (a.y1 - a.y0) AS sa, (c.x1 - c.x0) * (c.y1 - c.y0) AS sc, sqrt(pow(greatest(0, c.x0 - a.x1, a.x0 - c.x1), 2) + pow(greatest(0, c.y0 - a.y1, a.y0 - c.y1), 2)) AS d FROM b a JOIN b c ON a.k = c.k AND a.id <> c.id)
+ SELECT k, a, b, CASE WHEN common / sc > 0.9 THEN 'CONTAINING' WHEN common / sa > 0.9 THEN 'CONTAINED' ELSE 'NEIGHBORING' END AS relation FROM p WHERE common / sc > 0.9 OR common / sa > 0.9 OR d < 0.5"""
+
+
+@query(RELATIONS)
+def box_relations(t):
+    return spatial.box_relations(t.sql(RELATED, "part"), 32.0, ("k",))
+
+
+@query(RELATIONS)
+def polygon_relations(t):
+    b = t.sql(RELATED, "part")
+    ring = F.array(*(g.point(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))))
+    return modeling.polygon_relations(b.select("k", "id", ring.alias("ring")), 32.0, ("k",))
+
+
+@query(f"""WITH r AS ({RELATIONS}), h AS (SELECT DISTINCT k, b AS id FROM r WHERE relation = 'CONTAINING'), c AS (SELECT b.k, b.id, (x1 - x0) * (y1 - y0) AS area, 2 * ((x1 - x0) + (y1 - y0)) AS per, b.id % 3 < 2 AS low, h.id IS NOT NULL AS held FROM ({RELATED}) b LEFT JOIN h ON b.k = h.k AND b.id = h.id),
+ f AS (SELECT *, low AND (held OR area < 20 OR area / per < 1) AS gr FROM c), m AS (SELECT *, bool_and(gr) OVER (PARTITION BY k) AS none, row_number() OVER (PARTITION BY k ORDER BY area DESC, id) AS n FROM f)
+ SELECT k AS building_id, id, CASE WHEN none AND n = 1 THEN false ELSE gr END AS is_ground FROM m""")
+def ground_clusters(t):
+    b = t.sql(RELATED, "part")
+    relations = spatial.box_relations(b, 32.0, ("k",)).withColumnRenamed("k", "building_id")
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    height = F.when(F.col("id") % 3 < 2, 1.0).otherwise(9.0)
+    c = b.select(F.col("k").alias("building_id"), "id", height.alias("height"), F.lit(5.0).alias("ground"), (w * h).alias("area"), (2 * (w + h)).alias("perimeter"))
+    return modeling.ground_clusters(c, relations).select("building_id", "id", "is_ground")
+
+
+@query("""WITH c AS (SELECT user_id AS building_id, event_id AS cluster, cast(floor(value) AS bigint) % 9 AS n, value AS height FROM events)
+ SELECT building_id, cluster, cast(row_number() OVER (PARTITION BY building_id ORDER BY n DESC, cluster) - 1 AS int) AS by_size, cast(row_number() OVER (PARTITION BY building_id ORDER BY height DESC, cluster DESC) - 1 AS int) AS by_height,
+ cast(row_number() OVER (PARTITION BY building_id ORDER BY n, cluster % 5 DESC, height DESC) - 1 AS int) AS insertion, cast(row_number() OVER (PARTITION BY building_id ORDER BY n, cluster) - 1 AS int) AS by_mesh FROM c""")
+def orderings(t):
+    c = t.events.select(F.col("user_id").alias("building_id"), F.col("event_id").alias("cluster"), (F.floor("value") % 9).alias("n"), F.col("value").alias("height"))
+    keys = ["building_id", "cluster"]
+    size = modeling.clusters_by_size(c).select(*keys, F.col("rank").alias("by_size"))
+    high = modeling.planes_by_height(c.withColumnRenamed("cluster", "plane")).select("building_id", F.col("plane").alias("cluster"), F.col("rank").alias("by_height"))
+    put = c.select(*keys, F.col("n").alias("roof"), (F.col("cluster") % 5).alias("place"), F.col("height").alias("t"))
+    put = modeling.insertions(put).select(*keys, F.col("rank").alias("insertion"))
+    code = c.select(F.col("building_id").alias("file"), F.col("cluster").alias("seq"), F.col("n").alias("code"))
+    code = modeling.by_mesh(code).select(F.col("file").alias("building_id"), F.col("seq").alias("cluster"), F.col("rank").alias("by_mesh"))
+    return size.join(high, keys).join(put, keys).join(code, keys)
+
+
+@query("SELECT mesh AS building_id, arg_max(k, area * 100000 - k) AS ring_id FROM (SELECT k % 100 AS mesh, k, round(w * h - w * (h - y) / 2, 6) AS area FROM (" + DENTS + ")) GROUP BY 1")
+def outer_ring(t):
+    return modeling.outer_ring(t.dents.select(F.col("mesh_id").alias("building_id"), F.col("face_id").alias("ring_id"), "ring"))
+
+
+@query("SELECT parent, cast(count(*) AS bigint) AS n, min(child) AS first FROM (SELECT p_partkey AS child, CASE WHEN p_partkey % 4 > 0 THEN p_size END AS parent FROM part) WHERE parent IS NOT NULL GROUP BY 1")
+def sibling_roofs(t):
+    p = t.part.select(F.col("p_partkey").alias("child"), F.when(F.col("p_partkey") % 4 > 0, F.col("p_size")).alias("parent"))
+    return modeling.siblings(p).select("parent", F.size("children").cast("long").alias("n"), F.get("children", F.lit(0)).alias("first"))
+
+
+@query("""SELECT 'a' AS name, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'b', o_orderpriority, count(*) FROM orders GROUP BY 2""")
+def status_counts(t):
+    return modeling.status_counts(t.orders.select(F.col("o_orderstatus").alias("a"), F.col("o_orderpriority").alias("b")), ["a", "b"])
+
+
+@query(f"""WITH b AS ({FOOTPRINTS}), c AS (SELECT building_id, unnest([0, 1, 2, 3]) AS i, x0, y0, x1, y1 FROM b), p AS (SELECT *, CASE i WHEN 0 THEN x0 + 0.25e0 WHEN 1 THEN x1 - 0.125e0 * (building_id % 4) WHEN 2 THEN x1 + 1 ELSE x0 + 3 END AS px,
+ CASE i WHEN 0 THEN y0 + 2 WHEN 1 THEN y0 + 3 WHEN 2 THEN y1 ELSE y0 + 3 END AS py FROM c), d AS (SELECT building_id, least(px - x0, x1 - px, py - y0, y1 - py) AS d FROM p) SELECT building_id AS id, max(CASE WHEN d > 0 AND d <= 0.5 THEN d ELSE 0 END) AS distance FROM d GROUP BY 1""")
+def farthest_inside(t):
+    x0, y0, x1, y1, b = (F.col(c) for c in ("x0", "y0", "x1", "y1", "building_id"))
+    ring = F.array(g.point(x0 + 0.25, y0 + 2), g.point(x1 - F.lit(0.125) * (b % 4), y0 + 3), g.point(x1 + 1, y1), g.point(x0 + 3, y0 + 3))
+    return modeling.farthest_inside(t.rings.select(b.alias("id"), ring.alias("ring"), F.col("ring").alias("outline")))
+
+
+@query("""WITH e AS (SELECT o_custkey % 100 AS building_id, o_orderkey AS edge, cast(o_orderkey % 7 AS double) AS dx, cast(o_custkey % 5 AS double) AS dy FROM orders WHERE o_orderkey % 4 = 0), n AS (SELECT *, sqrt(dx*dx+dy*dy) AS len, degrees(atan2(dy, dx)) AS a FROM e WHERE dx <> 0 OR dy <> 0),
+ s AS (SELECT x.building_id, x.edge, x.len, x.dx, x.dy, sum(CASE WHEN least((x.a - y.a + 360) % 90, 90 - (x.a - y.a + 360) % 90) <= 5 THEN y.len ELSE 0 END) AS aligned FROM n x JOIN n y USING (building_id) GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY round(aligned, 9) DESC, len DESC, edge) AS k FROM s) SELECT building_id, edge, round(aligned, 6) AS aligned, round(-dx / len + 0, 6) AS ux, round(-dy / len + 0, 6) AS uy FROM r WHERE k = 1""")
+def base_edge(t):
+    zero = F.lit(0.0)
+    e = t.orders.where("o_orderkey % 4 = 0").select((F.col("o_custkey") % 100).alias("building_id"), F.col("o_orderkey").alias("edge"), zero.alias("ax"), zero.alias("ay"), (F.col("o_orderkey") % 7).cast("double").alias("bx"), (F.col("o_custkey") % 5).cast("double").alias("by"))
+    return modeling.base_edge(e, 5.0).select("building_id", "edge", r6(F.col("aligned")).alias("aligned"), r6(F.col("ux")).alias("ux"), r6(F.col("uy")).alias("uy"))
+
+
+CORNERS = """SELECT p_partkey AS id, cast(p_partkey % 50 as double) + (p_partkey % 3) * 0.03125e0 AS x, 0e0 AS y, cast(p_size % 4 as double) AS z FROM part"""
+
+
+@query(f"""WITH c AS ({CORNERS}) SELECT id, round(avg(x) OVER (PARTITION BY id % 50), 6) AS x, y FROM c""")
+def merged_corners(t):
+    return modeling.merged_corners(t.sql(CORNERS, "part").drop("z"), 0.1).select("id", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
+@query(f"""WITH c AS ({CORNERS}), s AS (SELECT *, id % 50 AS stack, CASE WHEN z - lag(z) OVER (PARTITION BY id % 50 ORDER BY z, id) > 1 THEN 1 ELSE 0 END AS up FROM c), l AS (SELECT *, sum(up) OVER (PARTITION BY stack ORDER BY z, id ROWS UNBOUNDED PRECEDING) AS level FROM s)
+ SELECT id, first_value(x) OVER (PARTITION BY stack ORDER BY id) AS x, y, max(z) OVER (PARTITION BY stack, level) AS z FROM l""")
+def welded_corners(t):
+    return modeling.welded_corners(t.sql(CORNERS, "part"), 0.1, 1.0)
+
+
+@query("""SELECT o_custkey AS building_id, o_orderkey AS pid, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 9 < 3 THEN 'GROUND' ELSE 'ROOF' END AS kind FROM orders WHERE o_orderkey % 11 <> 0""")
+def kept_apart(t):
+    k = F.col("o_orderkey")
+    p = t.orders.select(F.col("o_custkey").alias("building_id"), k.alias("pid"), (k % 9).cast("double").alias("z"), F.when(k % 5 != 0, k % 5).alias("label"))
+    return modeling.kept_apart(p, p.where("pid % 11 = 0"), 3.0).select("building_id", "pid", "kind")
+
+
+@query("""SELECT DISTINCT l_suppkey AS building_id, 0 AS level, cast(l_linenumber % 2 AS int) AS side, count(*) OVER (PARTITION BY l_suppkey, l_linenumber % 2) AS n FROM lineitem""")
+def colours_clustered(t):
+    side, k = F.col("l_linenumber") % 2, F.col("l_partkey")
+    p = t.lineitem.select(F.col("l_suppkey").alias("building_id"), F.lit(0).alias("level"), ((side * 120 + k % 5 + 40) * 256).alias("red"), ((k % 4 + 90) * 256).alias("green"), ((k % 3 + 30) * 256).alias("blue"))
+    rows = modeling.colours_clustered(p)
+    return rows.groupBy("building_id", "level", (F.col("red") > 100).cast("int").alias("side"), "cluster").agg(F.sum("n").alias("n")).drop("cluster")
+
+
+@query("""SELECT s_suppkey AS building_id, s_suppkey % 4 AS cluster, 1::BIGINT AS parts, cast((4 + s_suppkey % 3) * (3 + s_suppkey % 4) AS double) / 4 AS area FROM supplier""")
+def contours(t):
+    b = F.col("s_suppkey")
+    p = t.supplier.select(b.alias("building_id"), (b % 4).alias("cluster"), F.explode(F.sequence(F.lit(0).cast("long"), b % 3 + 4)).alias("i"), (b % 4 + 3).alias("m"))
+    p = p.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), "m")))
+    p = p.select("building_id", "cluster", (F.col("i") * F.lit(0.5)).alias("x"), (F.col("j") * F.lit(0.5)).alias("y"))
+    return modeling.contours(p).groupBy("building_id", "cluster").agg(F.count("*").alias("parts"), r6(F.sum(g.area(F.col("ring")))).alias("area"))
+
+
+@query("SELECT k AS mesh_id, cast(n AS bigint) AS face_id, CASE n WHEN 0 THEN 5 WHEN 1 THEN 4 ELSE 5 END AS corners FROM (SELECT p_partkey AS k, unnest([0, 1, 2]) AS n FROM part)")
+def missing_corners(t):
+    k = F.col("p_partkey").cast("double")
+    # a wall whose upper edge two others share; the ground sees the walls' corners, not the roof's
+    rings = {
+        "WALL": ring_of((0, k, 0), (4, k, 0), (4, k, 3), (0, k, 3)), "ROOF": ring_of((0, k, 3), (2, k, 3), (2, k + 2, 3), (0, k + 2, 3)), "GROUND": ring_of((0, k, 0), (0, k + 3, 0), (4, k + 3, 0), (4, k, 0)),
+    }
+    inner = ring_of((1, k, 0), (2, k - 1, 0), (1, k - 2, 0), (0, k - 1, 0))
+    all_ = F.array(*(F.struct(F.lit(i).cast("long").alias("face_id"), F.lit(e).alias("element"), r.alias("ring")) for i, (e, r) in enumerate([*rings.items(), ("ROOF", inner)])))
+    faces = t.part.select(F.col("p_partkey").alias("mesh_id"), F.explode(all_).alias("f")).select("mesh_id", "f.*").where("face_id < 3")
+    more = faces.where("face_id = 0").select("mesh_id", F.lit(9).cast("long").alias("face_id"), F.lit("WALL").alias("element"), F.array(*(g.point(F.lit(x), F.lit(y) + F.col("mesh_id"), F.lit(0.0)) for x, y in ((3.0, 3.0), (3.5, 4.0), (2.5, 4.0)))).alias("ring"))
+    done = modeling.with_missing_corners(faces.unionByName(more))
+    return done.where("face_id < 3").select("mesh_id", "face_id", F.size("ring").alias("corners"))
+
+
+@query("SELECT p_partkey AS mesh_id, cast(f AS bigint) AS face_id, cast(CASE WHEN f < 2 THEN 0 WHEN p_partkey % 20 < 5 THEN 0 ELSE 2 END AS bigint) AS grp FROM (SELECT p_partkey, unnest([0, 1, 2]) AS f FROM part)")
+def coplanar_merged(t):
+    rise = F.tan(F.radians(F.col("p_partkey") % 20 + F.lit(0.5)))
+    rings = [ring_of((0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0)), ring_of((1, 0, 0), (2, 0, 0), (2, 1, 0), (1, 1, 0)), ring_of((2, 0, 0), (3, 0, rise), (3, 1, rise), (2, 1, 0))]
+    all_ = F.array(*(F.struct(F.lit(i).cast("long").alias("face_id"), r.alias("ring")) for i, r in enumerate(rings)))
+    faces = t.part.select(F.col("p_partkey").alias("mesh_id"), F.explode(all_).alias("f")).select("mesh_id", "f.*")
+    return modeling.coplanar_merged(faces)
+
+
+@query(f"""WITH b AS ({FOOTPRINTS}) SELECT building_id AS mesh_id, 'ROOF' AS element, 1::BIGINT AS n, (x1 - x0) * (y1 - y0) AS area FROM b UNION ALL SELECT building_id, 'GROUND', 1, (x1 - x0) * (y1 - y0) FROM b
+ UNION ALL SELECT building_id, 'WALL', 4, 2 * ((x1 - x0) + (y1 - y0)) * 5 FROM b""")
+def extruded_blocks(t):
+    blocks = t.rings.select("building_id", "ring", F.lit(1.0).alias("bottom"), F.lit(6.0).alias("top"))
+    faces = modeling.extruded(blocks)
+    left = mesh.open_edges(faces).select("mesh_id").distinct()
+    size = g.length(g.normal(F.col("ring"))) / 4  # of rectangles
+    return faces.join(left, "mesh_id", "left_anti").groupBy("mesh_id", "element").agg(F.count("*").alias("n"), r6(F.sum(size)).alias("area"))
+
+
+@query("""SELECT least(a, b) AS a, greatest(a, b) AS b, max(label) AS label FROM (SELECT o_custkey % 60 AS a, o_orderkey % 60 AS b, 1 AS label FROM orders UNION ALL SELECT o_orderkey % 60, o_custkey % 45, 2 FROM orders WHERE o_orderkey % 3 = 0) GROUP BY 1, 2""")
+def graph_union(t):
+    one = t.orders.select((F.col("o_custkey") % 60).alias("a"), (F.col("o_orderkey") % 60).alias("b"), F.lit(1).alias("label"))
+    two = t.orders.where("o_orderkey % 3 = 0").select((F.col("o_orderkey") % 60).alias("a"), (F.col("o_custkey") % 45).alias("b"), F.lit(2).alias("label"))
+    return graph.united([one, two])
+
+
+@query("""WITH e AS (SELECT DISTINCT least(o_custkey % 200, o_orderkey % 203) AS a, greatest(o_custkey % 200, o_orderkey % 203) AS b FROM orders), k AS (SELECT * FROM e WHERE (a + b) % 5 <> 0), d AS (SELECT a AS node, b AS near FROM k UNION SELECT b, a FROM k)
+ SELECT node, count(*) AS degree, min(near) AS first FROM d WHERE node <> near GROUP BY 1""")
+def graph_neighbours(t):
+    e = graph.merged_edges(t.orders.select((F.col("o_custkey") % 200).alias("a"), (F.col("o_orderkey") % 203).alias("b"), F.lit(1).alias("label")))
+    kept = graph.without_edges(e, e.where("(a + b) % 5 = 0").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return graph.neighbours_of(kept).select("node", F.size("near").cast("long").alias("degree"), F.get("near", F.lit(0)).alias("first"))
+
+
+@query("""SELECT node, label, count(*) AS degree FROM (SELECT o_custkey % 60 AS node, cast(o_orderkey % 3 AS int) AS label FROM orders UNION ALL SELECT o_orderkey % 60, cast(o_orderkey % 3 AS int) FROM orders) GROUP BY 1, 2""")
+def graph_degrees(t):
+    return graph.degrees(t.orders.select((F.col("o_custkey") % 60).alias("a"), (F.col("o_orderkey") % 60).alias("b"), (F.col("o_orderkey") % 3).cast("int").alias("label")))
+
+
+@query("""SELECT p_partkey AS k, cast(n AS bigint) AS id, count(*) AS parts, round(sum(len), 6) AS length FROM (SELECT p_partkey, n, unnest(CASE n WHEN 0 THEN [2e0, 1e0, 1e0] WHEN 1 THEN [1e0, 2e0] WHEN 2 THEN [1e0] ELSE [4e0] END) AS len FROM (SELECT p_partkey, unnest([0, 1, 2, 3]) AS n FROM part)) GROUP BY 1, 2""")
+def split_edges(t):
+    k = F.col("p_partkey").cast("double")
+    # one across, one through it, one that ends on it, one apart
+    rows = [(0, 0, 0, 4, 0), (1, 2, -1, 2, 2), (2, 2, 0, 2, 1), (3, 0, 5, 4, 5)]
+    own = F.array(*(F.struct(F.lit(i).cast("long").alias("id"), (F.lit(float(a)) + k).alias("ax"), F.lit(float(b)).alias("ay"), (F.lit(float(c)) + k).alias("bx"), F.lit(float(d)).alias("by"), F.lit(1).alias("label")) for i, a, b, c, d in rows))
+    s = t.part.select(F.col("p_partkey").alias("k"), F.explode(own).alias("s")).select("k", "s.*").where("id <> 2").unionByName(t.part.select(F.col("p_partkey").alias("k"), F.explode(own).alias("s")).select("k", "s.*").where("id = 2").withColumn("ay", F.lit(-1.0)).withColumn("ax", F.col("ax") + 1).withColumn("bx", F.col("bx") + 1).withColumn("by", F.lit(0.0)))
+    parts = graph.split_edges(s, 4.0, keys=("k",))
+    size = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
+    return parts.groupBy("k", "id").agg(F.count("*").alias("parts"), r6(F.sum(size)).alias("length"))

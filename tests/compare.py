@@ -30,6 +30,6 @@ def difference(spark, con, f, sql, sf_dir):
     if len(a) != len(b):
         return f"{len(a)} rows against {len(b)}"
     for x, y in zip(a, b, strict=True):
-        if any(p != q and not (isinstance(p, float | int) and isinstance(q, float | int) and abs(p - q) <= 2e-6 * max(1, abs(q))) for p, q in zip(x, y, strict=True)):
+        if any(p != q and not (isinstance(p, float | int) and isinstance(q, float | int) and abs(p - q) <= 1e-9 * max(1, abs(q))) for p, q in zip(x, y, strict=True)):
             return f"{x} against {y}"
     return ""
