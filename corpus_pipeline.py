@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kawara.llm import minhash, packing, quality, substrings, toxicity
-from kawara.llm.common import table, without_ids, written
+from kawara.llm.common import keyed, table, without_ids, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,30 +23,20 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
-def rows_keyed(docs: DataFrame) -> DataFrame | None:
-    """docs with a row_key of each row's own, in the order of doc_id (null last), then text; None if doc_id is one."""
-    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
-        return None
-    # the number tells equal rows apart, so that a range of the sort holds no more than its share of them
-    order = [F.asc_nulls_last("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), "row_key"]
-    rows = docs.withColumn("row_key", F.monotonically_increasing_id()).sort(*order)
-    return written(rows.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
-
-
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of smallest doc_id of each near-duplicate class. Rows that share a doc_id count one by one."""
-    rows = rows_keyed(docs)
+    rows = keyed(docs)
     if rows is None:
-        others = minhash.near_duplicates(docs).where("doc_id <> class_id").select("doc_id")
+        others = minhash.classes(docs).where("doc_id <> class_id").select("doc_id")
         return without_ids(docs, written(others, "others"))
-    found = minhash.near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text"))
+    found = minhash.classes(rows.select(F.col("row_key").alias("doc_id"), "text"))
     others = found.where("doc_id <> class_id").select(F.col("doc_id").alias("row_key"))
     return without_ids(rows, written(others, "others"), "row_key").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of earlier ones. Of rows that share a doc_id, each counts as a document."""
-    rows = rows_keyed(docs)
+    rows = keyed(docs)
     if rows is None:
         return substrings.cut(docs)
     cut = substrings.cut(rows.withColumnsRenamed({"doc_id": "own_id", "row_key": "doc_id"}))

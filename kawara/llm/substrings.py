@@ -30,6 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
 from kawara.llm.common import Rolling, WordHashes, bounded_batches, covered, fresh_worker, hashed_text, mixed
 
@@ -38,8 +39,10 @@ LENGTH = 13
 BATCH = 1_000_000
 #: A null doc_id, as an integer.
 NO_ID = np.iinfo(np.int64).max
-PART = "kind int, key int, docs binary, hashes binary"
-KIND = pa.schema([("kind", pa.int32()), ("key", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary())])
+PART = "kind int, key int, docs binary, hashes binary, rest binary"
+KIND = pa.schema([("kind", pa.int32()), ("key", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary()), ("rest", pa.binary())])
+#: Text in a group at most, on average: a group is one Arrow table in a worker.
+GROUP_BYTES = 32 << 20
 ASK, REMOVE, TEXT = 0, 1, 2
 
 
@@ -78,7 +81,7 @@ def _deal(kind: int, key: np.ndarray, docs: np.ndarray, hashes: np.ndarray) -> I
     cuts = np.flatnonzero(np.diff(key)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
         if b > a:
-            yield kind, int(key[a]), packed_ids(docs[a:b]), packed(hashes[a:b])
+            yield kind, int(key[a]), packed_ids(docs[a:b]), packed(hashes[a:b]), None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -154,27 +157,39 @@ def _answers(groups: int):
 
 
 def _texts(groups: int):
-    """Texts as rows of their own, compressed: hashes is texts and what they carry; docs is ids and both lengths."""
+    """Texts as rows of their own, compressed: docs is ids and lengths, hashes the texts, rest the other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         pack = zstandard.ZstdCompressor(level=3)
 
         def flush(at: int) -> tuple:
-            texts = held.pop(at)
-            size.pop(at)
-            numbers = np.array([(i, len(t), len(c)) for i, t, c in texts], np.int64)
-            return TEXT, at, numbers.tobytes(), pack.compress(b"".join(x for _, t, c in texts for x in (t, c)))
-
-        held: dict[int, list] = {}
-        size: dict[int, int] = {}
+            texts, rest = held.pop(at)
+            numbers = np.array([(i, len(t)) for i, t in texts], np.int64)
+            sink = pa.BufferOutputStream()
+            if rest:
+                with pa.ipc.new_stream(sink, rest[0].schema) as out:
+                    out.write_table(pa.Table.from_batches(rest).combine_chunks())
+            kept = pack.compress(sink.getvalue().to_pybytes()) if rest else None
+            return TEXT, at, numbers.tobytes(), pack.compress(b"".join(t for _, t in texts)), kept
+
+        held: dict[int, tuple[list, list]] = {}
+        size = 0
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            rest = batch.column(2).to_pylist() if batch.num_columns > 2 else [b""] * len(ids)
-            for doc, at, text, carry in zip(ids, _group(ids, groups).tolist(), batch.column(1).to_pylist(), rest, strict=True):
-                held.setdefault(at, []).append((doc, text, carry))
-                size[at] = size.get(at, 0) + len(text) + 64
-            if sum(size.values()) > 16 << 20:
+            texts, key = batch.column(1).to_pylist(), _group(ids, groups)
+            others = batch.select(range(2, batch.num_columns)) if batch.num_columns > 2 else None
+            order = np.argsort(key, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                if len(rows):
+                    own = held.setdefault(int(key[rows[0]]), ([], []))
+                    own[0].extend((int(ids[k]), texts[k]) for k in rows)
+                    if others:
+                        own[1].append(others.take(pa.array(rows)))
+            size += sum(map(len, texts)) + (others.nbytes if others else 0) + 64 * len(texts)
+            if size > 16 << 20:
                 yield _batch([flush(at) for at in list(held)])
+                size = 0
         if held:
             yield _batch([flush(at) for at in list(held)])
 
@@ -194,12 +209,12 @@ def kept_words(text: bytes, gone: np.ndarray, words: WordHashes, rolling: Rollin
 
 
 def _finish(target: pa.Schema, row):
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes, texts = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], []
         for batch in batches:
-            for kind, d, h in zip(batch.column("kind").to_pylist(), batch.column("docs").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+            for kind, d, h, rest in zip(*(batch.column(c).to_pylist() for c in ("kind", "docs", "hashes", "rest")), strict=True):
                 if kind == TEXT:
-                    texts.append((d, h))
+                    texts.append((d, h, rest))
                 else:
                     ids.append(unpacked_ids(d))
                     hashes.append(unpacked(h).view(np.uint64))
@@ -207,68 +222,78 @@ def _finish(target: pa.Schema, row):
         order = np.lexsort((h, doc))
         doc, h = doc[order], h[order]
         words, rolling = WordHashes(), Rolling(LENGTH)
-        for d, data in texts:
-            owners, sizes, carried = np.frombuffer(d, np.int64).reshape(-1, 3).T
+        for d, data, rest in texts:
+            owners, sizes = np.frombuffer(d, np.int64).reshape(-1, 2).T
             whole, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
             lows, highs = np.searchsorted(doc, owners), np.searchsorted(doc, owners, side="right")
-            for owner, size, more, a, b in zip(owners.tolist(), sizes.tolist(), carried.tolist(), lows, highs, strict=True):
-                text, carry = whole[at : at + size], whole[at + size : at + size + more]
-                at += size + more
-                out.append(row(None if owner == NO_ID else owner, *kept_words(text, h[a:b], words, rolling), carry))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+            for owner, size, a, b in zip(owners.tolist(), sizes.tolist(), lows, highs, strict=True):
+                out.append(row(None if owner == NO_ID else owner, *kept_words(whole[at : at + size], h[a:b], words, rolling)))
+                at += size
+            columns = dict(zip(row.names, zip(*out, strict=True), strict=True))
+            if rest:
+                with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rest)) as stream:
+                    others = stream.read_all().combine_chunks()
+                columns |= {n: others.column(k).combine_chunks() for k, n in enumerate(row.rest)}
+            arrays = [columns[k].cast(f.type) if isinstance(columns[k], pa.Array) else pa.array(columns[k], f.type) for k, f in zip(row.order, target, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
     return run
 
 
-def deduplicated(docs: DataFrame, schema: str, row, carry=None) -> DataFrame:
-    """row(doc_id, n_words, n_removed, kept words, carried bytes) for each document: tuples of schema.
-
-    carry: a binary column that travels with each text.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # several ranges and groups for each partition, so that they even out
-    ranges = groups = 1 << max(4, (2 * partitions - 1).bit_length())
-    texts = hashed_text(docs)
-    asked = texts.mapInArrow(_questions(ranges, groups), PART)
-    answered = asked.groupBy("key").applyInArrow(_answers(groups), PART)
-    if carry is not None:
-        texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), carry.alias("carry"))
-    rows = answered.unionByName(texts.mapInArrow(_texts(groups), PART))
-    return rows.groupBy("key").applyInArrow(_finish_with(schema, row), schema)
+class Row:
+    """What a document's row is made of: make(doc_id, n_words, n_removed, kept words) gives the columns in names, and
+    rest are columns that travel with the text as they are. order: the columns of the result."""
 
+    def __init__(self, make, names: list[str], rest: list[str], order: list[str]):
+        self.make, self.names, self.rest, self.order = make, names, rest, order
 
-def _finish_with(schema: str, row):
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    def __call__(self, *parts):
+        return self.make(*parts)
 
-    run = _finish(to_arrow_schema(_parse_datatype_string(schema)), row)
 
-    def finish(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(key, batches)
+def deduplicated(docs: DataFrame, schema: StructType, row: Row) -> DataFrame:
+    """The rows that row makes of each document. docs: doc_id, text and the columns in row.rest, in this order."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return finish
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # several ranges and groups for each partition, so that they even out, and as many as memory asks for
+    ranges = groups = 1 << max(4, (2 * partitions - 1).bit_length(), (size // GROUP_BYTES).bit_length())
+    asked = docs.select("doc_id", "text").mapInArrow(_questions(ranges, groups), PART)
+    answered = asked.groupBy("key").applyInArrow(_answers(groups), PART)
+    rows = answered.unionByName(docs.mapInArrow(_texts(groups), PART))
+    return rows.groupBy("key").applyInArrow(_finish(to_arrow_schema(schema), row), schema)
 
 
-def _digest(doc, n, removed, words, _):
+def _digest(doc, n, removed, words):
     return doc, n, removed, hashlib.sha256(b" ".join(words)).hexdigest()
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return deduplicated(docs, "doc_id long, n_words long, n_removed long, kept_sha256 string", _digest)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    names = [x.split()[0] for x in schema.split(", ")]
+    return deduplicated(hashed_text(docs), _parse_datatype_string(schema), Row(_digest, names, [], names))
 
 
-def _text(doc, _, removed, words, carry):
-    return doc, b" ".join(words).decode(), carry.decode()
+def _text(doc, n, removed, words):
+    text = b" ".join(words).decode()
+    return doc, text, len(text)
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """docs with all their columns; text is the words kept, joined by one space, and n_chars, if there, its length."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    carry = F.to_json(F.struct(*others), {"ignoreNullFields": "false"}) if others else F.lit("")
-    rows = deduplicated(docs, "doc_id long, text string, carry string", _text, carry.cast("binary"))
-    kind = docs.select(*others).schema
-    rows = rows.withColumn("carry", F.from_json("carry", kind)) if others else rows
-    columns = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return rows.select(*(columns[c].alias(c) if c in columns else F.col("carry")[c].alias(c) for c in docs.columns))
+    """docs with all their columns; text is the words kept, joined by one space, and n_chars, if there, its length.
+
+    The other columns travel as Arrow data beside their texts, so that values of any type come back as they were.
+    """
+    own = [c for c in docs.columns if c in ("doc_id", "text", "n_chars")]
+    rest = [c for c in docs.columns if c not in own]
+    # columns are told apart by place, so that they may have any names
+    inner = [f"c{k}" for k in range(len(rest))]
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(rest, inner, strict=True)))
+    place = dict(zip(rest, inner, strict=True))
+    order = [place.get(c, c) for c in docs.columns]
+    schema = StructType([StructField(n, LongType() if n in ("doc_id", "n_chars") else docs.schema[c].dataType) for c, n in zip(docs.columns, order, strict=True)])
+    found = deduplicated(rows, schema, Row(_text, ["doc_id", "text", "n_chars"], inner, order))
+    return found.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, order, strict=True)))
