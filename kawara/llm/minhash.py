@@ -11,13 +11,14 @@ Bands of the signature give candidates. Candidates are checked with their whole
 Jaccard similarity of THRESHOLD. Classes are the connected components of the links.
 
 In a band's bucket the smallest document is compared with each other member (a star, never all pairs). Buckets that
-still hold more than one component afterwards are worked off exactly, in blocks: members outside the bucket's largest
-component meet all its members by their signatures, and partners in other components that agree are verified with
+still hold more than one component afterwards are worked off exactly, in blocks of at most BLOCK or so on either side:
+members outside the bucket's largest component meet all its members by their signatures, and partners in other components that agree are verified with
 their texts on the spot, in the first band that a pair shares. A pair whose components have been linked meanwhile is
 passed over, so a block gives out fewer links than it has components.
 
 Defined results: a null text counts as empty; equal texts always share a class; a text of fewer than five words is
-one shingle of all its words; a text without words joins equal texts only. Repeated rows share their class. An
+one shingle of all its words; a text without words joins equal texts only. Where rows share a doc_id or have none,
+each row is a document of its own, and a class is named by the smallest doc_id of its rows (null if none has one). An
 empty table gives an empty result. Columns other than doc_id and text are ignored.
 """
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kawara.llm.common import Rolling, WordHashes, hashed_text, map_rows, mixed, with_ids, written
+from kawara.llm.common import BROADCAST_IDS, Rolling, WordHashes, hashed_text, keyed, map_rows, mixed, with_ids, written
 from kawara.llm.components import components
 
 SHINGLE = 5
@@ -41,6 +42,8 @@ K = BANDS * ROWS
 #: of the estimate below THRESHOLD.
 LEAST_AGREEMENT = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5
 BLOCK = 4096
+#: Pairs of one document that are verified side by side.
+HOT = 256
 
 #: Poisson(1): upper ends of 0, 1, 2, ... darts on the scale of 2**32.
 _POISSON = np.round(np.cumsum(np.exp(-1) / np.cumprod([1, *range(1, 12)])) * 2**32).astype(np.uint64)
@@ -131,11 +134,22 @@ def _judge():
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of documents, those whose whole texts reach THRESHOLD."""
+    """Of pairs (a, b) of documents, those whose whole texts reach THRESHOLD. doc_id has to be a key of docs.
+
+    A document may be the b of any share of the pairs: beyond HOT pairs its text is given to several parts, and the
+    pairs are dealt over them.
+    """
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    texts = with_ids(hashed_text(docs), ends).dropDuplicates(["doc_id"])
-    rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
-    rows = rows.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
+    texts = with_ids(hashed_text(docs), ends)
+    hot = pairs.groupBy("b").count().where(F.col("count") > HOT).select("b", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
+    hot = written(hot, "hot")
+    if hot.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        hot = F.broadcast(hot)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(hot, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), parts).cast("int")).drop("parts")
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")).join(hot, "b", "left")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    rows = dealt.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(right, ["b", "part"])
     judged = map_rows(rows.select("a", "b", "left", "right"), "a long, b long, similarity double", _judge)
     return judged.where(F.col("similarity") >= THRESHOLD)
 
@@ -201,18 +215,32 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def _open_rows(full: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component, with the bucket's largest and number of blocks."""
+    """The members of buckets that hold more than one component, with the bucket's largest and its numbers of blocks."""
     full = full.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     per = full.groupBy("band", "comp").agg(F.count("*").alias("rows"))
     several = per.groupBy("band").agg(
-        F.max_by("comp", F.struct("rows", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("rows").alias("n")
+        F.max_by("comp", F.struct("rows", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("rows").alias("n"), F.max("rows").alias("top")
     )
     several = several.where("comps > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    return full.join(several.select("band", "most", "blocks"), "band")
+    several = several.withColumn("stray_blocks", F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int"))
+    return full.join(several.select("band", "most", "blocks", "stray_blocks"), "band")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id): class_id is the smallest doc_id of the document's near-duplicate class."""
+    """(doc_id, class_id) for each row: class_id is the smallest doc_id of the row's near-duplicate class."""
+    rows = keyed(docs.select("doc_id", "text"))
+    if rows is None:
+        return classes(docs)
+    found = classes(rows.select(F.col("row_key").alias("doc_id"), "text"))
+    own = rows.select(F.col("row_key").alias("key"), F.col("doc_id").alias("own_id"))
+    named = found.withColumnsRenamed({"doc_id": "key", "class_id": "first"}).join(own, "key")
+    # keys follow the order of the doc_ids, so a class's smallest key has its smallest doc_id
+    first = own.withColumnsRenamed({"key": "first", "own_id": "class_id"})
+    return named.join(first, "first").select(F.col("own_id").alias("doc_id"), "class_id")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """As near_duplicates(), where doc_id is a key."""
     signed = written(signatures(docs), "signatures")
     copies = signed.groupBy("digest").agg(
         F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "signature"), "doc_id").alias("s")
@@ -226,16 +254,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(verified(docs, stars).select("a", "b"), "links")
     found = components(links)
 
-    # What a bucket's star has not joined: the rest of the bucket, by signature, in blocks.
+    # What a bucket's star has not joined: the rest of the bucket, by signature, in blocks of either side.
     rows = written(_open_rows(full.select("band", "id"), found), "open")
     if rows.limit(1).count():
-        texts = with_ids(hashed_text(docs), rows.select(F.col("id").alias("doc_id"))).dropDuplicates(["doc_id"])
+        texts = with_ids(hashed_text(docs), rows.select(F.col("id").alias("doc_id")))
         members = copies.join(rows.select("id").distinct(), "id", "left_semi").select("id", "signature", "bands")
         rows = rows.join(members.join(texts.withColumnRenamed("doc_id", "id"), "id"), "id")
-        strays = rows.where("comp <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        blocks = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        strays = rows.where("comp <> most").withColumn("stray_block", own("stray_blocks")).withColumn("block", every("blocks"))
+        blocks = rows.withColumn("block", own("blocks")).withColumn("stray_block", every("stray_blocks"))
         strays = strays.select(*(F.col(c).alias(c) for c in strays.columns))  # columns of its own
-        pairs = strays.groupBy("band", "block").cogroup(blocks.groupBy("band", "block"))
+        pairs = strays.groupBy("band", "block", "stray_block").cogroup(blocks.groupBy("band", "block", "stray_block"))
         second = written(pairs.applyInArrow(_settled, "a long, b long").distinct(), "links")
         if second.limit(1).count():
             found = components(links.unionByName(second))
