@@ -9,7 +9,8 @@ are rows of a table in the shared folder.
 Of records with equal payloads of at least LEAST bytes, the one with the smallest page_id is a response and the
 others are revisits without payload. Digests are grouped in Spark, and only those that repeat meet the pages again.
 
-Defined results: a null html is an empty payload. Rows that repeat a page_id and payload are all responses if that id
+Defined results: a null html is an empty payload, a null url a record without target. Line breaks in a url, and
+blanks at its ends, come back percent-encoded. Rows that repeat a page_id and payload are all responses if that id
 is the smallest. A null page_id never is the smallest unless all are null. An empty table gives an empty result.
 Columns other than page_id, url and html are ignored. A damaged record has its error in a column, and null elsewhere.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
@@ -34,6 +36,7 @@ LEVEL = 3
 SAMPLES, DICTIONARY = 64, 16 << 10
 MAGIC = (0x184D2A5D).to_bytes(4, "little")
 _ZSTD = (0xFD2FB528).to_bytes(4, "little")
+_SKIPPABLE = 0x184D2A5
 MANDATORY = ("WARC-Record-ID", "WARC-Type", "WARC-Date", "Content-Length")
 #: Records say when they were made; a fixed time keeps archives of equal pages equal.
 DATE = "2024-01-01T00:00:00Z"
@@ -42,6 +45,13 @@ _ID = re.compile(r"<urn:page:(-?\d*)>")
 _DIGEST = re.compile(r"sha256:([0-9a-f]{64})")
 
 
+def _one_line(url: str) -> str:
+    """A url as a header's value: line breaks and outer blanks, which a header cannot hold, percent-encoded."""
+    ends = url[: len(url) - len(url.lstrip())], url[len(url.rstrip()) :] if url.strip() else ""
+    inner = url[len(ends[0]) : len(url) - len(ends[1])]
+    return quote(ends[0]) + inner.replace("\r", "%0D").replace("\n", "%0A") + quote(ends[1])
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
     """The bytes of a record: a response, or a revisit if refers_to is given."""
     name = "" if page_id is None else page_id
@@ -52,7 +62,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{name}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {re.sub(r'[\r\n]', '', url or '')}",
+        *([] if url is None else [f"WARC-Target-URI: {_one_line(url)}"]),
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
     ]
@@ -75,8 +85,28 @@ def archive(records: list[bytes]) -> bytes:
     return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *map(pack.compress, records)])
 
 
+def frame_end(data: memoryview, at: int) -> int:
+    """Where the frame at a place ends, from its header and its blocks' headers; nothing is decoded or copied."""
+    head = bytes(data[at : at + 18])
+    end, checksum = at + zstandard.frame_header_size(head), zstandard.get_frame_parameters(head).has_checksum
+    while True:
+        block = int.from_bytes(data[end : end + 3], "little")
+        if end + 3 > len(data) or block >> 1 & 3 == 3:
+            raise ValueError(f"the frame at byte {at} is cut off or damaged")
+        end += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)  # a run is one byte
+        if block & 1:
+            break
+    end += 4 * checksum
+    if end > len(data):
+        raise ValueError(f"the frame at byte {at} is cut off")
+    return end
+
+
 def frames(data: bytes) -> Iterator[bytes]:
-    """The records of an archive, one from each frame. The dictionary may be plain or compressed itself."""
+    """The records of an archive, one from each frame. The dictionary may be plain or compressed itself.
+
+    Skippable frames further on are passed over. The time is in proportion to the archive's length.
+    """
     known, at = None, 0
     if data[:4] == MAGIC:
         size = int.from_bytes(data[4:8], "little")
@@ -87,15 +117,19 @@ def frames(data: bytes) -> Iterator[bytes]:
             held = zstandard.ZstdDecompressor().decompress(held)
         known = zstandard.ZstdCompressionDict(held) if held else None
     view = memoryview(data)
+    unpack = zstandard.ZstdDecompressor(dict_data=known)
     while at < len(data):
-        if data[at : at + 4] != _ZSTD:
+        mark = int.from_bytes(view[at : at + 4], "little")
+        if mark >> 4 == _SKIPPABLE:
+            at += 8 + int.from_bytes(view[at + 4 : at + 8], "little")
+            if at > len(data):
+                raise ValueError("a skippable frame is cut off")
+            continue
+        if bytes(view[at : at + 4]) != _ZSTD:
             raise ValueError(f"no frame at byte {at}")
-        unpack = zstandard.ZstdDecompressor(dict_data=known).decompressobj()
-        out = unpack.decompress(view[at:])
-        if not unpack.eof:
-            raise ValueError(f"the frame at byte {at} is cut off")
-        at = len(data) - len(unpack.unused_data)
-        yield out
+        end = frame_end(view, at)
+        yield unpack.decompressobj().decompress(view[at:end])
+        at = end
 
 
 def fields(lines: list[str]) -> dict[str, str]:
@@ -140,7 +174,7 @@ def read_record(data: bytes) -> dict:
     else:
         raise ValueError(f"unknown WARC-Type {kind!r}")
     return {
-        "page_id": int(name[1]) if name[1] else None, "url": own.get("warc-target-uri", ""), "payload_bytes": size,
+        "page_id": int(name[1]) if name[1] else None, "url": own.get("warc-target-uri"), "payload_bytes": size,
         "payload_digest": digest[1], "record_type": kind, "refers_to": refers, "payload": payload, "error": None,
     }
 
