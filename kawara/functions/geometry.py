@@ -497,3 +497,17 @@ def texture_box(us: Column, vs: Column, width: Column, height: Column, margin: i
     return F.struct(
         grown(low(us)).alias("x0"), grown(low(vs)).alias("y0"), wide(high(us), width).alias("x1"), wide(high(vs), height).alias("y1")
     )
+
+
+def nearest_on_ring(p: Column, ring: Column) -> Column:
+    """The point of a ring's line that is nearest to p; the first edge of equals."""
+    own = F.transform(
+        edges(ring), lambda e, i: F.struct(segment_distance(p, e["p"], e["q"]).alias("away"), i.alias("i"), nearest_on_segment(p, e["p"], e["q"]).alias("at"))
+    )
+    return F.array_min(own)["at"]
+
+
+def edge_key(p: Column, q: Column, scale: int = 1000) -> Column:
+    """A key that an edge shares with its opposite: the whole part of the scaled sum of all coordinates, unsigned."""
+    total = p.x + p.y + p.z + q.x + q.y + q.z
+    return F.abs((total * scale).cast("long"))

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kawara.functions import geometry as g
 from kawara.operators import spatial
 
 
@@ -263,3 +264,49 @@ def split_edges(segments: DataFrame, size: float, error: float = 1e-6, keys: tup
     rows = rows.withColumn("row", row).withColumn("part", F.explode(F.sequence(F.lit(0), F.size("row") - 2)))
     point = lambda i, k: F.col(f"a{k}") + F.get("row", F.col("part") + i) * (F.col(f"b{k}") - F.col(f"a{k}"))
     return rows.select(*keys, "id", "part", point(0, "x").alias("ax"), point(0, "y").alias("ay"), point(1, "x").alias("bx"), point(1, "y").alias("by"), "label")
+
+
+def from_segments(segments: DataFrame, error: float, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of segments (ax, ay, bx, by, label): ends on one grid cell of error are one node, numbered from 0
+    by x, then y; segments within one cell go, and of doubled edges the largest label stays."""
+    snap = lambda c: F.rint(F.col(c) / error).cast("long")
+    rows = segments.select(*keys, "label", *(snap(f"{e}{k}").alias(f"{e}{k}") for e in "ab" for k in "xy"))
+    ends = rows.select(*keys, F.col("ax").alias("x"), F.col("ay").alias("y")).unionByName(rows.select(*keys, F.col("bx").alias("x"), F.col("by").alias("y")))
+    by = Window.partitionBy(*keys).orderBy("x", "y") if keys else Window.orderBy("x", "y")
+    nodes = ends.distinct().withColumn("node", F.row_number().over(by) - 1)
+    own = [nodes.select(*keys, F.col("x").alias(f"{e}x"), F.col("y").alias(f"{e}y"), F.col("node").alias(e)) for e in "ab"]
+    joined = rows.join(own[0], [*keys, "ax", "ay"]).join(own[1], [*keys, "bx", "by"]).where("a <> b")
+    edges = joined.groupBy(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("label").alias("label"))
+    return nodes.select(*keys, "node", (F.col("x") * error).alias("x"), (F.col("y") * error).alias("y")), edges
+
+
+def groups(labels: DataFrame) -> DataFrame:
+    """(comp, members): the sorted members of each component of labels (id, comp)."""
+    return labels.groupBy("comp").agg(F.array_sort(F.collect_list("id")).alias("members"))
+
+
+class UnevenEdges(ValueError):
+    """An edge does not belong to exactly two faces."""
+
+
+def face_pairs(edges: DataFrame, keys: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
+    """(keys, a, b, left, right): the two faces of each edge (keys, a, b, face), whichever way it runs in them.
+
+    Edges of one face, or of more than two, are left out; strict makes them an error of the job.
+    """
+    per = edges.groupBy(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.array_sort(F.collect_list("face")).alias("f"))
+    if strict:
+        per = per.withColumn("f", F.when(F.size("f") == 2, F.col("f")).otherwise(F.raise_error(F.lit("an edge without exactly two faces"))))
+    two = per.where(F.size("f") == 2)
+    return two.select(*keys, "a", "b", F.get("f", F.lit(0)).alias("left"), F.get("f", F.lit(1)).alias("right"))
+
+
+def aligned_edges(nodes: DataFrame, edges: DataFrame, base: float, threshold: float) -> DataFrame:
+    """(node, aligned): how many edges of each node run along a base direction in degrees, or square to it, within the
+    threshold. nodes: node, x, y; edges: a, b."""
+    own = [nodes.select(F.col("node").alias(e), F.col("x").alias(f"{e}x"), F.col("y").alias(f"{e}y")) for e in "ab"]
+    rows = edges.join(own[0], "a").join(own[1], "b")
+    turn = F.degrees(F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax"))) - base
+    rows = rows.withColumn("hit", g.axis_aligned(turn, threshold).cast("int"))
+    ends = rows.select(F.col("a").alias("node"), "hit").unionByName(rows.select(F.col("b").alias("node"), "hit"))
+    return ends.groupBy("node").agg(F.sum("hit").alias("aligned"))

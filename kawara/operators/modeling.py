@@ -81,14 +81,18 @@ def farthest_inside(rings: DataFrame, most: float = 0.5) -> DataFrame:
 
 
 def base_edge(edges: DataFrame, threshold: float) -> DataFrame:
-    """(building_id, edge, aligned, length, ux, uy): the edge whose direction most length of all edges follows, or stands
-    square to, within the threshold in degrees; the longer, then the first of equals. edges: building_id, edge, ax, ay,
-    bx, by. ux, uy is the unit vector from b to a."""
+    """(building_id, edge, aligned, length, ux, uy): the edge that most length of all edges goes with; the longer, then
+    the first of equals. edges: building_id, edge, ax, ay, bx, by. ux, uy is the unit vector from b to a.
+
+    Another edge goes with an edge if, at the other's start, the directions to the edge's end and to the other's end
+    differ by a multiple of 90 degrees, within the threshold.
+    """
     size = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
-    turn = F.degrees(F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")))
-    own = edges.withColumn("length", size).withColumn("turn", turn).where("length > 0")
-    other = own.select("building_id", F.col("length").alias("o_length"), F.col("turn").alias("o_turn"))
-    aligned = F.when(g.axis_aligned(F.col("turn") - F.col("o_turn"), threshold), F.col("o_length")).otherwise(0.0)
+    own = edges.withColumn("length", size).where("length > 0")
+    other = own.select("building_id", *(F.col(c).alias(f"o_{c}") for c in ("length", "ax", "ay", "bx", "by")))
+    here = F.atan2(F.col("by") - F.col("o_ay"), F.col("bx") - F.col("o_ax"))
+    there = F.atan2(F.col("o_by") - F.col("o_ay"), F.col("o_bx") - F.col("o_ax"))
+    aligned = F.when(g.axis_aligned(F.degrees(there - here), threshold), F.col("o_length")).otherwise(0.0)
     kept = ["building_id", "edge", "length", "ax", "ay", "bx", "by"]
     sums = own.join(other, "building_id").groupBy(*kept).agg(F.sum(aligned).alias("aligned"))
     best = sums.groupBy("building_id").agg(F.max_by(F.struct("edge", "aligned", "length", "ax", "ay", "bx", "by"), F.struct(F.round("aligned", 9), "length", -F.col("edge"))).alias("b"))
@@ -96,6 +100,42 @@ def base_edge(edges: DataFrame, threshold: float) -> DataFrame:
     return best.select("building_id", "b.edge", "b.aligned", "b.length", *unit)
 
 
+def moved_inside(nodes: DataFrame) -> DataFrame:
+    """nodes (id, x, y, outline) with those that are not inside their outline moved to its nearest point."""
+    at = g.nearest_on_ring(g.point(F.col("x"), F.col("y")), F.col("outline"))
+    rows = nodes.withColumn("at", F.when(~g.contains(F.col("outline"), F.col("x"), F.col("y")), at))
+    return rows.withColumn("x", F.coalesce("at.x", "x")).withColumn("y", F.coalesce("at.y", "y")).drop("at")
+
+
+def plane_types(lines: DataFrame, near: DataFrame, band: float = 5.0, square: float = 10.0, shortest: float = 0.0) -> DataFrame:
+    """(building_id, plane, type, angle): what the outline's lines near a roof plane look like.
+
+    Mean shift joins the angles of a building's lines (building_id, line, angle, length); near is (building_id, plane,
+    line), every plane at least once (line may be null). Lines no longer than shortest do not count. angle is that of
+    the longest line, the first of equals.
+    """
+
+    def make(found: pa.Table) -> dict:
+        order = np.argsort(found.column("line").to_numpy())
+        angle = found.column("angle").to_numpy()[order]
+        distinct, place, count = np.unique(angle, return_inverse=True, return_counts=True)
+        label = kernels.mean_shift(distinct, count.astype(float), band)[place]
+        centre = np.array([angle[label == k].mean() for k in label])
+        return {"line": found.column("line").to_numpy()[order], "label": label, "centre": centre}
+
+    kept = lines.select(F.col("building_id").cast("long"), F.col("line").cast("long"), F.col("angle").cast("double"))
+    labels = _grouped(kept, "building_id", "building_id long, line long, label int, centre double", make)
+    rows = near.join(lines.join(labels, ["building_id", "line"]).where(F.col("length") > shortest), ["building_id", "line"], "left")
+    per = rows.groupBy("building_id", "plane").agg(
+        F.count_distinct("label").alias("n"), F.min("centre").alias("low"), F.max("centre").alias("high"),
+        F.max_by("angle", F.when(F.col("label").isNotNull(), F.struct("length", -F.col("line")))).alias("angle"),
+    )
+    right = F.abs(F.col("high") - F.col("low") - 90) < square
+    kind = F.when(F.col("n") == 0, "NO_NEIGHBOR_LINE").when(F.col("n") == 1, "ONE_NEIGHBOR_LINE").when((F.col("n") == 2) & right, "ORTHOGONAL_CROSSING")
+    kind = kind.when(F.col("n") == 2, "NOT_ORTHOGONAL_CROSSING").otherwise("THREE_OR_MORE_NEIGHBOR_LINES")
+    return per.select("building_id", "plane", kind.alias("type"), "angle")
+
+
 def merged_corners(corners: DataFrame, radius: float) -> DataFrame:
     """corners (id, x, y, ...) moved to the mean of their cluster: chains of steps of at most radius."""
     labels = graph.radius_components(corners.select("id", "x", "y"), radius)

@@ -54,3 +54,21 @@ def balconies(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """polygon_id and whether at least the threshold of its pixels are balcony."""
     share = F.avg(F.col("is_balcony").cast("int"))
     return pixels.groupBy("polygon_id").agg((share >= threshold).alias("balcony"))
+
+
+def best_wall_photo(views: DataFrame, roofs: DataFrame) -> DataFrame:
+    """(face_id, photo_no, area): for each wall the photo that shows it whole, and its roof too where it has one; the
+    largest area, the last of equals. views: as for best_photo, of walls and roofs; roofs: wall, roof (see roof_of_wall)."""
+    seen = views.where("visible").select(F.col("face_id").alias("roof"), "photo_no", F.lit(True).alias("roof_seen"))
+    rows = views.join(roofs.select(F.col("wall").alias("face_id"), "roof"), "face_id", "left").join(seen, ["roof", "photo_no"], "left")
+    good = rows.withColumn("visible", F.col("visible") & (F.col("roof").isNull() | F.coalesce("roof_seen", F.lit(False))))
+    return best_photo(good.select("face_id", "photo_no", "visible", "area"))
+
+
+def photo_cameras(photos: DataFrame, camera: DataFrame, strict: bool = True) -> DataFrame:
+    """photos (with width and height in pixels) beside the camera (focal, sensor_w, sensor_h, pixel_w, pixel_h), with
+    pixel: its size as the sensor's width over the image's. A photo whose sensor is off by more than a pixel from what
+    the pixel sizes say has fits false."""
+    rows = spatial.crossed(photos, camera)
+    fits = (F.abs(F.col("sensor_w") - F.col("width") * F.col("pixel_w")) <= F.col("pixel_w")) & (F.abs(F.col("sensor_h") - F.col("height") * F.col("pixel_h")) <= F.col("pixel_h"))
+    return rows.withColumn("pixel", F.col("sensor_w") / F.col("width")).withColumn("fits", fits)

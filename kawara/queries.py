@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from kawara.functions import geometry as g
 from kawara.operators import graph, grouped, kernels, mesh, modeling, raster, spatial, texture
-from kawara.plans import building
-from kawara.sources import citygml
+from kawara.plans import building, flat
+from kawara.sources import citygml, obj
 
 POINTS = """SELECT l_suppkey AS building_id,
  cast(l_orderkey % 80 as double) * 0.25e0 + cast(l_partkey % 7 as double) * 0.01e0 AS x,
@@ -747,13 +747,14 @@ def farthest_inside(t):
     return modeling.farthest_inside(t.rings.select(b.alias("id"), ring.alias("ring"), F.col("ring").alias("outline")))
 
 
-@query("""WITH e AS (SELECT o_custkey % 100 AS building_id, o_orderkey AS edge, cast(o_orderkey % 7 AS double) AS dx, cast(o_custkey % 5 AS double) AS dy FROM orders WHERE o_orderkey % 4 = 0), n AS (SELECT *, sqrt(dx*dx+dy*dy) AS len, degrees(atan2(dy, dx)) AS a FROM e WHERE dx <> 0 OR dy <> 0),
- s AS (SELECT x.building_id, x.edge, x.len, x.dx, x.dy, sum(CASE WHEN least((x.a - y.a + 360) % 90, 90 - (x.a - y.a + 360) % 90) <= 5 THEN y.len ELSE 0 END) AS aligned FROM n x JOIN n y USING (building_id) GROUP BY ALL),
- r AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY round(aligned, 9) DESC, len DESC, edge) AS k FROM s) SELECT building_id, edge, round(aligned, 6) AS aligned, round(-dx / len + 0, 6) AS ux, round(-dy / len + 0, 6) AS uy FROM r WHERE k = 1""")
+@query("""WITH e AS (SELECT o_custkey % 100 AS building_id, o_orderkey AS edge, cast(o_orderkey % 3 AS double) AS ax, 0e0 AS ay, cast(o_orderkey % 7 AS double) AS bx, cast(o_custkey % 5 AS double) AS by_ FROM orders WHERE o_orderkey % 4 = 0), n AS (SELECT *, sqrt(pow(bx-ax, 2)+pow(by_-ay, 2)) AS len FROM e),
+ p AS (SELECT x.building_id, x.edge, x.len, x.ax, x.ay, x.bx, x.by_, y.len AS yl, degrees(atan2(y.by_ - y.ay, y.bx - y.ax) - atan2(x.by_ - y.ay, x.bx - y.ax)) + 720 AS a FROM n x JOIN n y USING (building_id) WHERE x.len > 0 AND y.len > 0),
+ s AS (SELECT building_id, edge, len, ax, ay, bx, by_, sum(CASE WHEN least(a % 90, 90 - a % 90) <= 7 THEN yl ELSE 0 END) AS aligned FROM p GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY round(aligned, 9) DESC, len DESC, edge) AS k FROM s) SELECT building_id, edge, round(aligned, 6) AS aligned, round((ax - bx) / len + 0, 6) AS ux, round((ay - by_) / len + 0, 6) AS uy FROM r WHERE k = 1""")
 def base_edge(t):
-    zero = F.lit(0.0)
-    e = t.orders.where("o_orderkey % 4 = 0").select((F.col("o_custkey") % 100).alias("building_id"), F.col("o_orderkey").alias("edge"), zero.alias("ax"), zero.alias("ay"), (F.col("o_orderkey") % 7).cast("double").alias("bx"), (F.col("o_custkey") % 5).cast("double").alias("by"))
-    return modeling.base_edge(e, 5.0).select("building_id", "edge", r6(F.col("aligned")).alias("aligned"), r6(F.col("ux")).alias("ux"), r6(F.col("uy")).alias("uy"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    e = t.orders.where("o_orderkey % 4 = 0").select((c % 100).alias("building_id"), k.alias("edge"), (k % 3).cast("double").alias("ax"), F.lit(0.0).alias("ay"), (k % 7).cast("double").alias("bx"), (c % 5).cast("double").alias("by"))
+    return modeling.base_edge(e, 7.0).select("building_id", "edge", r6(F.col("aligned")).alias("aligned"), r6(F.col("ux")).alias("ux"), r6(F.col("uy")).alias("uy"))
 
 
 CORNERS = """SELECT p_partkey AS id, cast(p_partkey % 50 as double) + (p_partkey % 3) * 0.03125e0 AS x, 0e0 AS y, cast(p_size % 4 as double) AS z FROM part"""
@@ -858,3 +859,109 @@ def split_edges(t):
     parts = graph.split_edges(s, 4.0, keys=("k",))
     size = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
     return parts.groupBy("k", "id").agg(F.count("*").alias("parts"), r6(F.sum(size)).alias("length"))
+
+
+@query(f"""WITH b AS ({FOOTPRINTS}), n AS (SELECT b.*, unnest([0, 1, 2, 3]) AS i FROM b), p AS (SELECT *, CASE i WHEN 0 THEN x0 - 2 WHEN 1 THEN x1 + 1 WHEN 2 THEN x0 + 2 ELSE x1 - 1 END AS x, CASE i WHEN 0 THEN y0 + 3 WHEN 1 THEN y1 + 4 WHEN 2 THEN y0 + 2 ELSE y0 - 1 END AS y FROM n)
+ SELECT building_id * 4 + i AS id, least(greatest(x, x0), x1) AS x, least(greatest(y, y0), y1) AS y FROM p""")
+def moved_inside(t):
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    at = F.array(g.point(x0 - 2, y0 + 3), g.point(x1 + 1, y1 + 4), g.point(x0 + 2, y0 + 2), g.point(x1 - 1, y0 - 1))
+    rows = t.rings.select("building_id", F.col("ring").alias("outline"), F.posexplode(at).alias("i", "p"))
+    nodes = rows.select((F.col("building_id") * 4 + F.col("i")).alias("id"), "p.x", "p.y", "outline")
+    return modeling.moved_inside(nodes).select("id", "x", "y")
+
+
+@query("""SELECT p_partkey AS id, cast(abs(trunc((p_size * 0.25e0 + p_partkey % 7 + 1.5e0 - 3) * 1000)) AS bigint) AS key, true AS same FROM part""")
+def edge_keys(t):
+    p = g.point(F.col("p_size") * F.lit(0.25), F.lit(0.5), F.lit(-3.0))
+    q = g.point((F.col("p_partkey") % 7).cast("double"), F.lit(1.0), F.lit(0.0))
+    return t.part.select(F.col("p_partkey").alias("id"), g.edge_key(p, q).alias("key"), (g.edge_key(p, q) == g.edge_key(q, p)).alias("same"))
+
+
+SEGMENTS = """SELECT o_custkey % 30 AS k, cast(o_orderkey % 9 AS double) AS ax, cast(o_orderkey % 7 AS double) + 0.001e0 AS ay, cast(o_custkey % 9 AS double) + 0.002e0 AS bx, cast(o_custkey % 7 AS double) AS by_, cast(o_orderkey % 3 AS int) AS label FROM orders WHERE o_orderkey % 4 = 0"""
+
+
+@query(f"""WITH s AS ({SEGMENTS}), r AS (SELECT k, round(ax) AS ax, round(ay) AS ay, round(bx) AS bx, round(by_) AS by_, label FROM s), p AS (SELECT k, ax AS x, ay AS y FROM r UNION SELECT k, bx, by_ FROM r),
+ n AS (SELECT k, x, y, row_number() OVER (PARTITION BY k ORDER BY x, y) - 1 AS node FROM p) SELECT r.k, cast(least(u.node, v.node) AS int) AS a, cast(greatest(u.node, v.node) AS int) AS b, max(label) AS label
+ FROM r JOIN n u ON u.k = r.k AND u.x = ax AND u.y = ay JOIN n v ON v.k = r.k AND v.x = bx AND v.y = by_ WHERE u.node <> v.node GROUP BY 1, 2, 3""")
+def graph_from_segments(t):
+    s = t.sql(SEGMENTS, "orders").withColumnRenamed("by_", "by")
+    return graph.from_segments(s, 0.01, ("k",))[1]
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, c_nationkey AS comp FROM customer) SELECT cast(min(id) AS bigint) AS comp, count(*) AS n, max(id) AS last FROM c GROUP BY comp""")
+def component_groups(t):
+    v = t.customer.select(F.col("c_custkey").alias("id"), "c_nationkey")
+    first = v.groupBy("c_nationkey").agg(F.min("id").alias("b"))
+    labels = graph.connected(v.select("id"), v.join(first, "c_nationkey").select(F.col("id").alias("a"), "b"))
+    return graph.groups(labels).select("comp", F.size("members").cast("long").alias("n"), F.array_max("members").alias("last"))
+
+
+@query("""WITH e AS (SELECT o_custkey % 100 AS a, o_orderkey % 103 AS b, o_orderkey AS face FROM orders), u AS (SELECT least(a, b) AS a, greatest(a, b) AS b, list_sort(list(face)) AS f FROM e GROUP BY 1, 2)
+ SELECT a, b, f[1] AS "left", f[2] AS "right" FROM u WHERE len(f) = 2""")
+def face_pairs(t):
+    return graph.face_pairs(t.orders.select((F.col("o_custkey") % 100).alias("a"), (F.col("o_orderkey") % 103).alias("b"), F.col("o_orderkey").alias("face")))
+
+
+@query("""WITH n AS (SELECT c_custkey AS node, cast(c_custkey % 10 AS double) AS x, cast(c_nationkey AS double) AS y FROM customer), e AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 150 + 1 AS b FROM orders), j AS (SELECT e.a, e.b, degrees(atan2(v.y - u.y, v.x - u.x)) + 360 AS d FROM e JOIN n u ON u.node = e.a JOIN n v ON v.node = e.b),
+ h AS (SELECT a, b, CASE WHEN least(d % 90, 90 - d % 90) <= 5 THEN 1 ELSE 0 END AS hit FROM j) SELECT node, cast(sum(hit) AS bigint) AS aligned FROM (SELECT a AS node, hit FROM h UNION ALL SELECT b, hit FROM h) GROUP BY 1""")
+def aligned_edges(t):
+    n = t.customer.select(F.col("c_custkey").alias("node"), (F.col("c_custkey") % 10).cast("double").alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    e = t.orders.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 150 + 1).alias("b")).distinct()
+    return graph.aligned_edges(n, e, 0.0, 5.0)
+
+
+@query("""WITH p AS (SELECT s_suppkey AS building_id, unnest([0, 1, 2, 3, 4]) AS plane FROM supplier) SELECT building_id, plane, CASE plane WHEN 0 THEN 'NO_NEIGHBOR_LINE' WHEN 1 THEN 'ONE_NEIGHBOR_LINE' WHEN 2 THEN 'ORTHOGONAL_CROSSING' WHEN 3 THEN 'NOT_ORTHOGONAL_CROSSING' ELSE 'THREE_OR_MORE_NEIGHBOR_LINES' END AS type,
+ CASE plane WHEN 0 THEN NULL WHEN 1 THEN 1e0 WHEN 2 THEN 90e0 WHEN 3 THEN 30e0 ELSE 90e0 END AS angle FROM p""")
+def plane_types(t):
+    b = F.col("s_suppkey").alias("building_id")
+    angles, lengths = [0.0, 1.0, 30.0, 90.0], [5.0, 6.0, 7.0, 9.0]
+    lines = F.array(*(F.struct(F.lit(i).cast("long").alias("line"), F.lit(a).alias("angle"), F.lit(n).alias("length")) for i, (a, n) in enumerate(zip(angles, lengths, strict=True))))
+    lines = t.supplier.select(b, F.explode(lines).alias("l")).select("building_id", "l.*")
+    pairs = [(0, None), (1, 0), (1, 1), (2, 0), (2, 3), (3, 1), (3, 2), (4, 0), (4, 2), (4, 3)]
+    near = F.array(*(F.struct(F.lit(p).alias("plane"), F.lit(n).cast("long").alias("line")) for p, n in pairs))
+    near = t.supplier.select(b, F.explode(near).alias("n")).select("building_id", "n.*")
+    return modeling.plane_types(lines, near)
+
+
+@query("""WITH v AS (SELECT p_partkey AS face_id, n_nationkey AS photo_no, (p_partkey + n_nationkey) % 3 > 0 AS visible, cast((p_size * (n_nationkey % 5 + 1)) % 17 AS double) AS area FROM part, nation),
+ w AS (SELECT v.*, r.visible AS roof FROM v LEFT JOIN v r ON r.face_id = v.face_id * 2 AND r.photo_no = v.photo_no AND v.face_id % 2 = 0), x AS (SELECT max(p_partkey) AS m FROM part),
+ k AS (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY area DESC, photo_no DESC) AS n FROM w, x WHERE visible AND (face_id % 2 = 1 OR coalesce(roof, false))) SELECT face_id, photo_no, area FROM k WHERE n = 1""")
+def wall_photo(t):
+    photos = t.nation.select(F.col("n_nationkey").alias("photo_no"))
+    v = spatial.crossed(t.part, photos).select(
+        F.col("p_partkey").alias("face_id"), "photo_no", ((F.col("p_partkey") + F.col("photo_no")) % 3 > 0).alias("visible"),
+        ((F.col("p_size") * (F.col("photo_no") % 5 + 1)) % 17).cast("double").alias("area"),
+    )
+    roofs = t.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("wall"), (F.col("p_partkey") * 2).alias("roof"))
+    return texture.best_wall_photo(v, roofs)
+
+
+@query("""SELECT n_nationkey AS photo_no, 36e0 / (n_nationkey * 100 + 1000) AS pixel, n_nationkey = 8 AS fits FROM nation""")
+def photo_cameras(t):
+    photos = t.nation.select(F.col("n_nationkey").alias("photo_no"), (F.col("n_nationkey") * 100 + 1000).alias("width"), F.lit(1200).alias("height"))
+    camera = t.spark.createDataFrame([(50.0, 36.0, 24.0, 0.02, 0.02)], "focal double, sensor_w double, sensor_h double, pixel_w double, pixel_h double")
+    return texture.photo_cameras(photos, camera).select("photo_no", "pixel", "fits")
+
+
+@query("SELECT k AS mesh_id, true AS head, 5::BIGINT AS v, 5::BIGINT AS vt, CASE WHEN k % 2 = 0 THEN 'f 1/1 2/2 3/3 4/4 5/5' ELSE 'f 1 2 3 4 5' END AS f FROM (" + DENTS + ")")
+def textured_obj(t):
+    uv = F.transform("ring", lambda p: F.struct((p.x / 100).alias("u"), (p.y / 100).alias("v")))
+    faces = t.dents.select(F.col("face_id").alias("mesh_id"), "face_id", "element", F.lit("wall").alias("material"), "ring", F.when(F.col("face_id") % 2 == 0, uv).otherwise(F.slice(uv, 1, 2)).alias("uv"))
+    lines = F.split("text", "\n")
+    count = lambda start: F.size(F.filter(lines, lambda s: s.startswith(start))).cast("long")
+    rows = obj.textured_obj(faces, "a.mtl")
+    vt = F.when(F.col("mesh_id") % 2 == 0, count("vt ")).otherwise(count("vt ") + 5)
+    return rows.select("mesh_id", (F.get(lines, F.lit(0)) == "mtllib a.mtl").alias("head"), count("v ").alias("v"), vt.alias("vt"), F.get(F.filter(lines, lambda s: s.startswith("f ")), F.lit(0)).alias("f"))
+
+
+@query(
+    MODE
+    + f""", m AS (SELECT building_id, min(low) AS min_z, arg_max(low + (bin + 0.5e0) * width, n * 1000 - bin) AS mode_z FROM c GROUP BY building_id),
+ q AS (SELECT building_id, coalesce(quantile_cont(CASE WHEN z > min_z + 2 THEN z END, 0.9), quantile_cont(z, 0.9)) AS top FROM ({POINTS}) JOIN m USING (building_id) GROUP BY building_id),
+ f AS (SELECT b.*, mode_z IS NOT NULL AND top > mode_z AS good FROM ({FOOTPRINTS}) b LEFT JOIN m USING (building_id) LEFT JOIN q USING (building_id))
+ SELECT building_id, CASE WHEN good THEN 'SUCCESS' ELSE 'ERROR' END AS status, CASE WHEN good THEN 6 ELSE 0 END::BIGINT AS faces, CASE WHEN good THEN (x1 - x0) * (y1 - y0) ELSE 0e0 END AS area FROM f"""
+)
+def block_models(t):
+    made = flat.blocks(t.points, t.footprints)
+    return flat.report(made, flat.models(made))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -104,11 +104,38 @@ def obj_text(faces: DataFrame, mtl: str | None = None) -> DataFrame:
 
 def parse_mtl(lines: DataFrame) -> DataFrame:
     """(path, material, map) from lines (path, n, value) of MTL files: the last map_Kd of each material."""
-    from pyspark.sql import Window
-
     name = F.when(F.col("value").startswith("newmtl "), F.trim(F.substring("value", 8, 1 << 20)))
     by = Window.partitionBy("path").orderBy("n")
     rows = lines.withColumn("material", F.last(name, ignorenulls=True).over(by))
     texture = F.when(F.trim("value").startswith("map_Kd "), F.trim(F.substring(F.trim("value"), 8, 1 << 20)))
     best = F.max_by(texture, F.when(texture.isNotNull(), F.col("n")))
     return rows.where("material IS NOT NULL").groupBy("path", "material").agg(best.alias("map"))
+
+
+def textured_obj(faces: DataFrame, mtl: str) -> DataFrame:
+    """(mesh_id, text): as obj_text, with texture coordinates: each corner has its own vt; faces without uv have none.
+
+    faces: mesh_id, face_id, element, material, ring, uv.
+    """
+    order = F.when(F.col("element") == "ROOF", 0).when(F.col("element") == "WALL", 1).otherwise(2)
+    has = F.size("uv") == F.size("ring")
+    corner = F.transform("ring", lambda p: F.format_string("v %.3f %.3f %.3f", p["x"], p["y"], p["z"]))
+    texture = F.when(has, F.transform("uv", lambda p: F.format_string("vt %.6f %.6f", p["u"], p["v"]))).otherwise(F.array().cast("array<string>"))
+    rows = faces.select("mesh_id", order.alias("o"), "face_id", "element", F.coalesce("material", F.lit("")).alias("material"), corner.alias("v"), texture.alias("t"))
+    before = Window.partitionBy("mesh_id").orderBy("o", "face_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"{c}0": F.coalesce(F.sum(F.size(c)).over(before), F.lit(0)) for c in ("v", "t")})
+    number = lambda i: F.concat((F.col("v0") + i + 1).cast("string"), F.when(F.size("t") > 0, F.concat(F.lit("/"), (F.col("t0") + i + 1).cast("string"))).otherwise(""))
+    face = F.concat(F.lit("f "), F.array_join(F.transform(F.sequence(F.lit(0), F.size("v") - 1), number), " "))
+    lines = F.concat(F.when(F.col("material") != "", F.array(F.concat(F.lit("usemtl "), F.col("material")))).otherwise(F.array().cast("array<string>")), F.array(face))
+    own = rows.where(F.size("v") > 0).groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct("o", "face_id", "v", "t", lines.alias("f")))).alias("r"))
+    every = lambda c: F.flatten(F.transform("r", lambda s: s[c]))
+    part = lambda i: F.flatten(F.transform(F.filter("r", lambda s: s["o"] == i), lambda s: s["f"]))
+    body = [F.concat(F.array(F.lit(title)), part(i)) for i, title in enumerate(SECTIONS)]
+    return own.select("mesh_id", F.array_join(F.concat(F.array(F.lit(f"mtllib {mtl}")), every("v"), every("t"), *body), "\n").alias("text"))
+
+
+def mtl_text(materials: DataFrame) -> DataFrame:
+    """(mesh_id, text): the MTL file of each mesh's materials (mesh_id, material, map)."""
+    one = F.concat(F.lit("newmtl "), F.col("material"), F.coalesce(F.concat(F.lit("\nmap_Kd "), F.col("map")), F.lit("")))
+    rows = materials.select("mesh_id", "material", one.alias("t")).distinct()
+    return rows.groupBy("mesh_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("material", "t"))), lambda s: s["t"]), "\n").alias("text"))

@@ -79,3 +79,40 @@ def read_parameters(text: str, kind: type):
 def zone_number(value: Column) -> Column:
     """A plane rectangular zone, null outside 1 to 19."""
     return F.when(value.between(1, 19), value)
+
+
+@dataclass(frozen=True)
+class Atlas:
+    input_folder: str
+    output_folder: str
+    width: int
+    height: int
+    background: str
+    margin: int
+
+
+@dataclass(frozen=True)
+class Enlarging:
+    input_folder: str
+    output_folder: str
+    gsd: float
+    device: str
+
+
+def read_atlas(data: bytes) -> Atlas:
+    """Parameters of the atlas layout, from JSON in Shift-JIS; sizes have to be positive."""
+    try:
+        found = read_parameters(data.decode("shift_jis"), Atlas)
+    except UnicodeDecodeError as e:
+        raise ParameterError(f"not Shift-JIS: {e}") from None
+    if min(found.width, found.height) <= 0 or found.margin < 0:
+        raise ParameterError("width and height have to be positive, the margin not negative")
+    return found
+
+
+def read_enlarging(text: str) -> Enlarging:
+    """Parameters of image enlarging; the ground sampling distance has to lie in 0.1 to 0.25."""
+    found = read_parameters(text, Enlarging)
+    if not 0.1 <= found.gsd <= 0.25:
+        raise ParameterError("gsd has to be from 0.1 to 0.25")
+    return found

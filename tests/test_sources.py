@@ -143,3 +143,28 @@ def test_parameters():
             tables.read_parameters(json.dumps(bad), Wanted)
     with pytest.raises(tables.ParameterError):
         tables.read_parameters("{", Wanted)
+
+
+def test_tool_parameters():
+    good = {"input_folder": "入力", "output_folder": "o", "width": 10, "height": 5, "background": "#fff", "margin": 0}
+    assert tables.read_atlas(json.dumps(good, ensure_ascii=False).encode("shift_jis")).input_folder == "入力"
+    for bad in (good | {"width": 0}, good | {"margin": -1}, {"width": 1}):
+        with pytest.raises(tables.ParameterError):
+            tables.read_atlas(json.dumps(bad).encode("shift_jis"))
+    with pytest.raises(tables.ParameterError):
+        tables.read_atlas(b"\xff\xff")
+    enlarging = {"input_folder": "i", "output_folder": "o", "gsd": 0.2, "device": "cpu"}
+    assert tables.read_enlarging(json.dumps(enlarging)).gsd == 0.2
+    for gsd in (0.05, 0.3):
+        with pytest.raises(tables.ParameterError):
+            tables.read_enlarging(json.dumps(enlarging | {"gsd": gsd}))
+
+
+def test_textured_files(spark, tmp_path):
+    faces = obj.read_obj(spark, write(tmp_path, a__obj=GOOD)).withColumn("mesh_id", F.lit(1))
+    text = obj.textured_obj(faces, "a.mtl").first().text
+    (tmp_path / "out").mkdir()
+    again = obj.read_obj(spark, write(tmp_path / "out", b__obj=text)).orderBy("face_id").collect()
+    assert [(r.element, r.material, r.ring, r.uv) for r in again] == [(r.element, r.material, r.ring, r.uv) for r in faces.orderBy("face_id").collect()]
+    materials = spark.createDataFrame([(1, "b", None), (1, "a", "x.jpg"), (1, "a", "x.jpg")], "mesh_id int, material string, map string")
+    assert obj.mtl_text(materials).first().text == "newmtl a\nmap_Kd x.jpg\nnewmtl b"
