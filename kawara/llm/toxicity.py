@@ -2,9 +2,10 @@
 
 1. The features of all labelled training rows are written and counted by class in Spark: lower-case words and their
    first four or five letters. Features that stand out among toxic rows are dealt over VOTERS lexicons; patterns of
-   shouting, repetition, contact data and symbols vote too, and a lexicon that is silent abstains.
-2. The label model is a mixture of two classes with an accuracy for each voter and class, fitted by expectation
-   maximisation from the labels' own shares, on all training rows (as counts of equal votes). Voters that agree beyond what the class explains are correlated; each
+   shouting, repetition, contact data and symbols vote too. In a text of some length silence is a vote for clean, in
+   a short one an abstention. The training label is a voter like the others.
+2. The label model is a mixture of two classes with an accuracy for each voter and class, the label's too, fitted by
+   expectation maximisation on all training rows (as counts of equal votes), starting from the labels. Voters that agree beyond what the class explains are correlated; each
    one's evidence is divided by what it shares with the others, so that ten copies of a voter count once.
 3. A logistic regression on the selected features is trained on the model's posterior labels of a bounded sample of the
    training rows (SAMPLE rows, those of the smallest hash). Documents without a label do not vote.
@@ -39,6 +40,8 @@ PREFIXES = (4, 5)
 PURITY = 0.5
 SPACE_BITS = 31
 FOLDS = 5
+#: Features from which on a text is long enough for a silent lexicon or pattern to speak against toxicity.
+SILENT = 40
 #: Features that a task counts at a time: 4 bytes each, and as much again to sort them.
 COUNTED = 4_000_000
 
@@ -147,13 +150,16 @@ def select(rows: DataFrame, n_rows: int, n_toxic: int) -> tuple[np.ndarray, np.n
 
 
 def _voting(chosen: np.ndarray, lexicon: np.ndarray):
-    """Votes as bits (lexicons, then patterns), and the places of a row's features among the chosen ones."""
+    """Votes as bits (lexicons, patterns, whether the text is long enough for silence to be a vote), and the places of a
+    row's features among the chosen ones."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            own = [np.flatnonzero(np.isin(chosen, np.frombuffer(x, np.int32), assume_unique=True)) for x in batch.column(2).to_pylist()]
+            found = [np.frombuffer(x, np.int32) for x in batch.column(2).to_pylist()]
+            own = [np.flatnonzero(np.isin(chosen, x, assume_unique=True)) for x in found]
             bits = [int(np.bitwise_or.reduce(1 << lexicon[r], initial=0)) for r in own]
-            votes = [b | p << VOTERS for b, p in zip(bits, batch.column(3).to_pylist(), strict=True)]
+            long = [int(len(x) >= SILENT) << VOTERS + len(_PATTERNS) for x in found]
+            votes = [b | p << VOTERS | s for b, p, s in zip(bits, batch.column(3).to_pylist(), long, strict=True)]
             return {"doc_id": batch.column(0), "toxic": batch.column(1), "votes": votes, "own": [r.astype(np.int32).tobytes() for r in own]}
 
         return step
@@ -161,24 +167,32 @@ def _voting(chosen: np.ndarray, lexicon: np.ndarray):
     return make
 
 
-def label_model(votes: np.ndarray, y: np.ndarray, times: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Posterior of class 1 for each row of a 0 / 1 vote matrix (0: abstains) that stands for so many equal ones."""
+def label_model(votes: np.ndarray, long: np.ndarray, y: np.ndarray, times: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Posterior of class 1 for each row of a 0 / 1 vote matrix that stands for so many equal ones.
+
+    A 1 is a vote for class 1. A 0 is a vote for class 0 in a long text, and an abstention in a short one. The training
+    label is one voter among the others: how far it can be trusted is estimated like theirs.
+    """
     prior = float(np.clip(np.average(y, weights=times), 0.01, 0.99))
+    votes = np.column_stack([votes, y == 1]).astype(float)
+    cast = np.maximum(votes, np.column_stack([np.repeat(long[:, None], votes.shape[1] - 1, 1), np.ones(len(y))]))
     post = np.where(y == 1, 0.9, 0.1 * prior)
     share = np.ones(votes.shape[1])
     for k in range(rounds):
-        rate = [((w[:, None] * votes).sum(0) + 1) / (w.sum() + 20) for w in (times * post, times * (1 - post))]
+        # of the votes that are cast, the share for class 1, in either class
+        rate = [((w[:, None] * votes).sum(0) + 1) / ((w[:, None] * cast).sum(0) + 20) for w in (times * post, times * (1 - post))]
         if k == rounds // 2:
             # what is left of each pair's covariance once the class is known
-            left = votes - (post[:, None] * rate[0] + (1 - post)[:, None] * rate[1])
+            left = cast * (votes - (post[:, None] * rate[0] + (1 - post)[:, None] * rate[1]))
             scale = np.sqrt(np.average(left**2, axis=0, weights=times)) + 1e-9
             together = np.clip((left.T @ (times[:, None] * left)) / times.sum() / scale[:, None] / scale, 0, 1)
             np.fill_diagonal(together, 1)
+            # the label is given by a reader, not by any of the lists: it is no copy of one
+            together[-1, :-1] = together[:-1, -1] = 0
             share = 1 / np.where(together > 0.1, together, 0).sum(0)
-        weigh = lambda r: votes @ (share * np.log(r)) + (1 - votes) @ (share * np.log1p(-r))  # noqa: B023, E731
+        weigh = lambda r: votes @ (share * np.log(r)) + (cast - votes) @ (share * np.log1p(-r))  # noqa: B023, E731
         gap = weigh(rate[0]) - weigh(rate[1]) + np.log(prior / (1 - prior))
-        # a training row's own label is one more voter, of accuracy 0.95
-        post = 1 / (1 + np.exp(-np.clip(gap + np.where(y == 1, 1, -1) * np.log(19.0), -30, 30)))
+        post = 1 / (1 + np.exp(-np.clip(gap, -30, 30)))
     return post
 
 
@@ -213,7 +227,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     voted = written(map_rows(rows, "doc_id long, toxic int, votes long, own binary", _voting(chosen, lexicon)), "voted")
     equal = voted.groupBy("votes", "toxic").count().orderBy("votes", "toxic").toArrow()
     bits, y, times = (equal.column(c).to_numpy() for c in ("votes", "toxic", "count"))
-    post = label_model((bits[:, None] >> np.arange(VOTERS + len(_PATTERNS)) & 1).astype(np.float64), y, times.astype(np.float64))
+    voters = VOTERS + len(_PATTERNS)
+    post = label_model(bits[:, None] >> np.arange(voters) & 1, bits >> voters & 1, y, times.astype(np.float64))
     found = voted.orderBy(F.xxhash64("doc_id"), "doc_id", "votes", "own").limit(SAMPLE).toArrow()  # SAMPLE rows
     # votes and toxic in one number, in the order of equal
     at = np.searchsorted(bits * 2 + y, found.column("votes").to_numpy() * 2 + found.column("toxic").to_numpy())
