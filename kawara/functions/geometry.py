@@ -358,8 +358,11 @@ def mesh_quadrant(lat: Column, lon: Column) -> Column:
 
 def element_type(ring: Column, tolerance: float = 2.0) -> Column:
     """GROUND, WALL or ROOF from a face's angle to straight down."""
-    tilt = angle(normal(ring), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(-1.0).alias("z")))
-    return F.when(tilt < tolerance, "GROUND").when(90 - tilt < tolerance, "WALL").otherwise("ROOF")
+    down = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(-1.0).alias("z"))
+    # each value is bound once, so that the expression does not grow with its uses
+    tilt = F.transform(F.array(normal(ring)), lambda n: angle(n, down))
+    kind = F.transform(tilt, lambda t: F.when(t < tolerance, "GROUND").when(90 - t < tolerance, "WALL").otherwise("ROOF"))
+    return F.get(kind, F.lit(0))
 
 
 def uv_box(us: Column, vs: Column, width: Column, height: Column, margin: Column) -> Column:

@@ -102,3 +102,48 @@ def verticality(neighbours: DataFrame) -> DataFrame:
             })
 
     return rows.mapInPandas(run, "id long, planarity double, linearity double, verticality double")
+
+
+def simplified(faces: DataFrame, least: float = 1e-4) -> DataFrame:
+    """faces (mesh_id, face_id, ring of x, y) without the corners at which a ring runs straight on."""
+
+    def run(batches):
+        for rows in batches:
+            rings = [[{"x": x, "y": y} for x, y in kernels.simplified([(p["x"], p["y"]) for p in ring], least)] for ring in rows.ring]
+            yield pd.DataFrame({"mesh_id": rows.mesh_id, "face_id": rows.face_id, "ring": rings})
+
+    ring = F.transform("ring", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return faces.select("mesh_id", "face_id", ring.alias("ring")).mapInPandas(run, "mesh_id long, face_id long, ring array<struct<x:double,y:double>>")
+
+
+def roofs_triangulated(faces: DataFrame) -> DataFrame:
+    """(mesh_id, face_id, a, b, c) corner indexes of rings in space, so that the triangles bend least."""
+
+    def run(batches):
+        for rows in batches:
+            out = [
+                (m, f, *t)
+                for m, f, ring in zip(rows.mesh_id, rows.face_id, rows.ring, strict=True)
+                for t in kernels.triangulated_3d([(p["x"], p["y"], p["z"]) for p in ring])
+            ]
+            yield pd.DataFrame(out, columns=["mesh_id", "face_id", "a", "b", "c"])
+
+    return faces.select("mesh_id", "face_id", "ring").mapInPandas(run, "mesh_id long, face_id long, a int, b int, c int")
+
+
+def plane_faces(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(building_id, face, outer, corners): the faces of each building's plane graph; the outer one has the largest area
+    and runs clockwise. nodes: building_id, node, x, y; edges: building_id, a, b."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("node").reset_index(drop=True)
+        place = {n: i for i, n in enumerate(left.node)}
+        points = list(zip(left.x, left.y, strict=True))
+        rings = kernels.planar_faces(points, [(place[a], place[b]) for a, b in zip(right.a, right.b, strict=True)])
+        size = [kernels.signed_area(np.array([points[i] for i in r])) for r in rings]
+        rows = [(left.building_id[0], k, size[k] < 0, [int(left.node[i]) for i in r]) for k, r in enumerate(rings)]
+        return pd.DataFrame(rows, columns=["building_id", "face", "outer", "corners"])
+
+    kept = nodes.select("building_id", "node", "x", "y").groupBy("building_id")
+    pairs = kept.cogroup(edges.select(*(F.col(c).alias(c) for c in ("building_id", "a", "b"))).groupBy("building_id"))
+    return pairs.applyInPandas(run, "building_id long, face int, outer boolean, corners array<long>")

@@ -290,3 +290,26 @@ def extruded(blocks: DataFrame) -> DataFrame:
     every = F.concat(F.array(roof), wall, F.array(ground))
     faces = rows.select(F.col("building_id").alias("mesh_id"), F.posexplode(every).alias("face_id", "f"))
     return faces.select("mesh_id", F.col("face_id").cast("long").alias("face_id"), "f.element", "f.ring")
+
+
+def corners_on_edges(vertices: DataFrame, edges: DataFrame, error: float = 1e-3) -> DataFrame:
+    """(mesh_id, edge, vertex): the first vertex that lies on each edge: its distances to the edge's ends exceed the
+    edge's length by less than error. vertices: mesh_id, vertex, x, y, z; edges: mesh_id, edge, a, b (vertices)."""
+    end = lambda e: vertices.select("mesh_id", F.col("vertex").alias(e), *(F.col(k).alias(f"{e}{k}") for k in "xyz"))
+    rows = edges.join(end("a"), ["mesh_id", "a"]).join(end("b"), ["mesh_id", "b"])
+    pairs = rows.join(vertices, "mesh_id").where("vertex <> a AND vertex <> b")
+    away = lambda p, q: F.sqrt(sum(((F.col(f"{p}{k}") - F.col(f"{q}{k}")) ** 2 for k in "yz"), (F.col(f"{p}x") - F.col(f"{q}x")) ** 2))
+    return pairs.where(away("a", "") + away("b", "") - away("a", "b") < error).groupBy("mesh_id", "edge").agg(F.min("vertex").alias("vertex"))
+
+
+def missing_vertices(edges: DataFrame, points: DataFrame, size: float, most: float = 0.1, keys: tuple[str, ...] = ("building_id",)) -> DataFrame:
+    """(keys, edge, point, t, x, y): the points that an edge passes within `most`, not at its ends, with the place along it
+    (four decimals) where they belong. edges: keys, edge, ax, ay, bx, by; points: keys, point, x, y. Edges are dealt over
+    the cells of their boxes."""
+    box = [F.least(f"a{k}", f"b{k}") - most for k in "xy"] + [F.greatest(f"a{k}", f"b{k}") + most for k in "xy"]
+    dealt = edges.withColumn("c", F.explode(spatial.box_cells(*box, size))).select(*edges.columns, "c.cx", "c.cy")
+    rows = dealt.join(spatial.with_cell(points, size), [*keys, "cx", "cy"])
+    u = g.point(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    foot = g.truncated_foot(g.point(F.col("x"), F.col("y")), g.point(F.col("ax"), F.col("ay")), u)
+    rows = rows.withColumn("foot", foot).where("foot.t > 0 AND foot.t < 1").where(F.col("foot.distance") < most)
+    return rows.select(*keys, "edge", "point", "foot.t", "foot.x", "foot.y")

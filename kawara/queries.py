@@ -965,3 +965,135 @@ def textured_obj(t):
 def block_models(t):
     made = flat.blocks(t.points, t.footprints)
     return flat.report(made, flat.models(made))
+
+
+@query("""WITH v AS (""" + VECTORS + """), w AS (SELECT *, ax*by_-ay*bx AS d FROM v), c AS (SELECT *, (2*by_+3*bx) / nullif(d,0) AS s, (2*ay+3*ax) / nullif(d,0) AS t FROM w)
+ SELECT id, ax >= 0 AND ay >= 0 AND ax * 10 + ay * 30 <= 300 AS in_triangle, d > 0 AS ccw, coalesce(s BETWEEN -0.000001e0 AND 1.000001e0 AND t BETWEEN -0.000001e0 AND 1.000001e0, false) AS meet,
+ round(acos(greatest(-1, least(1, (ax*bx+ay*by_+az*bz) / (sqrt(ax*ax+ay*ay+az*az) * sqrt(bx*bx+by_*by_+bz*bz))))), 6) AS corner, abs(ax-bx) < 5 AND abs(ay-by_) < 5 AND abs(az-bz) < 5 AS same, id % 2 = 1 AS against FROM c""")
+def plane_predicates(t):
+    a, b, k = F.col("a"), F.col("b"), F.col("id")
+    xy = lambda x, y: g.point(F.lit(float(x)), F.lit(float(y)))
+    zero = g.point(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    far, near = F.when(k % 2 == 1, 0.75).otherwise(0.25), F.when(k % 2 == 1, 0.25).otherwise(0.75)
+    on = lambda s: g.point(a.x * s, a.y * s, a.z * s)
+    return t.vectors.select(
+        "id", g.in_triangle(a, xy(0, 0), xy(30, 0), xy(0, 10)).alias("in_triangle"), g.is_ccw(xy(0, 0), a, b).alias("ccw"),
+        g.segments_meet(xy(0, 0), a, xy(2, -3), g.point(F.lit(2.0) + b.x, F.lit(-3.0) + b.y)).alias("meet"),
+        r6(g.interior_angle(a, zero, b)).alias("corner"), g.same_point(a, b, 5.0).alias("same"), g.opposite_collinear(zero, a, on(far), on(near)).alias("against"),
+    )
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_size, p_partkey % 4 AS k FROM part) SELECT id, CASE k WHEN 0 THEN 'GROUND' WHEN 1 THEN 'ROOF' ELSE 'WALL' END AS element, floor(id * 37 / 3600)::BIGINT || 'h ' || (floor(id * 37 / 60)::BIGINT % 60) || 'm ' || (id * 37 % 60) || 's' AS took,
+ cast(greatest(0, floor(id % 17 / 32e0 * 100) - 3) AS int) AS u0, cast(least(100, ceil((id % 17 / 32e0 + 0.5e0) * 100) + 3) AS int) AS u1, 10 + p_size * 0.5e0 AS gx, 90 - k * 0.5e0 AS gy, cast(greatest(round_even(p_size / 4e0, 0), 2) AS int) AS samples, p_size * 1e0 AS last FROM p""")
+def faces_and_pixels(t):
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    rise = F.when(k % 4 == 0, 0.01).when(k % 4 == 1, 1.0).otherwise(100.0)
+    ring = F.array(*(g.point(F.lit(x), F.lit(y), z) for x, y, z in ((0.0, 0.0, F.lit(0.0)), (1.0, 0.0, rise), (1.0, 1.0, rise), (0.0, 1.0, F.lit(0.0)))))
+    ring = F.when(k % 4 == 3, F.reverse(F.transform(ring, lambda p: g.point(p.x, p.y, F.lit(0.0))))).otherwise(ring)
+    us, vs = F.array((k % 17) / 32, (k % 17) / 32 + 0.5), F.array(F.lit(0.25), F.lit(0.5))
+    box = g.uv_box(us, vs, F.lit(100), F.lit(100), F.lit(3))
+    geo = g.to_geo(F.col("p_size"), k % 4, F.lit(10.0), F.lit(90.0), 0.5)
+    along = g.samples(g.point(F.lit(0.0), F.lit(0.0)), g.point(size, F.lit(0.0)), 4.0)
+    rows = t.part.select("p_partkey", "p_size", ring.alias("ring"))
+    return rows.select(
+        k.alias("id"), g.element_type(F.col("ring")).alias("element"), g.elapsed(k * 37).alias("took"), box["x0"].cast("int").alias("u0"), box["x1"].cast("int").alias("u1"),
+        geo.x.alias("gx"), geo.y.alias("gy"), F.size(along).alias("samples"), F.element_at(along, -1).x.alias("last"),
+    )
+
+
+@query("SELECT k AS face_id, CASE WHEN y = h THEN 4 ELSE 5 END AS corners, w * h - w * (h - y) / 2 AS area FROM (" + DENTS + ")")
+def simplified_rings(t):
+    rows = grouped.simplified(t.dents)
+    return rows.select("face_id", F.size("ring").alias("corners"), g.area(F.col("ring")).alias("area"))
+
+
+@query("SELECT p_partkey AS face_id, 4::BIGINT AS n, 2::BIGINT AS ridge, round(2 * p_size * sqrt(1 + pow(p_partkey % 5 + 1, 2)), 6) AS area FROM part")
+def roof_triangles(t):
+    w, h = F.col("p_size").cast("double"), (F.col("p_partkey") % 5 + 1).cast("double")
+    ring = ring_of((0, 0, 0), (w, 0, 0), (w, 1, h), (w, 2, 0), (0, 2, 0), (0, 1, h))
+    faces = t.part.select(F.lit(1).cast("long").alias("mesh_id"), F.col("p_partkey").alias("face_id"), ring.alias("ring"))
+    rows = grouped.roofs_triangulated(faces).join(faces.select("face_id", "ring"), "face_id")
+    p = [F.get("ring", F.col(c)) for c in "abc"]
+    size = g.length(g.cross(g.minus(p[1], p[0]), g.minus(p[2], p[0]))) / 2
+    ridge = sum((F.col(c).isin(2, 5).cast("int") for c in "bc"), F.col("a").isin(2, 5).cast("int")) == 2
+    return rows.groupBy("face_id").agg(F.count("*").alias("n"), F.count_if(ridge).alias("ridge"), r6(F.sum(size)).alias("area"))
+
+
+@query("SELECT s_suppkey AS building_id, s_suppkey % 4 + 3 AS faces, 1 AS outer, 2 * (s_suppkey % 4 + 3) AS outer_corners FROM supplier")
+def plane_faces(t):
+    b = F.col("s_suppkey")
+    # a ladder
+    rungs = t.supplier.select(b.alias("building_id"), (b % 4 + 3).alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), b % 4 + 2)).alias("i"))
+    nodes = rungs.select("building_id", F.explode(F.array(*(F.struct((F.col("i") * 2 + j).alias("node"), F.col("i").cast("double").alias("x"), F.lit(float(j)).alias("y")) for j in (0, 1)))).alias("p")).select("building_id", "p.*")
+    links = [(F.col("i") * 2, F.col("i") * 2 + 1, F.lit(True)), *((F.col("i") * 2 + j, F.col("i") * 2 + 2 + j, F.col("i") < F.col("n") - 1) for j in (0, 1))]
+    edges = rungs.select("building_id", F.explode(F.filter(F.array(*(F.struct(a.alias("a"), c.alias("b"), k.alias("k")) for a, c, k in links)), lambda e: e["k"])).alias("e")).select("building_id", "e.a", "e.b")
+    rows = grouped.plane_faces(nodes, edges)
+    return rows.groupBy("building_id").agg(F.count("*").alias("faces"), F.count_if("outer").alias("outer"), F.max(F.when(F.col("outer"), F.size("corners"))).alias("outer_corners"))
+
+
+@query(f"SELECT building_id, unnest([1, 2, 3, 4]) AS wall, 0 AS roof FROM ({FOOTPRINTS})")
+def roof_of_wall(t):
+    faces = modeling.extruded(t.rings.select("building_id", "ring", F.lit(1.0).alias("bottom"), F.lit(6.0).alias("top")))
+    corners = faces.select((F.col("mesh_id") * 10 + F.col("face_id")).alias("face_id"), "element", F.explode("ring").alias("p")).select("face_id", "element", "p.*")
+    rows = texture.roof_of_wall(corners)
+    return rows.select(F.floor(F.col("wall") / 10).alias("building_id"), (F.col("wall") % 10).alias("wall"), (F.col("roof") % 10).alias("roof"))
+
+
+@query(f"SELECT 'b' || building_id || '_' || n AS gml_id, CASE n WHEN 0 THEN 'ROOF' WHEN 5 THEN 'GROUND' ELSE 'WALL' END AS element, 1 AS closed FROM (SELECT building_id, unnest([0, 1, 2, 3, 4, 5]) AS n FROM ({FOOTPRINTS}))")
+def numbered_faces(t):
+    faces = modeling.extruded(t.rings.select("building_id", "ring", F.lit(1.0).alias("bottom"), F.lit(6.0).alias("top")))
+    rows = faces.select(F.concat(F.lit("b"), "mesh_id").alias("build_id"), (-F.col("face_id")).alias("face_no"), "element", F.transform("ring", lambda p: F.struct(p.x.alias("lat"), p.y.alias("lon"), p.z.alias("h"))).alias("ring"))
+    text = F.split(citygml.ring_text(F.col("ring")), " ")
+    closed = (F.slice(text, 1, 3) == F.slice(text, -3, 3)).cast("int")
+    return citygml.numbered(rows).select("gml_id", "element", closed.alias("closed"))
+
+
+@query("""SELECT s_suppkey AS id, round(1 - 1 / sqrt(1 + pow(s_suppkey % 5, 2)), 6) AS verticality, round(0e0, 6) AS rest FROM supplier""")
+def verticality(t):
+    k = (F.col("s_suppkey") % 5).cast("double")
+    grid = F.flatten(F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda i: F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda j: F.struct(i.cast("double").alias("nx"), j.cast("double").alias("ny")))))
+    rows = t.supplier.select(F.col("s_suppkey").alias("id"), k.alias("k"), F.explode(grid).alias("p")).select("id", "p.nx", "p.ny", (F.col("p.nx") * F.col("k")).alias("nz"))
+    out = grouped.verticality(rows)
+    return out.select("id", r6(F.col("verticality")).alias("verticality"), r6(1 - F.col("planarity") - F.col("linearity")).alias("rest"))
+
+
+@query("""WITH p AS (SELECT p_partkey % 37 AS polygon_id, p_size > 20 + p_partkey % 11 AS b FROM part) SELECT polygon_id, avg(CASE WHEN b THEN 1 ELSE 0 END) >= 0.5 AS balcony FROM p GROUP BY 1""")
+def balconies(t):
+    k = F.col("p_partkey")
+    return texture.balconies(t.part.select((k % 37).alias("polygon_id"), (F.col("p_size") > 20 + k % 11).alias("is_balcony")))
+
+
+@query("""WITH e AS (SELECT event_id % 50 AS cluster, (event_id % 200) * 0.1e0 AS x, value % 20 AS y FROM events), s AS (SELECT (s_suppkey % 20) * 1.0e0 AS sx, (s_suppkey * 7 % 20) * 1.0e0 AS sy FROM supplier)
+ SELECT DISTINCT cluster FROM e JOIN s ON sqrt(pow(x-sx,2)+pow(y-sy,2)) <= 0.25""")
+def clusters_near(t):
+    e = t.events.select((F.col("event_id") % 50).alias("cluster"), ((F.col("event_id") % 200) * F.lit(0.1)).alias("x"), (F.col("value") % 20).alias("y"))
+    s = t.supplier.select(((F.col("s_suppkey") % 20) * F.lit(1.0)).alias("x"), ((F.col("s_suppkey") * 7 % 20) * F.lit(1.0)).alias("y"))
+    return spatial.has_neighbor(e, s, 0.25, "cluster")
+
+
+@query("""WITH e AS (SELECT event_id, user_id % 3 AS k, (event_id % 200) * 0.5e0 AS x, value AS y FROM events WHERE event_id % 10 = 0), s AS (SELECT s_suppkey AS sample_id, s_suppkey % 3 AS k, (s_suppkey % 20) * 5.0e0 AS sx, (s_suppkey * 7 % 20) * 20.0e0 AS sy FROM supplier),
+ r AS (SELECT event_id, sample_id, sqrt(pow(x-sx,2)+pow(y-sy,2)) AS d FROM e JOIN s USING (k)) SELECT event_id, round(min(d), 6) AS distance FROM r GROUP BY 1""")
+def nearest_roof_label(t):
+    e = t.events.where("event_id % 10 = 0").select("event_id", (F.col("user_id") % 3).alias("k"), ((F.col("event_id") % 200) * F.lit(0.5)).alias("x"), F.col("value").alias("y"))
+    s = t.supplier.select(F.col("s_suppkey").alias("sample_id"), (F.col("s_suppkey") % 3).alias("k"), ((F.col("s_suppkey") % 20) * F.lit(5.0)).alias("x"), ((F.col("s_suppkey") * 7 % 20) * F.lit(20.0)).alias("y"))
+    return spatial.nearest(e, s, "event_id", "sample_id", 160.0, ("k",)).select("event_id", r6(F.col("distance")).alias("distance"))
+
+
+@query("SELECT p_partkey AS mesh_id, 7::BIGINT AS edge, cast(CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 4 END AS bigint) AS vertex FROM part WHERE p_partkey % 3 < 2")
+def corners_on_edges(t):
+    k = F.col("p_partkey")
+    z = lambda n: F.when(k % 3 <= n, 0.0).otherwise(1.0)
+    points = [(1, 0.0, F.lit(0.0)), (2, 10.0, F.lit(0.0)), (3, 4.0, z(0)), (4, 6.0, z(1)), (5, 12.0, F.lit(0.0))]
+    v = F.array(*(F.struct(F.lit(n).cast("long").alias("vertex"), F.lit(x).alias("x"), F.lit(0.0).alias("y"), h.alias("z")) for n, x, h in points))
+    v = t.part.select(k.alias("mesh_id"), F.explode(v).alias("v")).select("mesh_id", "v.*")
+    e = t.part.select(k.alias("mesh_id"), F.lit(7).cast("long").alias("edge"), F.lit(1).cast("long").alias("a"), F.lit(2).cast("long").alias("b"))
+    return modeling.corners_on_edges(v, e)
+
+
+@query("""SELECT s_suppkey AS building_id, cast(e AS bigint) AS edge, cast(p AS bigint) AS point, t, s_suppkey + t * 10 AS x FROM (SELECT s_suppkey, 0 AS e, unnest([1, 2]) AS p, unnest([0.3333e0, 0.5e0]) AS t FROM supplier)""")
+def missing_vertices(t):
+    b = F.col("s_suppkey").alias("building_id")
+    own = lambda rows, names: F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, r, strict=True))) for r in rows))
+    e = t.supplier.select(b, F.explode(own([(0, 0.0, 1.0, 10.0, 1.0), (1, 0.0, 30.0, 10.0, 30.0)], ["edge", "ax", "ay", "bx", "by"])).alias("e")).select("building_id", F.col("e.edge").cast("long").alias("edge"), *((F.col(f"e.{c}") + F.when(F.lit(c[1] == "x"), F.col("building_id")).otherwise(0)).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")))
+    p = t.supplier.select(b, F.explode(own([(1, 3.33333, 1.05), (2, 5.0, 0.95), (3, 7.0, 1.2), (4, 0.0, 1.0), (5, 11.0, 1.0)], ["point", "x", "y"])).alias("p")).select("building_id", F.col("p.point").cast("long").alias("point"), (F.col("p.x") + F.col("building_id")).alias("x"), "p.y")
+    return modeling.missing_vertices(e, p, 4.0).select("building_id", "edge", "point", "t", "x")
