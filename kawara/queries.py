@@ -710,13 +710,13 @@ def ground_clusters(t):
 
 @query("""WITH c AS (SELECT user_id AS building_id, event_id AS cluster, cast(floor(value) AS bigint) % 9 AS n, value AS height FROM events)
  SELECT building_id, cluster, cast(row_number() OVER (PARTITION BY building_id ORDER BY n DESC, cluster) - 1 AS int) AS by_size, cast(row_number() OVER (PARTITION BY building_id ORDER BY height DESC, cluster DESC) - 1 AS int) AS by_height,
- cast(row_number() OVER (PARTITION BY building_id ORDER BY n, cluster % 5 DESC, height DESC) - 1 AS int) AS insertion, cast(row_number() OVER (PARTITION BY building_id ORDER BY n, cluster) - 1 AS int) AS by_mesh FROM c""")
+ cast(row_number() OVER (PARTITION BY building_id ORDER BY n, cluster % 5 DESC, cluster DESC) - 1 AS int) AS insertion, cast(row_number() OVER (PARTITION BY building_id ORDER BY n, cluster) - 1 AS int) AS by_mesh FROM c""")
 def orderings(t):
     c = t.events.select(F.col("user_id").alias("building_id"), F.col("event_id").alias("cluster"), (F.floor("value") % 9).alias("n"), F.col("value").alias("height"))
     keys = ["building_id", "cluster"]
     size = modeling.clusters_by_size(c).select(*keys, F.col("rank").alias("by_size"))
     high = modeling.planes_by_height(c.withColumnRenamed("cluster", "plane")).select("building_id", F.col("plane").alias("cluster"), F.col("rank").alias("by_height"))
-    put = c.select(*keys, F.col("n").alias("roof"), (F.col("cluster") % 5).alias("place"), F.col("height").alias("t"))
+    put = c.select(*keys, F.col("n").alias("roof"), (F.col("cluster") % 5).alias("place"), F.col("cluster").alias("t"))
     put = modeling.insertions(put).select(*keys, F.col("rank").alias("insertion"))
     code = c.select(F.col("building_id").alias("file"), F.col("cluster").alias("seq"), F.col("n").alias("code"))
     code = modeling.by_mesh(code).select(F.col("file").alias("building_id"), F.col("seq").alias("cluster"), F.col("rank").alias("by_mesh"))
