@@ -41,7 +41,7 @@ K = BANDS * ROWS
 #: Pairs whose signatures agree on less than this share are not verified in the second pass: four standard errors
 #: of the estimate below THRESHOLD.
 LEAST_AGREEMENT = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5
-BLOCK = 4096
+BLOCK = 512
 #: Pairs of one document that are verified side by side.
 HOT = 256
 
