@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kawara.functions import geometry as g
-from kawara.operators import spatial
+from kawara.operators import kernels, spatial
 
 
 def _shared(df: DataFrame) -> str:
@@ -61,27 +63,11 @@ def radius_components(points: DataFrame, radius: float) -> DataFrame:
     return connected(points, pairs.select(F.col("id").alias("a"), F.col("other").alias("b")))
 
 
-def _gap(axes: str, left: str = "", right: str = "o_") -> Column:
-    return F.sqrt(sum(((F.col(f"{left}{k}") - F.col(f"{right}{k}")) ** 2 for k in axes[1:]), (F.col(f"{left}{axes[0]}") - F.col(f"{right}{axes[0]}")) ** 2))
-
-
-def _offsets(axes: str, reach: int) -> Column:
-    """All steps of at most reach cells along each axis."""
-    out = [()]
-    for _ in axes:
-        out = [(*o, d) for o in out for d in range(-reach, reach + 1)]
-    # cells whose corners are further apart than their own diagonal have nothing in reach
-    near = [o for o in out if sum(max(0, abs(d) - 1) ** 2 for d in o) < len(axes) + 1e-9]
-    return F.array(*(F.struct(*(F.lit(d).cast("long").alias(f"d{k}") for k, d in zip(axes, o, strict=True))) for o in near))
-
-
-def _neighbours(left: DataFrame, right: DataFrame, axes: str) -> DataFrame:
-    """Rows of left with those of right (columns o_...) in cells (cx, cy, ...) that a distance of eps can reach."""
-    cells = [f"c{k}" for k in axes]
-    near = left.withColumn("o", F.explode(_offsets(axes, math.isqrt(len(axes)) + 1)))
-    near = near.select(*left.columns, *((F.col(c) + F.col(f"o.d{k}")).alias(f"o_{c}") for c, k in zip(cells, axes, strict=True)))
-    other = right.select(*(F.col(c).alias(f"o_{c}") for c in right.columns))
-    return near.join(other, [f"o_{c}" for c in cells])
+#: Side of a tile in eps: how many of its points are copied beside it, and how many meet in memory.
+TILE = 64
+#: Rows that a task clusters at once; a larger tile is one such block.
+BLOCK = 200_000
+CLUSTERED = "id long, label long, core boolean, own boolean, shared boolean"
 
 
 def dbscan(points: DataFrame, eps: float, least: int, smallest: int = 1, axes: str = "xy") -> DataFrame:
@@ -90,57 +76,54 @@ def dbscan(points: DataFrame, eps: float, least: int, smallest: int = 1, axes: s
     A point with at least `least` points in eps, itself included, is a core. Cores in reach of each other share a
     cluster, named by its smallest core; a border point takes the smallest cluster in reach.
 
-    Cells have a diagonal of eps, so the points of one are in reach of each other: a cell with `least` points holds
-    only cores, of one cluster, and none of its pairs is ever made. Points of other cells, fewer than `least` in each,
-    look into the cells around. Whether two full cells meet is told by one point of each of their sixteenths; only
-    where those are too far apart and the sixteenths' boxes are not, their points are compared.
+    Points are shuffled once, by tiles of TILE eps, with copies of those within 2 eps of a tile: what a tile says of its
+    own points and of those in reach of them is then whole. Tiles are clustered alone (kernels.tiles_clustered); clusters
+    that share a core are joined over cores at the tiles' sides only. A tile meets in one task.
     """
-    cells = [f"c{k}" for k in axes]
-    side = eps / math.sqrt(len(axes))
-    rows = points.select("id", *(F.col(k).cast("double").alias(k) for k in axes))
+    size, halo = TILE * eps, 2.001 * eps
+    rows = points.select(F.col("id").cast("long"), *(F.col(k).cast("double").alias(k) for k in axes))
+    rows = rows.where(" AND ".join(f"abs({k}) < double('infinity')" for k in axes))
     for k in axes:
-        rows = rows.withColumn(f"c{k}", spatial.cell(F.col(k), side))
-    counts = rows.groupBy(*cells).agg(F.count("*").alias("n"), F.min("id").alias("top"))
-    rows = _cut(rows.join(counts, cells))
-    dense, sparse = rows.where(F.col("n") >= least), rows.where(F.col("n") < least)
-    pairs = _neighbours(sparse.drop("n", "top"), rows.drop("n", "top"), axes).where(_gap(axes) <= eps)
-    pairs = _cut(pairs.select("id", F.col("o_id").alias("other")))
-    single = _cut(pairs.groupBy("id").count().where(F.col("count") >= least).select("id"))
-    core = _cut(single.select("id", F.col("id").alias("top")).unionByName(dense.select("id", "top")))
-
-    top = core.withColumnsRenamed({"id": "other", "top": "b"})
-    links = pairs.join(single, "id").join(top, "other").select(F.col("id").alias("a"), "b")
-    links = links.unionByName(_full_cells(dense, eps, side, axes))
-    nodes = core.select(F.col("top").alias("id")).distinct()
-    labels = connected(nodes, links.where("a <> b"))
-    found = core.join(labels.withColumnRenamed("id", "top"), "top").select("id", F.col("comp").alias("cluster"))
-    # the smallest core of a cluster names it, whichever node stood for its cell
-    reach = pairs.join(found.withColumnsRenamed({"id": "other", "cluster": "reach"}), "other").groupBy("id").agg(F.min("reach").alias("reach"))
-    border = reach.join(single, "id", "left_anti").select("id", F.col("reach").alias("cluster"))
-    found = found.unionByName(border)
+        low, high = spatial.cell(F.col(k) - halo, size), spatial.cell(F.col(k) + halo, size)
+        rows = rows.withColumn(f"t{k}", F.explode(F.sequence(low, high)))
+    tile = [f"t{k}" for k in axes]
+    rows = rows.repartition(*tile).sortWithinPartitions(*tile)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, tile):
+            at = np.column_stack([block.column(t).to_numpy() for t in tile])
+            p = np.column_stack([block.column(k).to_numpy() for k in axes])
+            found = kernels.tiles_clustered(block.column("id").to_numpy(), p, at, size, halo, eps, least)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["id", "label", "core", "own", "shared"])
+
+    seen = _cut(rows.mapInArrow(run, CLUSTERED))
+    links = seen.where("core AND shared").select(F.col("id").alias("a"), F.col("label").alias("b"))
+    nodes = links.select(F.col("a").alias("id")).unionByName(seen.select(F.col("label").alias("id")))
+    labels = connected(nodes, links).withColumnRenamed("id", "label")
+    found = seen.where("own").join(labels, "label").groupBy("id").agg(F.min("comp").alias("cluster"))
+    found = _cut(found)
     big = found.groupBy("cluster").count().where(F.col("count") >= smallest).select("cluster")
     return found.join(big, "cluster").select("id", "cluster")
 
 
-def _full_cells(dense: DataFrame, eps: float, side: float, axes: str) -> DataFrame:
-    """Links (a, b) between the tops of full cells that have a pair of points in reach."""
-    cells, parts = [f"c{k}" for k in axes], [f"s{k}" for k in axes]
-    rows = dense
-    for k in axes:
-        rows = rows.withColumn(f"s{k}", spatial.cell(F.col(k), side / 4))
-    box = [f(k).alias(f"{n}{k}") for k in axes for n, f in (("low_", F.min), ("high_", F.max))]
-    first = [F.min_by(k, "id").alias(k) for k in axes]
-    pieces = rows.groupBy(*cells, *parts, "top").agg(*first, *box)
-    met = _neighbours(pieces, pieces, axes).where("top < o_top")
-    apart = [F.greatest(F.lit(0.0), F.col(f"low_{k}") - F.col(f"o_high_{k}"), F.col(f"o_low_{k}") - F.col(f"high_{k}")) for k in axes]
-    met = met.where(F.sqrt(sum((d * d for d in apart[1:]), apart[0] * apart[0])) <= eps).withColumn("sure", _gap(axes) <= eps)
-    met = _cut(met.select("top", "o_top", *parts, *(f"o_{p}" for p in parts), "sure"))
-    sure = _cut(met.where("sure").select(F.col("top").alias("a"), F.col("o_top").alias("b")).distinct())
-    open_ = met.join(sure.withColumnsRenamed({"a": "top", "b": "o_top"}), ["top", "o_top"], "left_anti").drop("sure")
-    own = rows.select("top", *parts, *axes)
-    other = own.select(*(F.col(c).alias(f"o_{c}") for c in own.columns))
-    close = open_.join(own, ["top", *parts]).join(other, ["o_top", *(f"o_{p}" for p in parts)]).where(_gap(axes) <= eps)
-    return sure.unionByName(close.select(F.col("top").alias("a"), F.col("o_top").alias("b")).distinct())
+def _blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches as tables of about BLOCK rows or more, each of whole groups of equal keys."""
+    held, n, due = [], 0, BLOCK
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= due:
+            rows = pa.Table.from_batches(held)
+            columns = [rows.column(k).to_numpy() for k in keys]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0))
+            last = int(new[-1]) + 1 if len(new) else 0
+            if last:
+                yield rows.slice(0, last)
+            rows = rows.slice(last)
+            # a group that fills a block is looked at again when it has doubled
+            held, n, due = rows.to_batches(), rows.num_rows, BLOCK if last else 2 * n
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def gap_clusters(rows: DataFrame, keys: list[str], value: str, gap: float, tie: str) -> DataFrame:
