@@ -50,15 +50,26 @@ def without_double_points(faces: DataFrame, error: float = 0.01) -> DataFrame:
     return found.withColumn("repaired", F.size("ring") >= 3).drop("gone")
 
 
+def _open(faces: DataFrame, snap: float) -> DataFrame:
+    """mesh_id, face_id, idx, p, q, a, b of the edges without their opposite.
+
+    The n-th of equal edges meets the n-th of the opposite ones, so those beyond the number of opposite ones are left:
+    one shuffle by the edge, whichever way it runs, and no join.
+    """
+    key = lambda p: F.concat_ws("_", *(F.rint(F.col(p)[c] / snap).cast("long") for c in "xyz"))
+    edges = face_edges(faces).select("*", key("p").alias("a"), key("q").alias("b")).where("a <> b")
+    edges = edges.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b"), "ahead": F.col("a") < F.col("b")})
+    both = Window.partitionBy("mesh_id", "low", "high")
+    nth = F.row_number().over(Window.partitionBy("mesh_id", "low", "high", "ahead").orderBy("face_id", "idx"))
+    rows = edges.withColumn("nth", nth).withColumn("aheads", F.count_if("ahead").over(both)).withColumn("all", F.count("*").over(both))
+    opposite = F.when(F.col("ahead"), F.col("all") - F.col("aheads")).otherwise(F.col("aheads"))
+    # edges of no known mesh meet none
+    return rows.where(F.col("mesh_id").isNull() | (F.col("nth") > opposite)).select("mesh_id", "face_id", "idx", "p", "q", "a", "b")
+
+
 def open_edges(faces: DataFrame, snap: float = 0.001) -> DataFrame:
     """Edges without their opposite; none in a closed solid. End points are compared on a grid of snap."""
-    key = lambda p: F.concat_ws("_", *(F.rint(F.col(p)[c] / snap).cast("long") for c in "xyz"))
-    edges = face_edges(faces).select("mesh_id", "face_id", "idx", key("p").alias("a"), key("q").alias("b"))
-    edges = edges.where("a <> b").withColumn("edge", F.struct("face_id", "idx"))
-    nth = F.row_number().over(Window.partitionBy("mesh_id", "a", "b").orderBy("edge"))
-    numbered = edges.withColumn("nth", nth)
-    other = numbered.select("mesh_id", F.col("a").alias("b"), F.col("b").alias("a"), "nth")
-    return numbered.join(other, ["mesh_id", "a", "b", "nth"], "left_anti").select("mesh_id", "face_id", "idx", "a", "b")
+    return _open(faces, snap).select("mesh_id", "face_id", "idx", "a", "b")
 
 
 def fan(ring: Column) -> Column:
@@ -192,9 +203,7 @@ def openings(faces: DataFrame, snap: float = 0.001) -> DataFrame:
     Only edges without a plain opposite meet in a task, with what they are an edge of; one mesh is one group. element
     follows from the way that the new face looks.
     """
-    left = open_edges(faces, snap)
-    at = face_edges(faces).select("mesh_id", "face_id", "idx", "p", "q")
-    own = left.select("mesh_id", "face_id", "idx").join(at, ["mesh_id", "face_id", "idx"])
+    own = _open(faces, snap)
     flat = [F.col(f"{e}.{k}").cast("double").alias(f"{e}{k}") for e in "pq" for k in "xyz"]
 
     def run(found: pa.Table) -> pa.Table:

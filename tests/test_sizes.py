@@ -1,11 +1,17 @@
 """Operators on shapes of tables that broke them: by brute force, and by their plans."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kawara.operators import graph, kernels
+from kawara import queries
+from kawara.operators import graph, kernels, mesh
+
+SF = "/root/testdata/sf0.001"
+RING = "array<struct<x:double,y:double,z:double>>"
 
 
 def plan_of(rows):
@@ -53,3 +59,20 @@ def test_full_cells_make_no_pairs():
     assert set(label) == {0} or set(label) == {0, n // 2}
     close = np.sqrt(((p[: n // 2, None][::50] - p[None, n // 2 :]) ** 2).sum(2)).min() <= 0.5
     assert not close or set(label) == {0}
+
+
+def box_faces(spark, n):
+    return queries.Tables(spark, SF).boxes.where(f"mesh_id < {n}")
+
+
+def test_open_edges_join_nothing(spark):
+    faces = box_faces(spark, 60).withColumn("mesh_id", F.col("mesh_id") % 7)
+    found = mesh.open_edges(faces)
+    # its sides are exploded, and so larger than what Spark expects before it broadcasts one
+    assert "Join" not in plan_of(found)
+    left = Counter()
+    edges = mesh.face_edges(faces).collect()
+    for e in sorted(edges, key=lambda e: (e.mesh_id, e.face_id, e.idx)):
+        left[e.mesh_id, e.p, e.q] += 1
+    want = Counter({(m, *(tuple(round(x * 1000) for x in v) for v in (p, q))): n - left[m, q, p] for (m, p, q), n in left.items() if n > left[m, q, p]})
+    assert Counter((r.mesh_id, *(tuple(map(int, v.split("_"))) for v in (r.a, r.b))) for r in found.collect()) == want
