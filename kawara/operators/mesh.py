@@ -226,7 +226,7 @@ def closed(faces: DataFrame, snap: float = 0.001) -> DataFrame:
     new = openings(faces, snap)
     last = faces.groupBy("mesh_id").agg(F.max("face_id").alias("last"))
     number = F.row_number().over(Window.partitionBy("mesh_id").orderBy("element", "ring"))
-    new = new.withColumn("n", number).join(last, "mesh_id")
+    new = new.withColumn("n", number).join(last.hint("merge"), "mesh_id")
     new = new.select("mesh_id", (F.col("last") + F.col("n")).alias("face_id"), "element", "ring", F.lit(True).alias("repaired"))
     return faces.select("mesh_id", "face_id", "element", "ring", F.lit(False).alias("repaired")).unionByName(new)
 

@@ -76,3 +76,8 @@ def test_open_edges_join_nothing(spark):
         left[e.mesh_id, e.p, e.q] += 1
     want = Counter({(m, *(tuple(round(x * 1000) for x in v) for v in (p, q))): n - left[m, q, p] for (m, p, q), n in left.items() if n > left[m, q, p]})
     assert Counter((r.mesh_id, *(tuple(map(int, v.split("_"))) for v in (r.a, r.b))) for r in found.collect()) == want
+
+
+def test_closing_broadcasts_nothing(spark):
+    plan = mesh.closed(box_faces(spark, 60))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
