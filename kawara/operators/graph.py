@@ -229,7 +229,7 @@ def split_edges(segments: DataFrame, size: float, error: float = 1e-6, keys: tup
     boxed = segments.withColumns({f"{k}0": v - error for k, v in lo.items()}).withColumns({f"{k}1": v + error for k, v in hi.items()})
     boxed = boxed.withColumn("c", F.explode(spatial.box_cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size))).select("*", "c.cx", "c.cy").drop("c")
     other = boxed.select(*keys, "cx", "cy", *(F.col(c).alias(f"o_{c}") for c in ("id", "ax", "ay", "bx", "by", "x0", "y0", "x1", "y1")))
-    pairs = boxed.join(other, [*keys, "cx", "cy"]).where("id <> o_id AND x0 <= o_x1 AND o_x0 <= x1 AND y0 <= o_y1 AND o_y0 <= y1")
+    pairs = boxed.join(other.hint("merge"), [*keys, "cx", "cy"]).where("id <> o_id AND x0 <= o_x1 AND o_x0 <= x1 AND y0 <= o_y1 AND o_y0 <= y1")
     here = (spatial.cell(F.greatest("x0", "o_x0"), size) == F.col("cx")) & (spatial.cell(F.greatest("y0", "o_y0"), size) == F.col("cy"))
     ux, uy, vx, vy = (F.col(f"{e}b{k}") - F.col(f"{e}a{k}") for e in ("", "o_") for k in "xy")
     d = F.nullif(ux * vy - uy * vx, F.lit(0.0))
@@ -242,7 +242,7 @@ def split_edges(segments: DataFrame, size: float, error: float = 1e-6, keys: tup
     # one cut for crossings within error of each other
     at = cut.groupBy(*keys, "id", F.rint(F.col("s") * F.col("length") / error)).agg(F.min("s").alias("s"))
     ends = at.groupBy(*keys, "id").agg(F.array_sort(F.collect_list("s")).alias("cuts"))
-    rows = segments.join(ends, [*keys, "id"], "left")
+    rows = segments.join(ends.hint("merge"), [*keys, "id"], "left")
     row = F.concat(F.array(F.lit(0.0)), F.coalesce("cuts", F.array().cast("array<double>")), F.array(F.lit(1.0)))
     rows = rows.withColumn("row", row).withColumn("part", F.explode(F.sequence(F.lit(0), F.size("row") - 2)))
     point = lambda i, k: F.col(f"a{k}") + F.get("row", F.col("part") + i) * (F.col(f"b{k}") - F.col(f"a{k}"))

@@ -81,3 +81,8 @@ def test_open_edges_join_nothing(spark):
 def test_closing_broadcasts_nothing(spark):
     plan = mesh.closed(box_faces(spark, 60))._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_split_edges_broadcasts_nothing(spark):
+    plan = queries.QUERIES["split_edges"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
