@@ -150,16 +150,21 @@ TRIANGLES = "mesh_id long, face_id long, part int, t array<double>"
 
 
 def triangles(faces: DataFrame) -> DataFrame:
-    """(mesh_id, face_id, part, t): the triangles of each face, as nine numbers; concave faces are clipped ear by ear."""
+    """(mesh_id, face_id, part, t): the triangles of each face, as nine numbers; concave faces are clipped ear by ear, those of equally
+    many corners together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xyz, starts = _points(batch.column(2))
-            parts = [kernels.triangles(xyz[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
-            n = np.array([len(x) for x in parts], np.int64)
-            flat = np.concatenate([x.reshape(-1) for x in parts] or [np.empty(0)])
+            size = np.diff(starts)
+            n = np.maximum(size - 2, 0)
+            flat, first = np.empty((n.sum(), 9)), np.cumsum(n) - n
+            for k in np.unique(size[size >= 3]):
+                own = np.flatnonzero(size == k)
+                found = kernels.triangles_of_all(xyz[starts[own][:, None] + np.arange(k)])
+                flat[first[own][:, None] + np.arange(k - 2)] = found.reshape(len(own), k - 2, 9)
             at = np.repeat(np.arange(len(n)), n)
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(n.sum() + 1) * 9, pa.int32()), pa.array(flat))
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(n.sum() + 1) * 9, pa.int32()), pa.array(flat.reshape(-1)))
             part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             columns = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(part.astype(np.int32)), rows]
             yield pa.RecordBatch.from_arrays(columns, names=["mesh_id", "face_id", "part", "t"])
@@ -180,7 +185,7 @@ def crossing_faces(faces: DataFrame, size: float) -> DataFrame:
     cells = spatial.box_cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)
     t = t.withColumn("c", F.explode(cells)).select("*", "c.cx", "c.cy").drop("c", "part")
     other = t.select("mesh_id", "cx", "cy", *(F.col(c).alias(f"o_{c}") for c in t.columns if c not in ("mesh_id", "cx", "cy")))
-    pairs = t.join(other, ["mesh_id", "cx", "cy"]).where("face_id < o_face_id")
+    pairs = t.join(other.hint("merge"), ["mesh_id", "cx", "cy"]).where("face_id < o_face_id")
     pairs = pairs.where(" AND ".join(f"{k}0 <= o_{k}1 AND o_{k}0 <= {k}1" for k in "xyz"))
     low = [spatial.cell(F.greatest(f"{k}0", f"o_{k}0"), size) == F.col(f"c{k}") for k in "xy"]
     pairs = pairs.where(low[0] & low[1]).select("mesh_id", "face_id", "o_face_id", "t", "o_t")

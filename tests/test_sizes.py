@@ -86,3 +86,20 @@ def test_closing_broadcasts_nothing(spark):
 def test_split_edges_broadcasts_nothing(spark):
     plan = queries.QUERIES["split_edges"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_rings_clipped_together():
+    rng = np.random.default_rng(5)
+    for n in (3, 4, 6, 9):
+        rings = np.concatenate([np.round(rng.uniform(0, 4, (60, n, 3))), rng.uniform(0, 4, (60, n, 3))])
+        turns = np.sort(rng.uniform(0, 2 * np.pi, (60, n)), 1)
+        stars = np.stack([np.cos(turns), np.sin(turns), turns * 0], 2) * rng.uniform(0.3, 2, (60, n, 1))
+        rings = np.concatenate([rings, stars, stars[:, ::-1]])
+        assert (kernels.triangles_of_all(rings) == np.array([kernels.triangles(r) for r in rings])).all()
+
+
+def test_crossing_faces_broadcast_nothing(spark, monkeypatch):
+    # each face was clipped alone before
+    monkeypatch.setattr(kernels, "ear_clipped", None)
+    found = queries.QUERIES["crossing_faces"](spark, SF)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
