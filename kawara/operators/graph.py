@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,25 +11,7 @@ from pyspark.sql import functions as F
 
 from kawara.functions import geometry as g
 from kawara.operators import kernels, spatial
-
-
-def _shared(df: DataFrame) -> str:
-    """The session's shared folder; a temporary one where the session has none, on a local master only."""
-    context = df.sparkSession.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="kawara-")
-        context.setCheckpointDir(found)
-    return found
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its plan runs once, and a lost executor costs nothing that is written."""
-    path = f"{_shared(df).rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from kawara.operators.spatial import _cut
 
 
 def connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:

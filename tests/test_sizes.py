@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kawara import queries
-from kawara.operators import graph, kernels, mesh
+from kawara.operators import graph, kernels, mesh, spatial
 
 SF = "/root/testdata/sf0.001"
 RING = "array<struct<x:double,y:double,z:double>>"
@@ -103,3 +103,30 @@ def test_crossing_faces_broadcast_nothing(spark, monkeypatch):
     monkeypatch.setattr(kernels, "ear_clipped", None)
     found = queries.QUERIES["crossing_faces"](spark, SF)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_of_crowded_places(spark):
+    rng = np.random.default_rng(4)
+    # thousands of rows in few places, a crowd in one cell, and rows far from all of it
+    right = np.concatenate([np.repeat(rng.integers(0, 4, (8, 2)) * 30.0, 400, 0), np.round(rng.uniform(0, 2, (500, 2)), 3)])
+    left = np.concatenate([rng.uniform(0, 100, (200, 2)), rng.uniform(0, 2, (100, 2)), [(5000.0, -900.0)]])
+    frame = lambda p, i: spark.createDataFrame([(k % 2, k, *map(float, v)) for k, v in enumerate(p)], f"k long, {i} long, x double, y double")
+    l, r = frame(left, "l"), frame(right, "r")  # noqa: E741
+    lost = l.limit(1).select("k", F.lit(-1).cast("long").alias("l"), F.lit(None).cast("double").alias("x"), "y")
+    lost = lost.unionByName(lost.select("k", F.lit(-2).cast("long").alias("l"), F.lit(float("nan")).alias("x"), "y"))
+    got = {x.l: (x.r, x.distance) for x in spatial.nearest(l.unionByName(lost), r, "l", "r", 160.0, ("k",)).collect()}
+    for k, v in enumerate(left):
+        own = np.arange(k % 2, len(right), 2)
+        gap = np.sqrt(((right[own] - v) ** 2).sum(1))
+        assert got[k] == (own[gap.argmin()], pytest.approx(gap.min(), rel=1e-12))
+    assert len(got) == len(left)
+    assert spatial.nearest(l, r.limit(0), "l", "r", 1.0, ("k",)).count() == 0
+
+
+def test_nearest_meets_few_rows_of_a_place(spark, monkeypatch):
+    seen = []
+    own = spatial.within_radius
+    monkeypatch.setattr(spatial, "within_radius", lambda *a: seen.append(own(*a)) or seen[-1])
+    rows = spark.range(3000).select(F.col("id").alias("r"), (F.col("id") % 5).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    spatial.nearest(rows.select(F.col("r").alias("l"), "x", "y"), rows, "l", "r", 160.0).count()
+    assert seen[0].count() == 3000 * 5
