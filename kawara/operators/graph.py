@@ -37,10 +37,14 @@ def connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def radius_components(points: DataFrame, radius: float) -> DataFrame:
-    """Euclidean clusters of points (id, x, y): chains of steps of at most the radius."""
-    other = points.select(F.col("id").alias("other"), "x", "y")
-    pairs = spatial.within_radius(points.select("id", "x", "y"), other, radius).where("id < other")
-    return connected(points, pairs.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    """Euclidean clusters of points (id, x, y): chains of steps of at most the radius. A point that is nowhere is alone.
+
+    Points in one place are one; places are clustered as dbscan() does where each is a core, so that no pairs are made.
+    """
+    places = _cut(points.where(spatial.PLACED).groupBy("x", "y").agg(F.min("id").alias("id")))
+    found = places.join(dbscan(places, radius, 1).hint("merge"), "id").select("x", "y", F.col("cluster").alias("comp"))
+    found = F.broadcast(found) if places.count() <= spatial.MOST else found.hint("merge")
+    return points.select("id", "x", "y").join(found, ["x", "y"], "left").select("id", F.coalesce("comp", "id").alias("comp")).distinct()
 
 
 #: Side of a tile in eps: how many of its points are copied beside it, and how many meet in memory.

@@ -15,14 +15,30 @@ SF = "/root/testdata/sf0.001"
 RING = "array<struct<x:double,y:double,z:double>>"
 
 
+def labels_by_hand(p, eps, least):
+    near = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) <= eps
+    core = near.sum(1) >= least
+    label = -np.ones(len(p), int)
+    for i in range(len(p)):
+        if core[i] and label[i] < 0:
+            todo, label[i] = [i], i
+            while todo:
+                for v in np.flatnonzero(near[todo.pop()] & core):
+                    if label[v] < 0:
+                        label[v] = i
+                        todo.append(v)
+    for i in np.flatnonzero(~core):
+        own = label[near[i] & core]
+        label[i] = own.min() if len(own) else -1
+    return {i: int(c) for i, c in enumerate(label) if c >= 0}
+
+
 def plan_of(rows):
     return rows._jdf.queryExecution().toString()
 
 
 @pytest.mark.parametrize("axes, least", [("xy", 4), ("xyz", 5), ("xy", 1)])
 def test_dbscan_over_tiles(spark, monkeypatch, axes, least):
-    from test_operators import labels_by_hand
-
     monkeypatch.setattr(graph, "TILE", 3)
     rng = np.random.default_rng(7)
     thick = [rng.normal(c, 0.35, (150, len(axes))) for c in (-3.0, 0.0, 1.6)]
@@ -154,3 +170,16 @@ def test_packing_of_many():
     for (_, w, h), (page, x, y) in zip(rects, places, strict=True):
         taken[page, y : y + h, x : x + w] += 1
     assert taken.max() == 1 and taken.sum() == sum(w * h for _, w, h in rects)
+
+
+def test_components_of_crowded_places(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    p = np.concatenate([np.round(rng.uniform(0, 6, (150, 2)), 2), np.repeat(np.round(rng.uniform(0, 6, (4, 2)), 2), 500, 0)])
+    rng.shuffle(p)
+    points = spark.createDataFrame([*((i, *map(float, v)) for i, v in enumerate(p)), (-1, None, 0.0), (-2, None, 0.0)], "id long, x double, y double")
+    # pairs of points in one place were all made before
+    monkeypatch.setattr(spatial, "within_radius", None)
+    got = {r.id: r.comp for r in graph.radius_components(points, 0.3).collect()}
+    assert got == labels_by_hand(p, 0.3, 1) | {-1: -1, -2: -2}
+    monkeypatch.setattr(spatial, "MOST", 3)
+    assert {r.id: r.comp for r in graph.radius_components(points, 0.3).collect()} == got
