@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kawara import queries
-from kawara.operators import graph, kernels, mesh, spatial
+from kawara.operators import graph, kernels, mesh, modeling, spatial, texture
 
 SF = "/root/testdata/sf0.001"
 RING = "array<struct<x:double,y:double,z:double>>"
@@ -183,3 +183,10 @@ def test_components_of_crowded_places(spark, monkeypatch):
     assert got == labels_by_hand(p, 0.3, 1) | {-1: -1, -2: -2}
     monkeypatch.setattr(spatial, "MOST", 3)
     assert {r.id: r.comp for r in graph.radius_components(points, 0.3).collect()} == got
+
+
+def test_crowded_corners_are_welded(spark):
+    rows = [(i, i % 3 * 0.05 + i % 2 * 9.0, 0.0, float(i % 4 * (i % 4))) for i in range(1200)]
+    got = {r.id: (r.x, r.z) for r in modeling.welded_corners(spark.createDataFrame(rows, "id long, x double, y double, z double"), 0.1, 1.0).collect()}
+    # heights of a stack: 0 and 4 on even ones, 1 and 9 on odd ones
+    assert got == {i: (rows[i % 2][1], z) for i, _, _, z in rows}
