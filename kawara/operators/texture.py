@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kawara.functions import geometry as g
 from kawara.operators import spatial
+from kawara.operators.spatial import _cut
 
 
 def best_photo(views: DataFrame) -> DataFrame:
@@ -36,14 +37,20 @@ def face_views(faces: DataFrame, photos: DataFrame) -> DataFrame:
 
 
 def roof_of_wall(corners: DataFrame) -> DataFrame:
-    """(wall, roof): the highest roof that shares at least two corners with a wall. corners: face_id, element, x, y, z."""
-    roofs, walls = (corners.where(F.col("element") == e) for e in ("ROOF", "WALL"))
-    shared = walls.select(F.col("face_id").alias("wall"), "x", "y", "z").join(
-        roofs.select(F.col("face_id").alias("roof"), "x", "y", "z"), ["x", "y", "z"]
-    )
-    top = roofs.groupBy(F.col("face_id").alias("roof")).agg(F.max("z").alias("top"))
-    pairs = shared.groupBy("wall", "roof").count().where("count > 1").join(top, "roof")
-    return pairs.groupBy("wall").agg(F.max_by("roof", F.struct("top", -F.col("roof"))).alias("roof"))
+    """(wall, roof): the highest roof that shares at least two corners with a wall. corners: face_id, element, x, y, z.
+
+    Faces with the same corners share the same ones, so one wall of each kind is compared, with the first roof of each.
+    """
+    kinds = corners.where(F.col("element").isin("ROOF", "WALL")).groupBy("element", "face_id")
+    kinds = kinds.agg(F.array_sort(F.collect_list(F.struct("x", "y", "z"))).alias("ring"), F.max("z").alias("top"))
+    roofs, walls = (kinds.where(F.col("element") == e) for e in ("ROOF", "WALL"))
+    first = _cut(roofs.groupBy("ring", "top").agg(F.min("face_id").alias("roof")))
+    kept = _cut(walls.groupBy("ring").agg(F.min("face_id").alias("wall"), F.collect_list("face_id").alias("walls")))
+    at = lambda rows, face: rows.select(face, F.explode("ring").alias("p")).select(face, "p.*")
+    shared = at(kept, "wall").join(at(first, "roof").hint("merge"), ["x", "y", "z"])
+    pairs = shared.groupBy("wall", "roof").count().where("count > 1").join(first.select("roof", "top"), "roof")
+    best = pairs.groupBy("wall").agg(F.max_by("roof", F.struct("top", -F.col("roof"))).alias("roof"))
+    return kept.select("wall", "walls").join(best, "wall").select(F.explode("walls").alias("wall"), "roof")
 
 
 def is_usable_wall(width: Column, height: Column) -> Column:

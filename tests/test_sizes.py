@@ -190,3 +190,26 @@ def test_crowded_corners_are_welded(spark):
     got = {r.id: (r.x, r.z) for r in modeling.welded_corners(spark.createDataFrame(rows, "id long, x double, y double, z double"), 0.1, 1.0).collect()}
     # heights of a stack: 0 and 4 on even ones, 1 and 9 on odd ones
     assert got == {i: (rows[i % 2][1], z) for i, _, _, z in rows}
+
+
+def test_roof_of_wall_of_equal_faces(spark):
+    rng = np.random.default_rng(9)
+    faces = [(i, "ROOF" if i % 3 == 0 else "WALL", [tuple(map(float, v)) for v in rng.integers(0, 2 + i % 2, (3 + i % 2, 3))]) for i in range(60)]
+    faces += [(i + 100, e, ring[::-1]) for i, e, ring in faces]
+    rows = [(i, e, *p) for i, e, ring in faces for p in ring]
+    got = {r.wall: r.roof for r in texture.roof_of_wall(spark.createDataFrame(rows, "face_id long, element string, x double, y double, z double")).collect()}
+    want = {}
+    for i, e, ring in faces:
+        found = [(max(p[2] for p in r), -j) for j, f, r in faces if f == "ROOF" and sum(p == q for p in ring for q in r) > 1]
+        if e == "WALL" and found:
+            want[i] = -max(found)[1]
+    assert got == want and len(got) > 40
+
+
+def test_equal_walls_are_compared_once(spark, monkeypatch):
+    seen = []
+    cut = texture._cut
+    monkeypatch.setattr(texture, "_cut", lambda rows: seen.append(cut(rows)) or seen[-1])
+    rows = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, "ROOF").otherwise("WALL").alias("element"), F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("x"))
+    found = texture.roof_of_wall(rows.select(F.col("id").alias("face_id"), "element", "x", F.lit(0.0).alias("y"), F.lit(0.0).alias("z")))
+    assert {r.roof for r in found.collect()} == {0} and found.count() == 200 and [s.count() for s in seen] == [1, 1]
