@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kawara import queries
-from kawara.operators import graph, kernels, mesh, modeling, spatial, texture
+from kawara.operators import graph, grouped, kernels, mesh, modeling, spatial, texture
 
 SF = "/root/testdata/sf0.001"
 RING = "array<struct<x:double,y:double,z:double>>"
@@ -213,3 +213,24 @@ def test_equal_walls_are_compared_once(spark, monkeypatch):
     rows = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, "ROOF").otherwise("WALL").alias("element"), F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("x"))
     found = texture.roof_of_wall(rows.select(F.col("id").alias("face_id"), "element", "x", F.lit(0.0).alias("y"), F.lit(0.0).alias("z")))
     assert {r.roof for r in found.collect()} == {0} and found.count() == 200 and [s.count() for s in seen] == [1, 1]
+
+
+def test_roofs_are_cut_together(spark):
+    rng = np.random.default_rng(2)
+    for n in (3, 4, 6, 7):
+        turns = np.sort(rng.uniform(0, 2 * np.pi, (40, n)), 1)
+        rings = np.stack([np.cos(turns), np.sin(turns), rng.uniform(0, 2, turns.shape)], 2) * rng.uniform(0.3, 2, (40, n, 1))
+        rings = np.concatenate([rings, rng.integers(0, 4, (40, n, 3)).astype(float)])
+        found = kernels.triangulated_3d_all(rings)
+        assert [tuple(map(int, t)) for t in found] == [(k, *t) for k, r in enumerate(rings) for t in kernels.triangulated_3d(r)]
+    plan = queries.QUERIES["roof_triangles"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_roof_triangles_one_at_a_time_no_more(spark, monkeypatch):
+    rows = queries.Tables(spark, SF).quads.unionByName(queries.Tables(spark, SF).dents)
+    want = Counter((r.mesh_id, r.face_id, len(r.ring)) for r in rows.collect() for _ in range(len(r.ring) - 2))
+    left = rows.withColumn("ring", F.when(F.col("face_id") % 5 == 0, F.slice("ring", 1, 2)).otherwise(F.col("ring")))
+    got = grouped.roofs_triangulated(left.withColumn("mesh_id", F.col("mesh_id") + F.size("ring") * 1000))
+    got = Counter((r.mesh_id % 1000, r.face_id, r.mesh_id // 1000) for r in got.collect())
+    assert got == Counter({k: n for k, n in want.items() if k[1] % 5})
