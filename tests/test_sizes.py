@@ -234,3 +234,24 @@ def test_roof_triangles_one_at_a_time_no_more(spark, monkeypatch):
     got = grouped.roofs_triangulated(left.withColumn("mesh_id", F.col("mesh_id") + F.size("ring") * 1000))
     got = Counter((r.mesh_id % 1000, r.face_id, r.mesh_id // 1000) for r in got.collect())
     assert got == Counter({k: n for k, n in want.items() if k[1] % 5})
+
+
+def test_nearest_vectors_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    v = rng.normal(0, 1, (900, 5)).astype(np.float32)
+    v[100:500] = v[7]  # one very common vector
+    v[600:700] = v[3] + np.float32(1e-7) * rng.integers(0, 2, (100, 5)).astype(np.float32)
+    rows = [(int(i), list(map(float, x))) for i, x in zip(rng.permutation(900), v, strict=True)]
+    frame = spark.createDataFrame([*rows, (5000, None), (5001, [1.0, None, 0.0, 0.0, 0.0]), (5002, [0.0])], "vec_id long, embedding array<float>")
+    asked = frame.where("vec_id % 20 = 0 AND vec_id < 900").select(F.col("vec_id").alias("query_id"), "embedding")
+    monkeypatch.setattr(spatial, "BLOCKS", 1)
+    found = spatial.nearest_vectors(asked, frame.repartition(3), 5)
+    # each pair's distance was summed by Spark before
+    assert "lambdafunction" not in plan_of(found)
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in found.collect())
+    want = []
+    at = {i: np.array(x) for i, x in rows}
+    for q in range(0, 900, 20):
+        order = sorted((float(np.sqrt(sum((at[q] - x) ** 2))), i) for i, x in at.items())
+        want += [(q, n + 1, i) for n, (_, i) in enumerate(order[:5])]
+    assert got == want
