@@ -199,11 +199,13 @@ def _rings(column: pa.Array) -> list[np.ndarray]:
 
 def polygon_relations(polygons: DataFrame, size: float, keys: tuple[str, ...] = (), share: float = 0.9, gap: float = 0.5) -> DataFrame:
     """As spatial.box_relations(), for simple rings (keys, id, ring): pairs of boxes that are near enough are looked at,
-    and their common area and distance computed in Arrow batches."""
+    and their common area and distance computed in Arrow batches. Rings that are boxes themselves are compared as such."""
     b = g.bounds(F.col("ring"))
     boxed = polygons.select(*keys, "id", "ring", *(b[f"{n}_{k}"].alias(f"{k}{i}") for k in "xy" for i, n in enumerate(("min", "max"))))
+    boxed = boxed.withColumn("whole", F.coalesce(_is_box(F.col("ring")), F.lit(False)))
+    plain = spatial.box_relations(boxed.where("whole").select(*keys, "id", "x0", "y0", "x1", "y1"), size, keys, share, gap)
     grown = boxed.withColumns({f"{k}{i}": F.col(f"{k}{i}") + (gap if i else -gap) for k in "xy" for i in (0, 1)})
-    pairs = spatial.box_pairs(grown.select(*keys, "id", "x0", "y0", "x1", "y1"), size, keys)
+    pairs = spatial.box_pairs(grown.select(*keys, "id", "x0", "y0", "x1", "y1", "whole"), size, keys, "NOT (whole AND o_whole)")
     own = boxed.select(*keys, F.col("id").alias("a"), F.col("ring").alias("own"))
     other = boxed.select(*keys, F.col("id").alias("b"), F.col("ring").alias("other"))
     rows = pairs.join(own, [*keys, "a"]).join(other, [*keys, "b"]).select(*(F.col(k).cast("long") for k in keys), "a", "b", "own", "other")
@@ -224,7 +226,16 @@ def polygon_relations(polygons: DataFrame, size: float, keys: tuple[str, ...] =
     )
     one = found.select(*keys, "a", "b", kind("own_area", "other_area").alias("relation"))
     two = found.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), kind("other_area", "own_area").alias("relation"))
-    return one.unionByName(two).where("relation IS NOT NULL")
+    plain = plain.select(*(F.col(k).cast("long") for k in keys), "a", "b", "relation")
+    return plain.unionByName(one.unionByName(two).where("relation IS NOT NULL"))
+
+
+def _is_box(ring: Column) -> Column:
+    """Whether a ring is a rectangle along the axes, of some area: opposite corners differ in both axes, others in one."""
+    p = [F.get(ring, F.lit(i)) for i in range(4)]
+    apart = [(p[i][k] != p[i + 2][k]) for i in (0, 1) for k in "xy"]
+    turn = ((p[0].x == p[1].x) & (p[1].y == p[2].y) & (p[2].x == p[3].x) & (p[3].y == p[0].y)) | ((p[0].y == p[1].y) & (p[1].x == p[2].x) & (p[2].y == p[3].y) & (p[3].x == p[0].x))
+    return (F.size(ring) == 4) & apart[0] & apart[1] & apart[2] & apart[3] & turn
 
 
 def ground_clusters(clusters: DataFrame, relations: DataFrame, least_area: float = 20.0, least_width: float = 1.0) -> DataFrame:

@@ -255,3 +255,24 @@ def test_nearest_vectors_by_blocks(spark, monkeypatch):
         order = sorted((float(np.sqrt(sum((at[q] - x) ** 2))), i) for i, x in at.items())
         want += [(q, n + 1, i) for n, (_, i) in enumerate(order[:5])]
     assert got == want
+
+
+def test_relations_of_boxes_and_others(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    at, size = rng.integers(0, 25, (80, 2)), rng.integers(1, 9, (80, 2))
+    rings = []
+    for i, ((x, y), (w, h)) in enumerate(zip(at.tolist(), size.tolist(), strict=True)):
+        r = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        # as it is, another way round, and with a corner more; a bow tie is no box
+        r = (r, r[::-1], [*r[:1], (x + w / 2, y), *r[1:]])[i % 3]
+        rings.append((i % 2, i, [{"x": float(a), "y": float(b)} for a, b in r[1:] + r[:1]]))
+    frame = spark.createDataFrame(rings, "k long, id long, ring array<struct<x:double,y:double>>")
+    kernel = kernels.overlap_area
+    mixed = sorted(map(tuple, modeling.polygon_relations(frame, 8.0, ("k",)).collect()))
+    monkeypatch.setattr(modeling, "_is_box", lambda ring: F.lit(False))
+    assert mixed == sorted(map(tuple, modeling.polygon_relations(frame, 8.0, ("k",)).collect())) and len(mixed) > 300
+    assert kernel([(0, 0), (2, 0), (2, 2), (0, 2)], [(1, 1), (3, 1), (3, 3), (1, 3)]) == pytest.approx(1)
+    monkeypatch.undo()
+    shapes = [([(0, 0), (1, 0), (1, 1), (0, 1)], True), ([(0, 0), (1, 1), (1, 0), (0, 1)], False), ([(0, 0), (1, 0), (1, 1), (1, 1)], False), ([(0, 0), (1, 0), (1, 1)], False), ([(0, 0), (2, 0), (2, 0), (0, 0)], False)]
+    rows = spark.createDataFrame([(i, [{"x": float(a), "y": float(b)} for a, b in r]) for i, (r, _) in enumerate(shapes)], "i long, ring array<struct<x:double,y:double>>")
+    assert [bool(r[0]) for r in rows.orderBy("i").select(modeling._is_box(F.col("ring"))).collect()] == [w for _, w in shapes]
