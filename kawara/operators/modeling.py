@@ -245,7 +245,7 @@ def ground_clusters(clusters: DataFrame, relations: DataFrame, least_area: float
     that leaves no roof, the cluster of largest area is one. relations: building_id, a, b, relation.
     """
     held = relations.where("relation = 'CONTAINING'").select("building_id", F.col("b").alias("id")).distinct().withColumn("held", F.lit(True))
-    rows = clusters.join(held, ["building_id", "id"], "left")
+    rows = clusters.join(held.hint("merge"), ["building_id", "id"], "left")
     narrow = F.col("area") / F.nullif("perimeter", F.lit(0.0)) < least_width
     low = (F.col("height") < F.col("ground")) & (F.coalesce("held", F.lit(False)) | (F.col("area") < least_area) | F.coalesce(narrow, F.lit(True)))
     rows = rows.withColumn("is_ground", (F.col("area") == 0) | low).drop("held")

@@ -276,3 +276,17 @@ def test_relations_of_boxes_and_others(spark, monkeypatch):
     shapes = [([(0, 0), (1, 0), (1, 1), (0, 1)], True), ([(0, 0), (1, 1), (1, 0), (0, 1)], False), ([(0, 0), (1, 0), (1, 1), (1, 1)], False), ([(0, 0), (1, 0), (1, 1)], False), ([(0, 0), (2, 0), (2, 0), (0, 0)], False)]
     rows = spark.createDataFrame([(i, [{"x": float(a), "y": float(b)} for a, b in r]) for i, (r, _) in enumerate(shapes)], "i long, ring array<struct<x:double,y:double>>")
     assert [bool(r[0]) for r in rows.orderBy("i").select(modeling._is_box(F.col("ring"))).collect()] == [w for _, w in shapes]
+
+
+@pytest.mark.parametrize("share", [0.5, 0.9])
+def test_boxes_held(spark, monkeypatch, share):
+    rng = np.random.default_rng(17)
+    at, size = rng.integers(-20, 20, (300, 2)) * 0.5, rng.integers(1, 20, (300, 2)) * 0.5
+    rows = [(i % 2, i, *map(float, p), *map(float, p + s)) for i, (p, s) in enumerate(zip(at, size, strict=True))]
+    boxes = spark.createDataFrame([*rows, (0, 900, 1.0, 1.0, 1.0, 4.0)], "k long, id long, x0 double, y0 double, x1 double, y1 double")
+    pairs = spatial.box_relations(boxes.where("id < 900"), 8.0, ("k",), share).where("relation = 'CONTAINING'")
+    want = {(r.k, r.b) for r in pairs.collect()}
+    assert {tuple(r) for r in spatial.boxes_held(boxes, 8.0, ("k",), share).collect()} == want and 50 < len(want) < 300
+    # all related pairs were made before
+    monkeypatch.setattr(spatial, "box_relations", None)
+    assert queries.QUERIES["ground_clusters"](spark, SF).count() == 200
