@@ -290,3 +290,14 @@ def test_boxes_held(spark, monkeypatch, share):
     # all related pairs were made before
     monkeypatch.setattr(spatial, "box_relations", None)
     assert queries.QUERIES["ground_clusters"](spark, SF).count() == 200
+
+
+def test_box_pairs_meet_once(spark):
+    rng = np.random.default_rng(19)
+    at, size = rng.integers(-40, 40, (300, 2)) * 0.5, rng.integers(1, 30, (300, 2)) * 0.5
+    rows = [(i % 2, i, *map(float, p), *map(float, p + s)) for i, (p, s) in enumerate(zip(at, size, strict=True))]
+    found = spatial.box_pairs(spark.createDataFrame(rows, "k long, id long, x0 double, y0 double, x1 double, y1 double"), 8.0, ("k",))
+    # its sides were broadcast by their size before boxes were copied to their cells
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted((p[0], p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and p[2] < q[4] and q[2] < p[4] and p[3] < q[5] and q[3] < p[5])
