@@ -301,3 +301,19 @@ def test_box_pairs_meet_once(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     got = sorted(map(tuple, found.collect()))
     assert got == sorted((p[0], p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and p[2] < q[4] and q[2] < p[4] and p[3] < q[5] and q[3] < p[5])
+
+
+def test_box_relations_meet_once(spark):
+    rng = np.random.default_rng(23)
+    at, size = rng.integers(-20, 20, (120, 2)) * 0.25, rng.integers(1, 20, (120, 2)) * 0.25
+    rows = [(i, *map(float, p), *map(float, p + s)) for i, (p, s) in enumerate(zip(at, size, strict=True))]
+    found = spatial.box_relations(spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double"), 8.0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for i, x0, y0, x1, y1 in rows:
+        for j, u0, v0, u1, v1 in rows:
+            common = max(0, min(x1, u1) - max(x0, u0)) * max(0, min(y1, v1) - max(y0, v0))
+            apart = np.hypot(max(0, u0 - x1, x0 - u1), max(0, v0 - y1, y0 - v1))
+            kind = "CONTAINING" if common / ((u1 - u0) * (v1 - v0)) > 0.9 else "CONTAINED" if common / ((x1 - x0) * (y1 - y0)) > 0.9 else "NEIGHBORING" if apart < 0.5 else None
+            want += [(i, j, kind)] if i != j and kind else []
+    assert sorted(map(tuple, found.collect())) == sorted(want)
