@@ -39,14 +39,45 @@ def connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def radius_components(points: DataFrame, radius: float) -> DataFrame:
     """Euclidean clusters of points (id, x, y): chains of steps of at most the radius. A point that is nowhere is alone.
 
-    Points in one place are one; places are clustered as dbscan() does where each is a core, so that no pairs are made.
+    Points in one place are one.
     """
     places = _cut(points.where(spatial.PLACED).groupBy("x", "y").agg(F.min("id").alias("id")))
-    found = places.join(dbscan(places, radius, 1).hint("merge"), "id").select("x", "y", F.col("cluster").alias("comp"))
-    found = F.broadcast(found) if places.count() <= spatial.MOST else found.hint("merge")
+    found = place_components(places, radius)
     return points.select("id", "x", "y").join(found, ["x", "y"], "left").select("id", F.coalesce("comp", "id").alias("comp")).distinct()
 
 
+def place_components(places: DataFrame, radius: float) -> DataFrame:
+    """(x, y, comp) of places (id, x, y), no two in one place: comp is the smallest id that is chained to a place.
+
+    Clustered as dbscan() does where each place is a core, so that no pairs are made. A few places are one tile, in one
+    task, without rounds over tables; they come with a hint to broadcast them, others with one to merge.
+    """
+    ends = [f(k) for k in "xy" for f in (F.min, F.max)]
+    n, *ends = places.agg(F.count("*"), *ends).first()
+    # cells are counted in 64 bits, two axes in one number
+    few = n <= spatial.MOST and (not n or max(map(abs, ends)) < 1e9 * radius)
+    labels = _one_tile(places, radius) if few else dbscan(places, radius, 1)
+    found = places.join(labels.hint("merge"), "id").select("x", "y", F.col("cluster").alias("comp"))
+    return F.broadcast(found) if n <= spatial.MOST else found.hint("merge")
+
+
+def _one_tile(places: DataFrame, radius: float) -> DataFrame:
+    """(id, cluster) of places as of dbscan(), where all places are cores of one tile."""
+    size, halo = TILE * radius, 2.001 * radius
+    rows = places.select(F.col("id").cast("long"), F.col("x").cast("double"), F.col("y").cast("double")).where("id IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            block = pa.Table.from_batches(held)
+            p = np.column_stack([block.column(k).to_numpy() for k in "xy"])
+            at = np.broadcast_to(np.floor(p.min(axis=0) / size), p.shape)
+            found = kernels.tiles_clustered(block.column("id").to_numpy(), p, at, size, halo, radius, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found[:2]], names=["id", "cluster"])
+
+    return _cut(rows.coalesce(1).mapInArrow(run, "id long, cluster long"))
+
+
 #: Side of a tile in eps: how many of its points are copied beside it, and how many meet in memory.
 TILE = 64
 #: Rows that a task clusters at once; a larger tile is one such block.

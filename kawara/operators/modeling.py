@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kawara.functions import geometry as g
 from kawara.operators import graph, kernels, spatial
 from kawara.operators.raster import _grouped
+from kawara.operators.spatial import _cut
 
 RING2 = "array<struct<x:double,y:double>>"
 
@@ -146,12 +147,25 @@ def merged_corners(corners: DataFrame, radius: float) -> DataFrame:
 
 def welded_corners(corners: DataFrame, radius: float, step: float) -> DataFrame:
     """corners (id, x, y, z) welded: those that chain up in the plane within radius take the first one's x and y, and the
-    largest z of those among them that chain up in height within step."""
-    labels = graph.radius_components(corners.select("id", "x", "y"), radius).withColumnRenamed("comp", "stack")
-    rows = graph.gap_clusters(corners.join(labels, "id"), ["stack"], "z", step, "id")
-    first = Window.partitionBy("stack")
-    level = Window.partitionBy("stack", "cluster")
-    return rows.select("id", F.min_by("x", "id").over(first).alias("x"), F.min_by("y", "id").over(first).alias("y"), F.max("z").over(level).alias("z"))
+    largest z of those among them that chain up in height within step. A corner that is nowhere stays as it is.
+
+    Corners in one place and height are one, and corners are told by their place and height where they go. The different
+    heights of a stack meet in one task.
+    """
+    seen = _cut(corners.where(spatial.PLACED).groupBy("x", "y", "z").agg(F.min("id").alias("id")))
+    places = _cut(seen.groupBy("x", "y").agg(F.min("id").alias("id")))
+    found = graph.place_components(places, radius).withColumnRenamed("comp", "stack")
+    stacks = _cut(seen.select("x", "y", "z").join(found, ["x", "y"]))
+    levels = graph.gap_clusters(stacks.select("stack", "z").distinct(), ["stack"], "z", step, "z")
+    levels = levels.select(F.col("stack").alias("of"), F.col("z").alias("height"), F.max("z").over(Window.partitionBy("stack", "cluster")).alias("top"))
+    # a stack is named by its first corner
+    first = places.select(F.col("id").alias("stack"), F.col("x").alias("fx"), F.col("y").alias("fy"))
+    moves = stacks.join(first.hint("merge"), "stack").join(levels.hint("merge"), F.expr("stack = of AND z <=> height"))
+    moves = _cut(moves.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), "fx", "fy", "top"))
+    moves = F.broadcast(moves) if moves.count() <= spatial.MOST else moves.hint("merge")
+    rows = corners.select("id", "x", "y", "z").join(moves, F.expr("x = px AND y = py AND z <=> pz"), "left")
+    top = F.when(F.col("fx").isNull(), F.col("z")).otherwise(F.col("top"))
+    return rows.select("id", F.coalesce("fx", "x").alias("x"), F.coalesce("fy", "y").alias("y"), top.alias("z"))
 
 
 def kept_apart(points: DataFrame, gone: DataFrame, ground: float) -> DataFrame:

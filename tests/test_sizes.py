@@ -192,6 +192,48 @@ def test_crowded_corners_are_welded(spark):
     assert got == {i: (rows[i % 2][1], z) for i, _, _, z in rows}
 
 
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_welding_looks_at_places_and_heights(spark, monkeypatch, most):
+    monkeypatch.setattr(spatial, "MOST", most)
+    rng = np.random.default_rng(10)
+    p = np.column_stack([np.round(rng.uniform(-4, 4, (60, 2)), 2), rng.integers(0, 12, 60) * 0.75])
+    p = p[rng.integers(0, 60, 900)]
+    z = [None if i % 50 == 0 else float(v) for i, v in enumerate(p[:, 2])]
+    rows = [(i, *map(float, p[i, :2]), z[i]) for i in range(900)] + [(-1, None, 0.0, 7.0), (-2, 0.0, float("nan"), None)]
+    corners = spark.createDataFrame(rows, "id long, x double, y double, z double").repartition(3)
+    seen, gap_clusters = [], graph.gap_clusters
+    monkeypatch.setattr(graph, "gap_clusters", lambda r, *a: seen.append(r.count()) or gap_clusters(r, *a))
+    got = {r.id: (r.x, r.y, r.z) for r in modeling.welded_corners(corners, 0.5, 1.0).collect()}
+    stack, want, heights = labels_by_hand(p[:, :2], 0.5, 1), {-1: rows[-2][1:]}, 0
+    for s in set(stack.values()):
+        mine = sorted((-1.0 if z[i] is None else z[i], i) for i in stack if stack[i] == s)
+        heights += len({h for h, _ in mine})
+        levels = [[]]
+        for (h, i), (before, _) in zip(mine, [mine[0], *mine], strict=False):
+            # a corner without a height is on the lowest level
+            levels += [[]] if h - before > 1 and before >= 0 else []
+            levels[-1].append((h, i))
+        for level in levels:
+            want |= {i: (*rows[s][1:3], max(h for h, _ in level) if max(level)[0] >= 0 else None) for _, i in level}
+    (x, y, h), ids = got.pop(-2), set(got)
+    assert x == 0.0 and np.isnan(y) and h is None
+    # each of the rows went through the windows before
+    assert got == want and len(ids) == 901 and seen == [heights] and heights < 500
+
+
+def test_few_places_need_no_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    p = np.round(rng.uniform(-40, 40, (400, 2)), 1)
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "id long, x double, y double")
+    far = points.unionByName(spark.createDataFrame([(10**6, 1e15, 0.0)], points.schema))
+    want = labels_by_hand(p, 3.0, 1)
+    assert {r.id: r.comp for r in graph.radius_components(far, 3.0).collect()} == want | {10**6: 10**6}
+    assert graph.radius_components(points.limit(0), 3.0).count() == 0
+    # labels went round by round through tables before, however few
+    monkeypatch.setattr(graph, "connected", None)
+    assert {r.id: r.comp for r in graph.radius_components(points, 3.0).collect()} == want
+
+
 def test_roof_of_wall_of_equal_faces(spark):
     rng = np.random.default_rng(9)
     faces = [(i, "ROOF" if i % 3 == 0 else "WALL", [tuple(map(float, v)) for v in rng.integers(0, 2 + i % 2, (3 + i % 2, 3))]) for i in range(60)]
